@@ -2,7 +2,9 @@
 
 Cost-balanced packing: a text costs its length plus a share of its squared
 length, as attention does; texts go in descending order to the container of
-least cost that still has room. Texts are spread by id over buckets of about
+least cost that still has room; those of at most a quarter of the capacity go
+to the fullest container that has room, since costs alone would spread what is
+left over all containers in gaps too small for any text. Texts are spread by id over buckets of about
 ``ITEMS`` texts, which are packed apart from each other, so that no task grows
 with the data; a bucket leaves less than one container's room more than one
 packing of everything would.
@@ -38,7 +40,8 @@ def assign(sizes: np.ndarray, capacity: int) -> np.ndarray:
     room[:used], load[:used] = capacity, 0.0
     costs = cost(sizes)
     for i in order:
-        at = int(np.argmin(np.where(room[:used] >= sizes[i], load[:used], np.inf)))
+        key = load if sizes[i] > capacity // 4 else room
+        at = int(np.argmin(np.where(room[:used] >= sizes[i], key[:used], np.inf)))
         if room[at] < sizes[i]:
             at, used = used, used + 1
             room[at], load[at] = capacity, 0.0
