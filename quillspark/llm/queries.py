@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillspark.llm.frequency import marked_terms
+from quillspark.llm.lookalike import consistent_text, look_alike_pairs
 from quillspark.llm.packing import pack_texts
 from quillspark.llm.tokens import encode_column
 from quillspark.session import table
@@ -19,6 +20,15 @@ def p2_found(spark: SparkSession, d: str) -> DataFrame:
     return p2_terms(spark, d).where(F.col("verdict").isNotNull()).select("field_name", "term", "verdict")
 
 
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    forms = table(spark, d, "wordforms")
+    return look_alike_pairs([("text", table(spark, d, "documents"), "doc_id", "text"), ("orig", forms, "form_id", "orig"), ("plain", forms, "form_id", "plain")])
+
+
+def p4_forms(spark: SparkSession, d: str) -> DataFrame:
+    return consistent_text(table(spark, d, "documents"), "doc_id", "text")
+
+
 def p6_ids(spark: SparkSession, d: str) -> DataFrame:
     return encode_column(table(spark, d, "documents"), "doc_id", "text")
 
@@ -34,7 +44,7 @@ counted AS (SELECT field_name, term, count(*) AS occurrences, count(DISTINCT doc
 told AS (SELECT *, CASE WHEN occurrences < 5 OR records < 3 THEN 'rare' WHEN records * 10 > (SELECT count(DISTINCT doc_id) FROM slots) THEN 'common' END AS verdict FROM counted)
 """
 
-QUERIES = {"p2_terms": p2_terms, "p2_found": p2_found, "p6_ids": p6_ids, "p7_containers": p7_containers}
+QUERIES = {"p2_terms": p2_terms, "p2_found": p2_found, "p4_found": p4_found, "p4_forms": p4_forms, "p6_ids": p6_ids, "p7_containers": p7_containers}
 
 ORACLES = {
     "p2_terms": _TERMS + "SELECT field_name, term, occurrences, records, verdict FROM told",
