@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from quillspark.llm.frequency import marked_terms
 from quillspark.llm.lookalike import consistent_text, look_alike_pairs
 from quillspark.llm.packing import pack_texts
+from quillspark.llm.residue import message_templates, residue_ids
 from quillspark.llm.tokens import encode_column
 from quillspark.session import table
 
@@ -37,6 +38,14 @@ def p7_containers(spark: SparkSession, d: str) -> DataFrame:
     return pack_texts(table(spark, d, "documents"), "doc_id", "text")
 
 
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    return residue_ids(table(spark, d, "documents"), "doc_id", "text")
+
+
+def p8_templates(spark: SparkSession, d: str) -> DataFrame:
+    return message_templates(table(spark, d, "documents"), "doc_id", "text")
+
+
 _TERMS = """
 WITH once AS (SELECT doc_id, slot, arg_max(lemma, loaded_at) AS lemma, arg_max(plain, loaded_at) AS plain FROM slots WHERE doc_id IS NOT NULL GROUP BY doc_id, slot),
 terms AS (SELECT 'lemma' AS field_name, lemma AS term, doc_id FROM once UNION ALL SELECT 'plain', plain, doc_id FROM once),
@@ -44,7 +53,7 @@ counted AS (SELECT field_name, term, count(*) AS occurrences, count(DISTINCT doc
 told AS (SELECT *, CASE WHEN occurrences < 5 OR records < 3 THEN 'rare' WHEN records * 10 > (SELECT count(DISTINCT doc_id) FROM slots) THEN 'common' END AS verdict FROM counted)
 """
 
-QUERIES = {"p2_terms": p2_terms, "p2_found": p2_found, "p4_found": p4_found, "p4_forms": p4_forms, "p6_ids": p6_ids, "p7_containers": p7_containers}
+QUERIES = {"p2_terms": p2_terms, "p2_found": p2_found, "p4_found": p4_found, "p4_forms": p4_forms, "p6_ids": p6_ids, "p7_containers": p7_containers, "p8_found": p8_found, "p8_templates": p8_templates}
 
 ORACLES = {
     "p2_terms": _TERMS + "SELECT field_name, term, occurrences, records, verdict FROM told",
