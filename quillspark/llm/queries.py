@@ -9,6 +9,7 @@ from quillspark.llm.frequency import marked_terms
 from quillspark.llm.lookalike import consistent_text, look_alike_pairs
 from quillspark.llm.packing import pack_texts
 from quillspark.llm.residue import message_templates, residue_ids
+from quillspark.llm.sentences import split_sentences
 from quillspark.llm.tokens import encode_column
 from quillspark.session import table
 
@@ -21,6 +22,10 @@ def p2_found(spark: SparkSession, d: str) -> DataFrame:
     return p2_terms(spark, d).where(F.col("verdict").isNotNull()).select("field_name", "term", "verdict")
 
 
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    return split_sentences(table(spark, d, "documents"), "doc_id", "text").select("doc_id", "start_at", "end_at")
+
+
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
     forms = table(spark, d, "wordforms")
     return look_alike_pairs([("text", table(spark, d, "documents"), "doc_id", "text"), ("orig", forms, "form_id", "orig"), ("plain", forms, "form_id", "plain")])
@@ -53,7 +58,7 @@ counted AS (SELECT field_name, term, count(*) AS occurrences, count(DISTINCT doc
 told AS (SELECT *, CASE WHEN occurrences < 5 OR records < 3 THEN 'rare' WHEN records * 10 > (SELECT count(DISTINCT doc_id) FROM slots) THEN 'common' END AS verdict FROM counted)
 """
 
-QUERIES = {"p2_terms": p2_terms, "p2_found": p2_found, "p4_found": p4_found, "p4_forms": p4_forms, "p6_ids": p6_ids, "p7_containers": p7_containers, "p8_found": p8_found, "p8_templates": p8_templates}
+QUERIES = {"p2_terms": p2_terms, "p2_found": p2_found, "p3_found": p3_found, "p4_found": p4_found, "p4_forms": p4_forms, "p6_ids": p6_ids, "p7_containers": p7_containers, "p8_found": p8_found, "p8_templates": p8_templates}
 
 ORACLES = {
     "p2_terms": _TERMS + "SELECT field_name, term, occurrences, records, verdict FROM told",
