@@ -12,6 +12,7 @@ unit.
 from __future__ import annotations
 
 import functools
+import re
 from bisect import bisect_right
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -113,8 +114,10 @@ _CANDIDATE = {
 }
 _LOW_QUOTE = {k: regex.compile(p.pattern.replace("|»", "|»|“").replace("|«)", "|«|“)")) for k, p in _CANDIDATE.items()}
 _PARAGRAPH = regex.compile(r"(?:\r\n|\n|\r)[^\S\r\n]*(?:\r\n|\n|\r)\s*")
-_ODD = regex.compile("[Ѐ-ӿ！-～]|[A-Za-z][Α-ΡΤ-Χο]|[Α-ΡΤ-Χο][A-Za-z]")
-_UNSEEN = regex.compile("[­​-‏⁠-⁤﻿‪-‮⁦-⁩]+")
+_RARE = re.compile("[\u00ad\u0400-\u04ff\u200b-\u200f\u202a-\u202e\u2060-\u2069\ufeff\uff21-\uff5a]")
+_SHAPES_OF_LATIN = re.compile("[\u0400-\u04ff\uff21-\uff5a]")
+_GREEK_IN_LATIN = re.compile("[A-Za-z][Α-ΡΤ-Χο]|[Α-ΡΤ-Χο][A-Za-z]")
+_UNSEEN = re.compile("[\u00ad\u200b-\u200f\u2060-\u2064\ufeff\u202a-\u202e\u2066-\u2069]")
 # Letters of the same shape, one for one, and full-width forms.
 _SHADOW = str.maketrans(dict(zip("АВЕЅІЈКМНОРСТХУаеѕіјорсхуΑΒΕΖΗΙΚΜΝΟΡΤΥΧο", "ABESIJKMHOPCTXYaesijopcxyABEZHIKMNOPTYXo", strict=True)) | {chr(c): chr(c - 0xFEE0) for c in range(0xFF21, 0xFF5B) if c < 0xFF3B or c > 0xFF40})
 
@@ -143,6 +146,11 @@ def _script(text: str, at: int) -> str:
     return "own"
 
 
+def _plain_end(text: str, mark: int, end: int) -> bool:
+    """The commonest case, in which no no-break rule can match: a long word, one mark, a gap, a capital."""
+    return end == mark + 1 and mark >= 7 and text[mark] in ".!?" and text[mark - 7 : mark].isalpha() and text[end] in " \n" and text[end + 1 : end + 2].isupper()
+
+
 def _closing_quote(text: str, lo: int, at: int) -> bool:
     """Whether a straight quotation mark at ``at`` closes, by the number before it in its paragraph."""
     return text.count('"', lo, at) % 2 == 1
@@ -167,7 +175,7 @@ def _units(text: str, slots: list[tuple[int, int]]) -> Iterator[tuple[int, int]]
                 end = straight
             if end > mark and text[end - 1] in "'’" and end < hi and text[end].isalpha() and text[end - 1] == "'":
                 end -= 1
-            if end < hi:
+            if end < hi and not _plain_end(text, mark, end):
                 table = _script(text, mark)
                 for breaks, pattern in _cascade(table):
                     if pattern.match(text, end):
@@ -185,14 +193,16 @@ def sentence_spans(text: str) -> list[tuple[int, int]]:
     """(start, end) of each unit in code points, without white space at its ends."""
     if not text or text.isspace():
         return []
-    places = None
-    shadow = text
-    if _UNSEEN.search(text):
-        places = [k for k, c in enumerate(text) if not ("​" <= c <= "⁯" and _UNSEEN.match(c) or c in "­﻿")]
-        shadow = "".join([text[k] for k in places])
-    if _ODD.search(shadow):
-        shadow = shadow.translate(_SHADOW)
-    slots = sorted(m.span() for held, pattern in SLOT_PATTERNS if held in shadow for m in pattern.finditer(shadow))
+    places, shadow = None, text
+    if not text.isascii():
+        rare = _RARE.search(text)
+        if rare and _UNSEEN.search(text, rare.start()):
+            gone = {m.start() for m in _UNSEEN.finditer(text)}
+            places = [k for k in range(len(text)) if k not in gone]
+            shadow = _UNSEEN.sub("", text)
+        if (rare and _SHAPES_OF_LATIN.search(shadow)) or ("ο" in shadow and _GREEK_IN_LATIN.search(shadow)):
+            shadow = shadow.translate(_SHADOW)
+    slots = sorted(m.span() for held, pattern in SLOT_PATTERNS if held != ":" and held in shadow for m in pattern.finditer(shadow))
     out = []
     for a, b in _units(shadow, slots):
         while a < b and shadow[a].isspace():
