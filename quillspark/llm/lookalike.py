@@ -20,6 +20,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quillspark.session import checkpoint_dir
+
 # Letters of other scripts and the Latin letters of the same shape.
 CYRILLIC = dict(zip("АВЕЅІЈКМНОРСТХУаеѕіјорсхуһԛԝԁкѵ", "ABESIJKMHOPCTXYaesijopcxyhqwdĸv", strict=True))
 GREEK = dict(zip("ΑΒΕΖΗΙΚΜΝΟΡΤΥΧοκρνϳϲ", "ABEZHIKMNOPTYXoĸpvjc", strict=True))
@@ -242,6 +244,8 @@ def look_alike_pairs(columns: list[tuple[str, DataFrame, str, str]]) -> DataFram
     """
     parts = [_source(df, i, t).where(F.length("text") > 0).mapInArrow(_digest_batches, "id long, raw binary, form binary").where(F.col("form").isNotNull()).select(F.lit(name).alias("field_name"), "*") for name, df, i, t in columns]
     rows = functools.reduce(DataFrame.unionByName, parts)
+    checkpoint_dir(rows.sparkSession)
+    rows = rows.checkpoint()  # ids and digests; read three times below, while forms are costly
     variants = rows.groupBy("field_name", "form", "raw").agg(F.count("*").alias("n"))
     mixed = variants.groupBy("field_name", "form").agg(F.count("*").alias("kinds")).where("kinds > 1").select("field_name", "form")
     told = variants.select("field_name", "form", "raw").join(mixed, ["field_name", "form"], "left_semi")
