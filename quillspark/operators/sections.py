@@ -78,9 +78,9 @@ def head_texts(tokens: DataFrame, id_col: str) -> DataFrame:
 def verse_changes(rows: DataFrame, id_col: str, order_col: str, levels: list[str]) -> DataFrame:
     """(id, order, level, value): one row for each level that changes; a change restarts the levels below it."""
     by_doc = Window.partitionBy(id_col).orderBy(order_col)
-    changed = []
+    told = rows
     for k, level in enumerate(levels):
         prefix = F.struct(*[F.col(c) for c in levels[: k + 1]])
-        fresh = F.row_number().over(by_doc) == 1
-        changed.append(F.struct(F.lit(level).alias("level"), F.col(level).cast("string").alias("value"), (fresh | ~prefix.eqNullSafe(F.lag(prefix).over(by_doc))).alias("changed")))
-    return rows.select(id_col, order_col, F.inline(F.array(*changed))).where("changed").drop("changed")
+        told = told.withColumn(f"__{level}", (F.row_number().over(by_doc) == 1) | ~prefix.eqNullSafe(F.lag(prefix).over(by_doc)))
+    changed = [F.struct(F.lit(level).alias("level"), F.col(level).cast("string").alias("value"), F.col(f"__{level}").alias("changed")) for level in levels]
+    return told.select(id_col, order_col, F.inline(F.array(*changed))).where("changed").drop("changed")

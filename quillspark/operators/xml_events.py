@@ -38,7 +38,7 @@ def attributes(piece: Column, corrections: dict[str, str] | None = None) -> Colu
     """map<string, string> of a tag's attributes; values trimmed and corrected, the last of equal keys wins."""
     tag = F.regexp_replace(piece, r"\s*=\s*\"\s*", '="')
     keys = F.regexp_extract_all(tag, F.lit(_ATTRIBUTE), F.lit(1))
-    values = F.transform(F.regexp_extract_all(tag, F.lit(_ATTRIBUTE), F.lit(2)), F.trim)
+    values = F.transform(F.regexp_extract_all(tag, F.lit(_ATTRIBUTE), F.lit(2)), lambda v: F.trim(v))
     pairs = F.zip_with(keys, values, lambda k, v: F.struct(k.alias("key"), v.alias("value")))
     unique = F.filter(pairs, lambda p, i: ~F.exists(F.slice(pairs, i + 2, F.size(pairs)), lambda q: q["key"] == p["key"]))
     out = F.map_from_entries(unique)

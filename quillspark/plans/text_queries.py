@@ -62,7 +62,7 @@ def q_sides(spark: SparkSession, d: str) -> DataFrame:
 
 def q_case_lines(spark: SparkSession, d: str) -> DataFrame:
     docs = table(spark, d, "documents")
-    words = F.transform(T.tokens(F.col("text")), F.trim)
+    words = F.transform(T.tokens(F.col("text")), lambda t: F.trim(t))
     return docs.select("doc_id", F.md5(T.minuscule(words)).alias("minuscule"), F.length(T.majuscule(words)).alias("n_majuscule"))
 
 
