@@ -78,7 +78,9 @@ LATIN = [
     *(r for code in ("en", "fr", "de", "es", "la") for r in _language(code)),
     *_SHORT,
     Rule(False, rf"(?i:{_WORD}(?:{REFERENCES}))\.", r"\s+(?=[\p{L}]*\p{N})"),
-    Rule(False, rf"{_WORD}a\.", r"\s?C\."),
+    Rule(False, rf"{_WORD}[ad]\.", r"\s?C\."),
+    Rule(False, rf"{_WORD}z\.", r"\s?[BTZ]\."),
+    Rule(False, rf"{_WORD}[vn]\.", r"\s?Chr\."),
     Rule(False, rf"[.．]|[{STOPS}]\s?[{CLOSERS}«»“‘]+", r"\s*\p{Ll}"),
     Rule(False, r"[!?]", r"[\p{Ll}=&]"),
 ]
