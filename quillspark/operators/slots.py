@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillspark.functions.text import plain_low, token_parts, tokens, word_tokens
+from quillspark.session import spread
 
 SENTENCE_MARKS = ".?!"
 PHRASE_MARKS = ",;:"
@@ -13,13 +14,13 @@ PHRASE_MARKS = ",;:"
 
 def explode_tokens(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(id, token_no, pre, word, post) of every token, also of those without letters."""
-    src = df.select(F.col(id_col).alias("id"), F.posexplode(tokens(F.col(text_col))).alias("at", "token"))
+    src = spread(df.select(id_col, text_col), id_col).select(F.col(id_col).alias("id"), F.posexplode(tokens(F.col(text_col))).alias("at", "token"))
     return src.select(F.col("id").alias(id_col), (F.col("at") + 1).alias("token_no"), token_parts(F.col("token")).alias("t")).select(id_col, "token_no", "t.*")
 
 
 def explode_slots(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(id, slot, pre, orig, post, plain): slots from 1, numbered within the row, so without a shuffle."""
-    src = df.select(F.col(id_col).alias("id"), F.posexplode(word_tokens(F.col(text_col))).alias("at", "t"))
+    src = spread(df.select(id_col, text_col), id_col).select(F.col(id_col).alias("id"), F.posexplode(word_tokens(F.col(text_col))).alias("at", "t"))
     return src.select(F.col("id").alias(id_col), (F.col("at") + 1).alias("slot"), F.col("t.pre").alias("pre"), F.col("t.word").alias("orig"), F.col("t.post").alias("post"), plain_low(F.col("t.word")).alias("plain"))
 
 
