@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillspark.session import checkpoint_dir
+from quillspark.session import checkpoint_dir, spread
 
 # Letters of other scripts and the Latin letters of the same shape.
 CYRILLIC = dict(zip("АВЕЅІЈКМНОРСТХУаеѕіјорсхуһԛԝԁкѵ", "ABESIJKMHOPCTXYaesijopcxyhqwdĸv", strict=True))
@@ -227,7 +227,7 @@ def _digest_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
 
 
 def _source(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    return df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
+    return spread(df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")), "id")
 
 
 def consistent_text(df: DataFrame, id_col: str, text_col: str) -> DataFrame:

@@ -23,6 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillspark.llm.residue import _SLOTS as SLOT_PATTERNS
+from quillspark.session import spread
 
 
 @dataclass(frozen=True)
@@ -248,5 +249,6 @@ def split_sentences(df: DataFrame, id_col: str, text_col: str, with_text: bool =
     looked at.
     """
     src = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).where(F.length("text") > 0)
+    src = spread(src, "id")
     ddl = "id long, sentence_no int, start_at int, end_at int" + (", sentence string" if with_text else "")
     return src.mapInArrow(_span_batches(with_text), ddl).withColumnRenamed("id", id_col)

@@ -20,6 +20,8 @@ import tiktoken
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from quillspark.session import spread
+
 CHUNK = 16_384
 OVERLAP = 1_024
 #: A match that ends this near to a chunk's end may end elsewhere in the whole text.
@@ -128,7 +130,7 @@ def encode_column(df: DataFrame, id_col: str, text_col: str, vocabulary: str | N
     """
     vocabulary = vocabulary or default_vocabulary()
     out_name = out_name or ("n_tokens" if count_only else "ids")
-    src = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
+    src = spread(df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")), "id")
     is_long = F.length("text") > CHUNK
     kind = "long" if count_only else "array<int>"
     short = src.where(~F.coalesce(is_long, F.lit(False))).mapInArrow(_encode_batches(vocabulary, count_only, 1), f"id long, out {kind}")
