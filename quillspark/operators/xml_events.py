@@ -117,3 +117,30 @@ def clean_transcription(c: Column) -> Column:
     c = F.regexp_replace(c, r"</?(?:w|div|pb|cb|ab|seg|hi|unclear|supplied|abbr|ex)\b[^>]*>", "")
     c = F.regexp_replace(c, r"&[a-z]+;", "")
     return F.trim(F.regexp_replace(c, " {2,}", " "))
+
+
+def element_spans(events: DataFrame, id_col: str) -> DataFrame:
+    """(id, pos, tag, attrs, close_pos): where each opened element closes, by equal depth; an element that never closes has null."""
+    deep = with_depth(events, id_col).where(F.col("code").isin("openTag", "openAttrTag", "closeTag"))
+    level = Window.partitionBy(id_col, "depth").orderBy("pos")
+    after = F.lead(F.struct("code", "pos")).over(level)
+    return deep.select(id_col, "pos", "code", "tag", "attrs", F.when(after["code"] == "closeTag", after["pos"]).alias("close_pos")).where(F.col("code") != "closeTag").drop("code")
+
+
+def xml_sections(events: DataFrame, id_col: str, tag: str, kind_attr: str, value_attr: str, levels: list[str]) -> DataFrame:
+    """Text events (id, pos, text) with the value of each section level they stand in.
+
+    Opening a level clears those below it; a level that was never opened above
+    an open one has the value 0, as has one cleared.
+    """
+    attr = lambda name: F.element_at("attrs", name)
+    is_div = (F.col("tag") == tag) & F.col("code").isin("openTag", "openAttrTag")
+    rank = F.when(is_div, F.array_position(F.array(*[F.lit(x) for x in levels]), attr(kind_attr)))
+    run = Window.partitionBy(id_col).orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
+    told = events.select(id_col, "pos", "code", "text", F.when(rank > 0, rank).alias("rank"), attr(value_attr).alias("value"))
+    cols = []
+    for k, level in enumerate(levels, 1):
+        mark = F.when(F.col("rank") == k, F.struct(F.lit(True).alias("own"), F.col("value").alias("value"))).when(F.col("rank") < k, F.struct(F.lit(False).alias("own"), F.lit(None).cast("string").alias("value")))
+        last = F.last(mark, ignorenulls=True).over(run)
+        cols.append(F.when(last["own"], F.coalesce(last["value"], F.lit("0"))).otherwise("0").alias(level))
+    return told.select("*", *cols).where("code = 'text'").drop("code", "rank", "value")

@@ -199,6 +199,14 @@ def q_value_keys(spark: SparkSession, d: str) -> DataFrame:
     return E.value_keys(q_attr_profile(spark, d))
 
 
+def q_element_spans(spark: SparkSession, d: str) -> DataFrame:
+    return E.element_spans(E.xml_events(_xml(spark, d), "work_id", "xml"), "work_id").select("work_id", "pos", "tag", "close_pos")
+
+
+def q_xml_sections(spark: SparkSession, d: str) -> DataFrame:
+    return E.xml_sections(E.body_events(E.xml_events(_xml(spark, d), "work_id", "xml"), "work_id"), "work_id", "div", "type", "n", ["volume", "work"])
+
+
 def q_header_fields(spark: SparkSession, d: str) -> DataFrame:
     return E.header_fields(E.xml_events(_xml(spark, d), "work_id", "xml"), "work_id")
 
@@ -335,6 +343,8 @@ ORACLES = {
     "q_attr_profile": _XML + ", a AS (SELECT tag, 'n' AS attr, trim(regexp_extract(piece, ' n ?= ?\"([^\"]*)\"', 1), ' ') AS value FROM ev WHERE code IN ('openAttrTag', 'closedAttrTag') UNION ALL SELECT tag, 'type', regexp_extract(piece, ' type=\"([^\"]*)\"', 1) FROM ev WHERE code = 'openAttrTag') SELECT tag, attr, count(*) AS n, count(DISTINCT value) AS n_values FROM a GROUP BY 1, 2",
     "q_value_keys": _XML + " SELECT DISTINCT tag, 'n' AS value_key FROM ev WHERE code IN ('openAttrTag', 'closedAttrTag')",
     "q_header_fields": _XML + ", b AS (SELECT work_id, pos, text, code, lag(tag) OVER (PARTITION BY work_id ORDER BY pos) AS field, min(CASE WHEN code = 'bodyStart' THEN pos END) OVER (PARTITION BY work_id) AS a FROM ev) SELECT work_id, field, text AS value FROM b WHERE code = 'text' AND pos < a",
+    "q_element_spans": _XML + " SELECT o.work_id, o.pos, o.tag, min(c.pos) AS close_pos FROM ev o LEFT JOIN ev c ON o.work_id = c.work_id AND c.code = 'closeTag' AND c.tag = o.tag AND c.pos > o.pos WHERE o.code IN ('openTag', 'openAttrTag') GROUP BY ALL",
+    "q_xml_sections": _XML + ", b AS (SELECT *, min(CASE WHEN code = 'bodyStart' THEN pos END) OVER (PARTITION BY work_id) AS a FROM ev) SELECT work_id, pos, text, '0' AS volume, work_id AS work FROM b WHERE code = 'text' AND pos > a",
     "q_transcription": "WITH s AS (SELECT DISTINCT orig, post FROM slots WHERE NOT regexp_matches(coalesce(orig, '') || coalesce(post, ''), '[<>&]')) SELECT orig, post, trim(regexp_replace(coalesce(orig, '') || coalesce(post, '') || ' y {gap} ', ' {2,}', ' ', 'g'), ' ') AS cleaned FROM s",
     "q_bibliography": _WORKS + " SELECT work_id, 'author' AS field, " + _ONE("author") + " AS value FROM w UNION ALL SELECT work_id, 'title', " + _ONE("title") + " FROM w UNION ALL SELECT work_id, 'place', " + _ONE("place") + " || ' ' || " + _ONE("geography") + " FROM w UNION ALL SELECT work_id, 'tlg_wordcount', " + _ONE("tlg_wordcount") + " FROM w",
     "q_titles": "WITH t AS (SELECT work_id, arg_max(title, loaded_at) AS title FROM works GROUP BY 1) SELECT doc_id, coalesce(title, 'not provided') AS title FROM documents LEFT JOIN t USING (work_id)",
