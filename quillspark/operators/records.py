@@ -1,8 +1,11 @@
 """Delimited records that may fail to parse: sound rows and failures with their reason.
 
-Blocks of records go through Arrow's columnar CSV reader at once. A block in
-which anything is wrong is bisected until the bad records are alone (in pieces
-of at most ``STRICT_ROWS``), and only those are diagnosed record by record.
+Blocks of records go through Arrow's columnar CSV reader at once, each record
+between two copies of its number. What the columnar checks single out (broken
+quoting, a wrong number of fields, invalid values) is diagnosed record by
+record. A block whose numbers don't come out as they went in, as when a line
+break outside quotation marks cuts a record, is bisected until such records are
+alone in pieces of at most ``STRICT_ROWS``, which are diagnosed strictly.
 """
 
 from __future__ import annotations
@@ -11,12 +14,15 @@ import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import pyarrow.csv as pacsv
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quillspark.session import spread
+
 BLOCK_ROWS = 4096
 STRICT_ROWS = 8
 
@@ -87,56 +93,93 @@ def _quoting_re2(sep: str) -> str:
     return rf"(?s)^{field}(?:{s}{field})*$"
 
 
-def _bulk(records: pa.Array, sep: str) -> list[pa.Array] | None:
-    """Four columns of a block in which every record is sound, else None.
+_NUMBERS = pa.array(range(BLOCK_ROWS), pa.int32()).cast(pa.string())
+_NAMES = ["n", "chapter", "section", "line", "text", "m"]
+_TYPES = dict.fromkeys(_NAMES, pa.string())
+
+
+def _well_quoted(records: pa.Array, sep: str) -> pa.Array | None:
+    """Which records have sound quoting, for a whole batch at once; None where no record has a mark."""
+    quoted = pc.match_substring(records, '"')
+    if not pc.any(quoted).as_py():
+        return None
+    return pc.if_else(quoted, pc.match_substring_regex(records, _quoting_re2(sep)), True)
 
-    Each record stands between two copies of its number, so that no quote or
-    line break can join or cut records unseen.
+
+def _bulk(records: pa.Array, sep: str) -> tuple[np.ndarray, list[pa.Array]] | None:
+    """Places and the four columns of the sound records of a block, or None where it can't be read as it is.
+
+    The caller has seen to quoting, so no record takes in the next; one that is
+    cut gives a row or a rejection too many, or a number twice.
     """
     n = len(records)
-    numbers = pa.array(range(n), pa.int32()).cast(pa.string())
+    rejected: list[int] = []
+
+    def reject(row: pacsv.InvalidRow) -> str:
+        rejected.append(row.actual_columns)
+        return "skip"
+
+    numbers = _NUMBERS.slice(0, n)
     rows = pc.binary_join_element_wise(numbers, records, numbers, sep)
-    quoted = records.filter(pc.match_substring(records, '"'))
-    if len(quoted) and not pc.all(pc.match_substring_regex(quoted, _quoting_re2(sep))).as_py():
-        return None
-    data = pa.concat_arrays([rows, pa.array([""])])
-    data = pc.binary_join(pa.array([data], pa.list_(pa.string())), "\n")[0].as_buffer()
-    names = ["n", "chapter", "section", "line", "text", "m"]
+    lines = pa.ListArray.from_arrays(pa.array([0, n], pa.int32()), rows)
+    data = pc.binary_join(lines, "\n")[0].as_buffer()
     try:
         table = pacsv.read_csv(
             pa.BufferReader(data),
-            read_options=pacsv.ReadOptions(use_threads=False, block_size=max(len(data) + 1, 1024), column_names=names),
-            parse_options=pacsv.ParseOptions(delimiter=sep, newlines_in_values=True, ignore_empty_lines=False),
-            convert_options=pacsv.ConvertOptions(column_types=dict.fromkeys(names, pa.string()), strings_can_be_null=False),
+            read_options=pacsv.ReadOptions(use_threads=False, block_size=max(len(data) + 1, 1024), column_names=_NAMES),
+            parse_options=pacsv.ParseOptions(delimiter=sep, newlines_in_values=True, ignore_empty_lines=False, invalid_row_handler=reject),
+            convert_options=pacsv.ConvertOptions(column_types=_TYPES, strings_can_be_null=False),
         )
     except pa.ArrowInvalid:
         return None
-    if table.num_rows != n:
-        return None
     cols = [c.combine_chunks() for c in table.columns]
-    if not (cols[0].equals(numbers) and cols[5].equals(numbers)):
+    at = pc.index_in(cols[0], value_set=numbers)
+    if table.num_rows + len(rejected) != n or at.null_count or not cols[5].equals(cols[0]):
         return None
-    sound = pc.and_(pc.match_substring_regex(cols[1], _REF_RE2), pc.match_substring_regex(cols[2], _REF_RE2))
-    if not pc.all(sound).as_py() or pc.any(pc.match_substring_regex(cols[4], _BAD_TEXT_RE2)).as_py():
+    places = at.to_numpy(zero_copy_only=False)
+    if (np.diff(places) <= 0).any():
         return None
-    return [pc.utf8_trim(cols[1], " "), pc.utf8_trim(cols[2], " "), cols[3], cols[4]]
+    sound = pc.and_(pc.match_substring_regex(cols[1], _REF_RE2), pc.match_substring_regex(cols[2], _REF_RE2))
+    sound = pc.and_(sound, pc.invert(pc.match_substring_regex(cols[4], _BAD_TEXT_RE2)))
+    if not pc.all(sound).as_py():
+        cols, places = [c.filter(sound) for c in cols], places[sound.to_numpy(zero_copy_only=False)]
+    return places, [pc.utf8_trim(cols[1], " "), pc.utf8_trim(cols[2], " "), cols[3], cols[4]]
 
 
-def _solve(records: pa.Array, sep: str | None) -> Iterator[tuple[int, list[pa.Array] | None, list[Parsed] | None, int]]:
-    """(start, columns, None, size) of sound blocks, (start, None, diagnoses, size) of the rest."""
+def _solve(records: pa.Array, sep: str | None) -> Iterator[tuple[np.ndarray, list[pa.Array] | None, list[Parsed] | None]]:
+    """(places, columns, None) of sound records and (places, None, diagnoses) of the others."""
+    everything = np.arange(len(records))
     fast = sep is not None and len(sep) == 1 and ord(sep) < 128 and sep not in '"\r\n'
-    plain = pc.replace_substring_regex(pc.fill_null(records, ""), r"\r\z", "") if fast else records
-    todo = [(at, min(at + BLOCK_ROWS, len(records))) for at in range(0, len(records), BLOCK_ROWS)][::-1]
+
+    def strictly(places: np.ndarray) -> tuple[np.ndarray, None, list[Parsed]]:
+        return places, None, [diagnose(r, sep) for r in records.take(pa.array(places)).to_pylist()]
+
+    if not fast:
+        if len(everything):
+            yield strictly(everything)
+        return
+    plain = pc.replace_substring_regex(pc.fill_null(records, ""), r"\r\z", "")
+    quoting = _well_quoted(plain, sep)
+    if quoting is not None:
+        well = quoting.to_numpy(zero_copy_only=False)
+        if not well.all():
+            yield strictly(everything[~well])
+            everything = everything[well]
+    todo = [everything[at : at + BLOCK_ROWS] for at in range(0, len(everything), BLOCK_ROWS)][::-1]
     while todo:
-        lo, hi = todo.pop()
-        cols = _bulk(plain.slice(lo, hi - lo), sep) if fast else None
-        if cols is not None:
-            yield lo, cols, None, hi - lo
-        elif hi - lo > STRICT_ROWS:
-            mid = (lo + hi) // 2
-            todo += [(mid, hi), (lo, mid)]
+        places = todo.pop()
+        read = _bulk(plain.take(pa.array(places)), sep)
+        if read is not None:
+            sound, cols = read
+            if len(sound):
+                yield places[sound], cols, None
+            if len(sound) < len(places):
+                yield strictly(np.delete(places, sound))
+        elif len(places) > STRICT_ROWS:
+            half = len(places) // 2
+            todo += [places[half:], places[:half]]
         else:
-            yield lo, None, [diagnose(r, sep) for r in records.slice(lo, hi - lo).to_pylist()], hi - lo
+            yield strictly(places)
 
 
 def _parse_batches(only_failures: bool, schema: pa.Schema):
@@ -149,11 +192,11 @@ def _parse_batches(only_failures: bool, schema: pa.Schema):
                 part = table.filter(mask)
                 ids = part.column("id").combine_chunks()
                 raw = part.column("raw").combine_chunks()
-                for at, cols, found, n in _solve(raw, sep or None):
-                    own = ids.slice(at, n)
+                for places, cols, found in _solve(raw, sep or None):
+                    own = ids.take(pa.array(places))
                     if cols is not None:
                         if not only_failures:
-                            yield pa.RecordBatch.from_arrays([own, *cols, pa.nulls(n, pa.string())], schema=schema)
+                            yield pa.RecordBatch.from_arrays([own, *cols, pa.nulls(len(own), pa.string())], schema=schema)
                         continue
                     reasons = pa.array([p.reason for p in found], pa.string())
                     if only_failures:
@@ -180,4 +223,4 @@ def parse_records(df: DataFrame, id_col: str, sep_col: str, raw_col: str, only_f
     fields = ["reason"] if only_failures else ["chapter", "section", "line", "text", "reason"]
     schema = pa.schema([("id", pa.int64()), *((f, pa.string()) for f in fields)])
     ddl = "id long, " + ", ".join(f"{f} string" for f in fields)
-    return src.mapInArrow(_parse_batches(only_failures, schema), ddl).withColumnRenamed("id", id_col)
+    return spread(src, "id").mapInArrow(_parse_batches(only_failures, schema), ddl).withColumnRenamed("id", id_col)

@@ -72,7 +72,7 @@ def test_empty_table_repeats_and_long_text(spark):
 def test_any_records(raws, sep):
     array = pa.array(raws, pa.string())
     got = [None] * len(raws)
-    for at, cols, found, n in R._solve(array, sep):
-        for k in range(n):
-            got[at + k] = (None, tuple(c[k].as_py() for c in cols)) if cols is not None else (found[k].reason, found[k].fields)
+    for places, cols, found in R._solve(array, sep):
+        for k, at in enumerate(places):
+            got[at] = (None, tuple(c[k].as_py() for c in cols)) if cols is not None else (found[k].reason, found[k].fields)
     assert got == [(p.reason, p.fields) for p in (diagnose(r, sep) for r in raws)]
