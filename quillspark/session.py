@@ -39,6 +39,8 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 
 
 def spread(df: DataFrame, key: str) -> DataFrame:
-    """``df`` over all cores where its scan has fewer partitions than there are cores, as with one small file; else as it is, without a shuffle."""
+    """``df`` over all cores where its scan has fewer partitions than there are cores, as with one small file; else, and on streams, as it is, without a shuffle."""
+    if df.isStreaming:
+        return df
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores, key)
