@@ -75,15 +75,17 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _bounds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    schema = pa.schema([("id", pa.int64()), ("row", pa.int64()), ("k", pa.int64()), ("heads", pa.list_(pa.int64())), ("tails", pa.list_(pa.int64()))])
+    """The chunks, each with its firm boundaries in the overlaps before and after it, as places in the whole text."""
+    places = pa.list_(pa.int64())
     for batch in batches:
-        rows = []
-        for r in batch.to_pylist():
-            at = r["k"] * CHUNK
-            heads = [at + b for b in _firm_boundaries(r["chunk"], 1, OVERLAP, r["last"])] if r["k"] else []
-            tails = [] if r["last"] else [at + b for b in _firm_boundaries(r["chunk"], CHUNK, CHUNK + OVERLAP, False)]
-            rows.append({"id": r["id"], "row": r["row"], "k": r["k"], "heads": heads, "tails": tails})
-        yield pa.RecordBatch.from_pylist(rows, schema=schema)
+        for start in range(0, batch.num_rows, 256):
+            part = batch.slice(start, 256)
+            heads, tails = [], []
+            for k, last, chunk in zip(*(part.column(c).to_pylist() for c in ("k", "last", "chunk")), strict=True):
+                at = k * CHUNK
+                heads.append([at + b for b in _firm_boundaries(chunk, 1, OVERLAP, last)] if k else [])
+                tails.append([] if last else [at + b for b in _firm_boundaries(chunk, CHUNK, CHUNK + OVERLAP, False)])
+            yield pa.RecordBatch.from_arrays([*part.columns, pa.array(heads, places), pa.array(tails, places)], names=[*part.schema.names, "heads", "tails"])
 
 
 def _encode_batches(vocabulary: str, count_only: bool, keys: int):
@@ -106,17 +108,21 @@ def _encode_batches(vocabulary: str, count_only: bool, keys: int):
 
 
 def _pieces(long_texts: DataFrame) -> DataFrame:
-    """(id, row, text) of long texts → (id, row, piece, text), each piece encodable on its own."""
+    """(id, row, text) of long texts → (id, row, piece, text), each piece encodable on its own.
+
+    Chunks carry their own boundaries on, so that they are read once and never
+    joined to themselves: numbers of rows need not come out alike twice.
+    """
     chunks = long_texts.mapInArrow(_cut, "id long, row long, k long, last boolean, chunk string").repartition("id", "row", "k")
-    bounds = chunks.mapInArrow(_bounds, "id long, row long, k long, heads array<long>, tails array<long>")
+    bounds = chunks.mapInArrow(_bounds, "id long, row long, k long, last boolean, chunk string, heads array<long>, tails array<long>")
     by_text = Window.partitionBy("id", "row").orderBy("k")
-    stitched = bounds.select("id", "row", "k", F.array_min(F.array_intersect(F.lag("tails").over(by_text), "heads")).alias("sync"))
-    stitched = stitched.select("id", "row", "k", "sync", F.lead("sync").over(by_text).alias("next"), F.count("sync").over(by_text.rowsBetween(Window.unboundedPreceding, 0)).alias("piece"))
+    stitched = bounds.select("id", "row", "k", "last", "chunk", F.array_min(F.array_intersect(F.lag("tails").over(by_text), "heads")).alias("sync"))
+    stitched = stitched.select("*", F.lead("sync").over(by_text).alias("next"), F.count("sync").over(by_text.rowsBetween(Window.unboundedPreceding, 0)).alias("piece"))
     at = F.col("k") * CHUNK
     start = F.coalesce(F.col("sync") - at, F.lit(0))
     stop = F.when(F.col("last"), F.length("chunk")).otherwise(F.coalesce(F.col("next") - at, F.lit(CHUNK)))
     part = F.substring(F.col("chunk"), (start + 1).cast("int"), (stop - start).cast("int"))
-    parts = chunks.join(stitched, ["id", "row", "k"]).select("id", "row", "piece", "k", part.alias("part"))
+    parts = stitched.select("id", "row", "piece", "k", part.alias("part")).repartition("id", "row", "piece")
     whole = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("k", "part"))), lambda p: p["part"]), "")
     return parts.groupBy("id", "row", "piece").agg(whole.alias("text"))
 
@@ -130,10 +136,11 @@ def encode_column(df: DataFrame, id_col: str, text_col: str, vocabulary: str | N
     """
     vocabulary = vocabulary or default_vocabulary()
     out_name = out_name or ("n_tokens" if count_only else "ids")
-    src = spread(df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")), "id")
+    src = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     is_long = F.length("text") > CHUNK
     kind = "long" if count_only else "array<int>"
-    short = src.where(~F.coalesce(is_long, F.lit(False))).mapInArrow(_encode_batches(vocabulary, count_only, 1), f"id long, out {kind}")
+    short = spread(src.where(~F.coalesce(is_long, F.lit(False))), "id").mapInArrow(_encode_batches(vocabulary, count_only, 1), f"id long, out {kind}")
+    # Numbered where they are read, not spread: after a shuffle rows come in another order at each reading.
     long_texts = src.where(is_long).select("id", F.monotonically_increasing_id().alias("row"), "text")
     pieces = _pieces(long_texts).mapInArrow(_encode_batches(vocabulary, count_only, 3), f"id long, row long, piece long, out {kind}")
     if count_only:

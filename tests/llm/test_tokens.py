@@ -45,6 +45,19 @@ def test_every_text_as_a_whole(spark):
     assert K.encode_column(df.limit(0), "doc_id", "text").count() == 0
 
 
+def test_long_texts_with_null_ids_or_from_a_shuffle_stay(spark, tmp_path):
+    texts = [f"{k} " + "word, " * (3_000 if k % 3 else 7) for k in range(180)]
+    ids = [None if k % 20 == 1 else k // 2 for k in range(180)]
+    want = Counter((i, len(K.encode(t, V))) for i, t in zip(ids, texts, strict=True))
+    path = str(tmp_path / "texts")
+    spark.createDataFrame(list(zip(ids, texts, strict=True)), "doc_id long, text string").coalesce(1).write.parquet(path)
+    one_file = spark.read.parquet(path)
+    for df in (one_file, one_file.repartition(7)):
+        for _ in range(2):
+            got = K.encode_column(df, "doc_id", "text", count_only=True).collect()
+            assert Counter((r["doc_id"], r["n_tokens"]) for r in got) == want
+
+
 def test_same_as_the_other_library():
     t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
     t.encode_special_tokens = True
