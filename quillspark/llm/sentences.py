@@ -150,8 +150,8 @@ def _script(text: str, at: int) -> str:
 
 
 def _plain_end(text: str, mark: int, end: int) -> bool:
-    """The commonest case, in which no no-break rule can match: a long word, one mark, a gap, a capital."""
-    return end == mark + 1 and mark >= 7 and text[mark] in ".!?" and text[mark - 7 : mark].isalpha() and text[end] in " \n" and text[end + 1 : end + 2].isupper()
+    """The commonest case, in which no no-break rule can match: a long word that ends in a Latin or Greek letter, one mark, a gap, a capital."""
+    return end == mark + 1 and mark >= 7 and text[mark] in ".!?" and text[mark - 7 : mark].isalpha() and text[mark - 1] < "\u0400" and text[end] in " \n" and text[end + 1 : end + 2].isupper()
 
 
 def _closing_quote(text: str, lo: int, at: int) -> bool:

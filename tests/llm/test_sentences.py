@@ -58,3 +58,8 @@ def test_table(spark):
     assert sorted((r["sentence_no"], r["start_at"], r["end_at"], r["sentence"]) for r in got if r["doc_id"] == 1) == [(1, 0, 4, "A b."), (1, 0, 4, "A b."), (2, 5, 9, "C d."), (2, 5, 9, "C d.")]
     assert sum(r["doc_id"] == 4 for r in got) == 60_000 and len(got) == 60_004
     assert split_sentences(df.limit(0), "doc_id", "text").count() == 0
+
+
+def test_long_armenian_words_before_a_full_stop():
+    text = "Մատենադարան. Երևան քաղաք։ Գրքերը այնտեղ են։"
+    assert [text[a:b] for a, b in sentence_spans(text)] == ["Մատենադարան. Երևան քաղաք։", "Գրքերը այնտեղ են։"]
