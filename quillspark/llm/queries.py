@@ -10,7 +10,7 @@ from quillspark.llm.lookalike import consistent_text, look_alike_pairs
 from quillspark.llm.packing import pack_texts
 from quillspark.llm.residue import message_templates, residue_ids
 from quillspark.llm.sentences import split_sentences
-from quillspark.llm.tokens import encode_column
+from quillspark.llm.tokens import decode_column, encode_column
 from quillspark.session import table
 
 
@@ -39,6 +39,11 @@ def p6_ids(spark: SparkSession, d: str) -> DataFrame:
     return encode_column(table(spark, d, "documents"), "doc_id", "text")
 
 
+def p6_round_trip(spark: SparkSession, d: str) -> DataFrame:
+    back = decode_column(p6_ids(spark, d), "doc_id", "ids")
+    return back.select("doc_id", F.md5("text").alias("text"), F.length("text").alias("n"))
+
+
 def p7_containers(spark: SparkSession, d: str) -> DataFrame:
     return pack_texts(table(spark, d, "documents"), "doc_id", "text")
 
@@ -58,9 +63,10 @@ counted AS (SELECT field_name, term, count(*) AS occurrences, count(DISTINCT doc
 told AS (SELECT *, CASE WHEN occurrences < 5 OR records < 3 THEN 'rare' WHEN records * 10 > (SELECT count(DISTINCT doc_id) FROM slots) THEN 'common' END AS verdict FROM counted)
 """
 
-QUERIES = {"p2_terms": p2_terms, "p2_found": p2_found, "p3_found": p3_found, "p4_found": p4_found, "p4_forms": p4_forms, "p6_ids": p6_ids, "p7_containers": p7_containers, "p8_found": p8_found, "p8_templates": p8_templates}
+QUERIES = {"p2_terms": p2_terms, "p2_found": p2_found, "p3_found": p3_found, "p4_found": p4_found, "p4_forms": p4_forms, "p6_ids": p6_ids, "p6_round_trip": p6_round_trip, "p7_containers": p7_containers, "p8_found": p8_found, "p8_templates": p8_templates}
 
 ORACLES = {
     "p2_terms": _TERMS + "SELECT field_name, term, occurrences, records, verdict FROM told",
+    "p6_round_trip": "SELECT doc_id, md5(coalesce(text, '')) AS text, length(coalesce(text, '')) AS n FROM documents",
     "p2_found": _TERMS + "SELECT field_name, term, verdict FROM told WHERE verdict IS NOT NULL",
 }

@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import base64
 import functools
+import hashlib
 from collections.abc import Iterator
 from pathlib import Path
 
@@ -65,10 +66,12 @@ def _firm_boundaries(chunk: str, lo: int, hi: int, at_end: bool) -> list[int]:
 
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    schema = pa.schema([("id", pa.int64()), ("row", pa.int64()), ("k", pa.int64()), ("last", pa.bool_()), ("chunk", pa.string())])
+    """Chunks with the digest of their whole text, which tells texts of equal or null ids apart."""
+    schema = pa.schema([("id", pa.int64()), ("row", pa.binary()), ("k", pa.int64()), ("last", pa.bool_()), ("chunk", pa.string())])
     for batch in batches:
-        for i, row, text in zip(*(batch.column(c).to_pylist() for c in range(3)), strict=True):
+        for i, text in zip(*(batch.column(c).to_pylist() for c in range(2)), strict=True):
             n = -(-len(text) // CHUNK)
+            row = hashlib.blake2b(text.encode(), digest_size=16).digest()
             for k in range(n):
                 part = text[k * CHUNK : (k + 1) * CHUNK + OVERLAP]
                 yield pa.RecordBatch.from_pylist([{"id": i, "row": row, "k": k, "last": k == n - 1, "chunk": part}], schema=schema)
@@ -108,23 +111,25 @@ def _encode_batches(vocabulary: str, count_only: bool, keys: int):
 
 
 def _pieces(long_texts: DataFrame) -> DataFrame:
-    """(id, row, text) of long texts → (id, row, piece, text), each piece encodable on its own.
+    """(id, text) of long texts → (id, row, copies, piece, text), each piece encodable on its own.
 
-    Chunks carry their own boundaries on, so that they are read once and never
-    joined to themselves: numbers of rows need not come out alike twice.
+    Texts are known by id and digest, so that any part can be computed again
+    elsewhere and comes out alike; rows with the same id and text are worked on
+    once, and ``copies`` tells how many they are. Chunks carry their own
+    boundaries on, so that they are read once and never joined to themselves.
     """
-    chunks = long_texts.mapInArrow(_cut, "id long, row long, k long, last boolean, chunk string").repartition("id", "row", "k")
-    bounds = chunks.mapInArrow(_bounds, "id long, row long, k long, last boolean, chunk string, heads array<long>, tails array<long>")
+    chunks = long_texts.mapInArrow(_cut, "id long, row binary, k long, last boolean, chunk string").groupBy("id", "row", "k").agg(F.first("last").alias("last"), F.first("chunk").alias("chunk"), F.count("*").alias("copies"))
+    bounds = chunks.select("id", "row", "k", "last", "chunk", "copies").mapInArrow(_bounds, "id long, row binary, k long, last boolean, chunk string, copies long, heads array<long>, tails array<long>")
     by_text = Window.partitionBy("id", "row").orderBy("k")
-    stitched = bounds.select("id", "row", "k", "last", "chunk", F.array_min(F.array_intersect(F.lag("tails").over(by_text), "heads")).alias("sync"))
+    stitched = bounds.select("id", "row", "k", "last", "chunk", "copies", F.array_min(F.array_intersect(F.lag("tails").over(by_text), "heads")).alias("sync"))
     stitched = stitched.select("*", F.lead("sync").over(by_text).alias("next"), F.count("sync").over(by_text.rowsBetween(Window.unboundedPreceding, 0)).alias("piece"))
     at = F.col("k") * CHUNK
     start = F.coalesce(F.col("sync") - at, F.lit(0))
     stop = F.when(F.col("last"), F.length("chunk")).otherwise(F.coalesce(F.col("next") - at, F.lit(CHUNK)))
     part = F.substring(F.col("chunk"), (start + 1).cast("int"), (stop - start).cast("int"))
-    parts = stitched.select("id", "row", "piece", "k", part.alias("part")).repartition("id", "row", "piece")
+    parts = stitched.select("id", "row", "piece", "k", "copies", part.alias("part")).repartition("id", "row", "piece")
     whole = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("k", "part"))), lambda p: p["part"]), "")
-    return parts.groupBy("id", "row", "piece").agg(whole.alias("text"))
+    return parts.groupBy("id", "row", "piece").agg(F.first("copies").alias("copies"), whole.alias("text")).select("id", "row", "copies", "piece", "text")
 
 
 def encode_column(df: DataFrame, id_col: str, text_col: str, vocabulary: str | None = None, count_only: bool = False, out_name: str | None = None) -> DataFrame:
@@ -140,12 +145,27 @@ def encode_column(df: DataFrame, id_col: str, text_col: str, vocabulary: str | N
     is_long = F.length("text") > CHUNK
     kind = "long" if count_only else "array<int>"
     short = spread(src.where(~F.coalesce(is_long, F.lit(False))), "id").mapInArrow(_encode_batches(vocabulary, count_only, 1), f"id long, out {kind}")
-    # Numbered where they are read, not spread: after a shuffle rows come in another order at each reading.
-    long_texts = src.where(is_long).select("id", F.monotonically_increasing_id().alias("row"), "text")
-    pieces = _pieces(long_texts).mapInArrow(_encode_batches(vocabulary, count_only, 3), f"id long, row long, piece long, out {kind}")
+    pieces = _pieces(src.where(is_long)).mapInArrow(_encode_batches(vocabulary, count_only, 4), f"id long, row binary, copies long, piece long, out {kind}")
     if count_only:
         joined = F.sum("out")
     else:
         joined = F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("piece", "out"))), lambda p: p["out"]))
-    whole = pieces.groupBy("id", "row").agg(joined.alias("out"))
+    whole = pieces.groupBy("id", "row").agg(F.first("copies").alias("copies"), joined.alias("out"))
+    whole = whole.select("id", "out", F.explode(F.sequence(F.lit(1), F.col("copies"))))
     return short.unionByName(whole.select("id", "out")).select(F.col("id").alias(id_col), F.col("out").alias(out_name))
+
+
+def _decode_batches(vocabulary: str):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        enc = encoder(vocabulary)
+        for batch in batches:
+            texts = [None if ids is None else enc.decode_bytes(ids).decode("utf-8") for ids in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], names=["id", "text"])
+
+    return run
+
+
+def decode_column(df: DataFrame, id_col: str, ids_col: str, vocabulary: str | None = None, out_name: str = "text") -> DataFrame:
+    """Rows (id, text): the bytes of the ids, joined and read as UTF-8; an empty list gives an empty text, a null one null. Ids that the vocabulary lacks, or bytes that are no text, are an error."""
+    src = df.select(F.col(id_col).cast("long").alias("id"), F.col(ids_col).cast("array<int>").alias("ids"))
+    return src.mapInArrow(_decode_batches(vocabulary or default_vocabulary()), "id long, text string").select(F.col("id").alias(id_col), F.col("text").alias(out_name))

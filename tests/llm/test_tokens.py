@@ -88,7 +88,7 @@ def test_containers(spark):
     rnd = random.Random(5)
     sizes = {k: rnd.choice([0, None, 1, 5, 9, 10, 11, 25, 30]) for k in range(900)}
     df = spark.createDataFrame(list(sizes.items()), "id long, n long")
-    rows = pack_sizes(df, len(sizes), "id", "n", capacity=10, items=100).collect()
+    rows = pack_sizes(df, "id", "n", capacity=10, items=100).collect()
     fill, own, parts = Counter(), Counter(), Counter()
     for r in rows:
         fill[r["container"]] += r["n_tokens"]
@@ -97,7 +97,33 @@ def test_containers(spark):
     assert max(fill.values()) <= 10
     assert own == Counter({k: n or 0 for k, n in sizes.items()}) and set(own) == set(sizes)
     assert all(parts[k] == max(1, -(-(n or 0) // 10)) for k, n in sizes.items())
-    assert pack_sizes(df.limit(0), 0, "id", "n").count() == 0
+    assert pack_sizes(df.limit(0), "id", "n").count() == 0
     texts = spark.createDataFrame([(1, "a b"), (2, None), (3, ""), (4, "word " * 5000)], "id long, text string")
     got = pack_texts(texts, "id", "text").collect()
     assert {r["id"] for r in got} == {1, 2, 3, 4} and sum(r["n_tokens"] for r in got) == sum(len(K.encode(t, V)) for t in ("a b", "word " * 5000))
+
+
+def test_cost_balance_and_exchanges():
+    """One rule for all sizes: the first texts go to the least cost, containers stay even, and exchanges leave little room."""
+    own = assign(np.array([6, 5, 4, 3]), 10)
+    assert own.tolist() == [0, 1, 1, 0]
+    rnd = np.random.default_rng(1)
+    sizes = rnd.integers(1, CAPACITY + 1, 2000)
+    own = assign(sizes, CAPACITY)
+    costs = np.bincount(own, weights=sizes + sizes**2 / 4096)
+    bound = -(-sizes.sum() // CAPACITY)
+    assert len(costs) <= 1.03 * bound and costs.max() < 1.6 * costs.mean()
+    assert len(np.bincount(assign(sizes, CAPACITY, slack=0.2))) >= 1.2 * bound - 1
+
+
+def test_rows_of_one_id_or_none(spark):
+    """A third of the rows has no id: they are spread over runs and all kept."""
+    df = spark.range(6000).selectExpr("CASE WHEN id % 3 > 0 THEN id END AS id", "CASE WHEN id % 3 = 0 THEN 3 ELSE id % 7 END AS n", "'x' AS container")
+    got = pack_sizes(df, "id", "n", capacity=10, items=100)
+    assert got.count() == 6000 and got.where("id IS NULL").count() == 2000
+    assert got.groupBy("container").sum("n_tokens").agg({"sum(n_tokens)": "max"}).collect()[0][0] <= 10
+
+
+def test_decoding(spark):
+    df = spark.createDataFrame([(1, list(map(int, K.encode("λόγος 字", V)))), (2, []), (3, None)], "id long, ids array<int>")
+    assert {(r["id"], r["text"]) for r in K.decode_column(df, "id", "ids").collect()} == {(1, "λόγος 字"), (2, ""), (3, None)}
