@@ -1,11 +1,12 @@
 """Delimited records that may fail to parse: sound rows and failures with their reason.
 
-Blocks of records go through Arrow's columnar CSV reader at once, each record
-between two copies of its number. What the columnar checks single out (broken
-quoting, a wrong number of fields, invalid values) is diagnosed record by
-record. A block whose numbers don't come out as they went in, as when a line
-break outside quotation marks cuts a record, is bisected until such records are
-alone in pieces of at most ``STRICT_ROWS``, which are diagnosed strictly.
+Blocks of records are read in bulk: one linear check of the block's format, then
+Arrow's columnar CSV reader, each record between two copies of its number. A
+block that holds a record with broken quoting, a wrong number of fields or a
+bare line break fails as a whole; it is bisected until the bad records are
+alone in pieces of at most ``STRICT_ROWS``, which are diagnosed record by
+record. Values are checked on the parsed columns, and the records that these
+checks single out are diagnosed in the same way.
 """
 
 from __future__ import annotations
@@ -87,140 +88,149 @@ def diagnose(record: str | None, sep: str | None) -> Parsed:
     return Parsed(None, (chapter, section, line, text))
 
 
-def _quoting_re2(sep: str) -> str:
+def _format_re2(sep: str) -> str:
+    """Records of four fields between two numbers, each on a line of its own."""
     s = r"\x{%x}" % ord(sep)
-    field = rf'(?:"(?:[^"]|"")*"|[^"{s}][^"{s}]*|)'
-    return rf"(?s)^{field}(?:{s}{field})*$"
+    field = rf'(?:"(?:[^"]|"")*"|[^"{s}\r\n][^"{s}\r\n]*|)'
+    return rf"(?s)\A(?:[0-9]+{s}{field}{s}{field}{s}{field}{s}{field}{s}[0-9]+\n)*\z"
 
 
 _NUMBERS = pa.array(range(BLOCK_ROWS), pa.int32()).cast(pa.string())
 _NAMES = ["n", "chapter", "section", "line", "text", "m"]
 _TYPES = dict.fromkeys(_NAMES, pa.string())
-
-
-def _well_quoted(records: pa.Array, sep: str) -> pa.Array | None:
-    """Which records have sound quoting, for a whole batch at once; None where no record has a mark."""
-    quoted = pc.match_substring(records, '"')
-    if not pc.any(quoted).as_py():
-        return None
-    return pc.if_else(quoted, pc.match_substring_regex(records, _quoting_re2(sep)), True)
-
-
-def _bulk(records: pa.Array, sep: str) -> tuple[np.ndarray, list[pa.Array]] | None:
-    """Places and the four columns of the sound records of a block, or None where it can't be read as it is.
-
-    The caller has seen to quoting, so no record takes in the next; one that is
-    cut gives a row or a rejection too many, or a number twice.
-    """
-    n = len(records)
-    rejected: list[int] = []
-
-    def reject(row: pacsv.InvalidRow) -> str:
-        rejected.append(row.actual_columns)
-        return "skip"
-
-    numbers = _NUMBERS.slice(0, n)
-    rows = pc.binary_join_element_wise(numbers, records, numbers, sep)
-    lines = pa.ListArray.from_arrays(pa.array([0, n], pa.int32()), rows)
-    data = pc.binary_join(lines, "\n")[0].as_buffer()
-    try:
-        table = pacsv.read_csv(
-            pa.BufferReader(data),
-            read_options=pacsv.ReadOptions(use_threads=False, block_size=max(len(data) + 1, 1024), column_names=_NAMES),
-            parse_options=pacsv.ParseOptions(delimiter=sep, newlines_in_values=True, ignore_empty_lines=False, invalid_row_handler=reject),
-            convert_options=pacsv.ConvertOptions(column_types=_TYPES, strings_can_be_null=False),
-        )
-    except pa.ArrowInvalid:
-        return None
-    cols = [c.combine_chunks() for c in table.columns]
-    at = pc.index_in(cols[0], value_set=numbers)
-    if table.num_rows + len(rejected) != n or at.null_count or not cols[5].equals(cols[0]):
-        return None
-    places = at.to_numpy(zero_copy_only=False)
-    if (np.diff(places) <= 0).any():
-        return None
-    sound = pc.and_(pc.match_substring_regex(cols[1], _REF_RE2), pc.match_substring_regex(cols[2], _REF_RE2))
-    sound = pc.and_(sound, pc.invert(pc.match_substring_regex(cols[4], _BAD_TEXT_RE2)))
-    if not pc.all(sound).as_py():
-        cols, places = [c.filter(sound) for c in cols], places[sound.to_numpy(zero_copy_only=False)]
-    return places, [pc.utf8_trim(cols[1], " "), pc.utf8_trim(cols[2], " "), cols[3], cols[4]]
-
-
-def _solve(records: pa.Array, sep: str | None) -> Iterator[tuple[np.ndarray, list[pa.Array] | None, list[Parsed] | None]]:
-    """(places, columns, None) of sound records and (places, None, diagnoses) of the others."""
+#: Stands for a separator beyond ASCII, in records that don't hold it themselves.
+_STAND_IN = "\x1f"
+
+
+class _Block:
+    """Up to ``BLOCK_ROWS`` records as one buffer, any stretch of which can be read without a copy."""
+
+    def __init__(self, records: pa.Array, sep: str):
+        numbers = _NUMBERS.slice(0, len(records))
+        lines = pc.binary_join_element_wise(numbers, records, numbers, sep)
+        lines = pc.binary_join_element_wise(lines, "", "\n")
+        _, offsets, self.data = lines.buffers()
+        self.at = np.frombuffer(offsets, np.int32)[lines.offset : lines.offset + len(lines) + 1]
+        self.sep, self.format = sep, _format_re2(sep)
+
+    def read(self, lo: int, hi: int) -> list[pa.Array] | None:
+        """The columns of records lo to hi, or None where one of them can't be read."""
+        a, b = int(self.at[lo]), int(self.at[hi])
+        data = self.data.slice(a, b - a)
+        whole = pa.Array.from_buffers(pa.string(), 1, [None, pa.py_buffer(np.array([0, b - a], np.int32)), data])
+        if not pc.match_substring_regex(whole, self.format)[0].as_py():
+            return None
+        try:
+            table = pacsv.read_csv(
+                pa.BufferReader(data),
+                read_options=pacsv.ReadOptions(use_threads=False, block_size=max(b - a + 1, 1024), column_names=_NAMES),
+                parse_options=pacsv.ParseOptions(delimiter=self.sep, newlines_in_values=True, ignore_empty_lines=False),
+                convert_options=pacsv.ConvertOptions(column_types=_TYPES, strings_can_be_null=False),
+            )
+        except pa.ArrowInvalid:
+            return None
+        cols = [c.combine_chunks() for c in table.columns]
+        # A mark left open may take in the next record, and another there shut it.
+        if table.num_rows != hi - lo or not cols[0].equals(_NUMBERS.slice(lo, hi - lo)) or not cols[5].equals(cols[0]):
+            return None
+        return cols[1:5]
+
+
+def _sound_values(cols: list[pa.Array]) -> np.ndarray:
+    sound = pc.and_(pc.match_substring_regex(cols[0], _REF_RE2), pc.match_substring_regex(cols[1], _REF_RE2))
+    return pc.and_(sound, pc.invert(pc.match_substring_regex(cols[3], _BAD_TEXT_RE2))).to_numpy(zero_copy_only=False)
+
+
+def _solve(records: pa.Array, sep: str | None, failed: list[int] | None = None) -> Iterator[tuple[np.ndarray, list[pa.Array] | None, list[Parsed] | None]]:
+    """(places, columns, None) of sound records and (places, None, diagnoses) of the others; ``failed`` is given the size of each block that was bisected."""
     everything = np.arange(len(records))
-    fast = sep is not None and len(sep) == 1 and ord(sep) < 128 and sep not in '"\r\n'
 
     def strictly(places: np.ndarray) -> tuple[np.ndarray, None, list[Parsed]]:
         return places, None, [diagnose(r, sep) for r in records.take(pa.array(places)).to_pylist()]
 
-    if not fast:
+    if not sep or len(sep) > 1 or sep in '"\r\n':
         if len(everything):
             yield strictly(everything)
         return
     plain = pc.replace_substring_regex(pc.fill_null(records, ""), r"\r\z", "")
-    quoting = _well_quoted(plain, sep)
-    if quoting is not None:
-        well = quoting.to_numpy(zero_copy_only=False)
-        if not well.all():
-            yield strictly(everything[~well])
-            everything = everything[well]
-    todo = [everything[at : at + BLOCK_ROWS] for at in range(0, len(everything), BLOCK_ROWS)][::-1]
-    while todo:
-        places = todo.pop()
-        read = _bulk(plain.take(pa.array(places)), sep)
-        if read is not None:
-            sound, cols = read
-            if len(sound):
-                yield places[sound], cols, None
-            if len(sound) < len(places):
-                yield strictly(np.delete(places, sound))
-        elif len(places) > STRICT_ROWS:
-            half = len(places) // 2
-            todo += [places[half:], places[:half]]
-        else:
-            yield strictly(places)
+    mark = sep
+    if ord(sep) > 127:
+        mark = _STAND_IN
+        own = pc.match_substring(plain, mark).to_numpy(zero_copy_only=False)
+        if own.any():
+            yield strictly(everything[own])
+            everything = everything[~own]
+            plain = plain.filter(pa.array(~own))
+        plain = pc.replace_substring(plain, sep, mark)
+    for first in range(0, len(everything), BLOCK_ROWS):
+        places = everything[first : first + BLOCK_ROWS]
+        block = _Block(plain.slice(first, BLOCK_ROWS), mark)
+        todo = [(0, len(places))]
+        while todo:
+            lo, hi = todo.pop()
+            cols = block.read(lo, hi)
+            if cols is not None:
+                own = places[lo:hi]
+                sound = _sound_values(cols)
+                if not sound.all():
+                    yield strictly(own[~sound])
+                    cols, own = [c.filter(pa.array(sound)) for c in cols], own[sound]
+                if mark != sep:
+                    cols = [pc.replace_substring(c, mark, sep) for c in cols]
+                if len(own):
+                    yield own, [pc.utf8_trim(cols[0], " "), pc.utf8_trim(cols[1], " "), cols[2], cols[3]], None
+                continue
+            if failed is not None:
+                failed.append(hi - lo)
+            if hi - lo > STRICT_ROWS:
+                half = (lo + hi) // 2
+                todo += [(half, hi), (lo, half)]
+            else:
+                yield strictly(places[lo:hi])
+
+
+def _parse_batches(only_failures: bool, kept: int):
+    carried = ["id", *(f"k{n}" for n in range(kept))]
+    names = carried + (["reason"] if only_failures else ["chapter", "section", "line", "text", "reason"])
 
-
-def _parse_batches(only_failures: bool, schema: pa.Schema):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            table = pa.Table.from_batches([batch])
-            seps = table.column("sep").combine_chunks()
+            seps = batch.column("sep")
             for sep in pc.unique(seps).to_pylist():
                 mask = pc.is_null(seps) if sep is None else pc.fill_null(pc.equal(seps, sep), False)
-                part = table.filter(mask)
-                ids = part.column("id").combine_chunks()
-                raw = part.column("raw").combine_chunks()
-                for places, cols, found in _solve(raw, sep or None):
-                    own = ids.take(pa.array(places))
+                part = batch.filter(mask)
+                for places, cols, found in _solve(part.column("raw"), sep or None):
+                    if cols is not None and only_failures:
+                        continue
+                    own = part.select(carried).take(pa.array(places)).columns
                     if cols is not None:
-                        if not only_failures:
-                            yield pa.RecordBatch.from_arrays([own, *cols, pa.nulls(len(own), pa.string())], schema=schema)
+                        yield pa.RecordBatch.from_arrays([*own, *cols, pa.nulls(len(places), pa.string())], names=names)
                         continue
                     reasons = pa.array([p.reason for p in found], pa.string())
                     if only_failures:
-                        bad = pc.is_valid(reasons)
-                        yield pa.RecordBatch.from_arrays([own.filter(bad), reasons.filter(bad)], schema=schema)
+                        out = pa.RecordBatch.from_arrays([*own, reasons], names=names)
+                        yield out.filter(pc.is_valid(reasons))
                     else:
                         parts = [pa.array([p.fields[k] if p.fields else None for p in found], pa.string()) for k in range(4)]
-                        yield pa.RecordBatch.from_arrays([own, *parts, reasons], schema=schema)
+                        yield pa.RecordBatch.from_arrays([*own, *parts, reasons], names=names)
 
     return run
 
 
-def parse_records(df: DataFrame, id_col: str, sep_col: str, raw_col: str, only_failures: bool = False) -> DataFrame:
+def parse_records(df: DataFrame, id_col: str, sep_col: str, raw_col: str, only_failures: bool = False, keep: tuple[str, ...] = ()) -> DataFrame:
     """Rows (id, chapter, section, line, text, reason), or (id, reason) of the failures alone.
 
     ``reason`` is null for a sound record and else ``quoting``, ``columns`` or
     ``value``; a failed record has null fields. Chapter and Section lose the
     spaces around them. A null record, like a blank one, fails by ``columns``;
     a record with a null, empty or `"` separator is one field. Rows that come
-    twice come out twice, an empty table gives an empty result, and other
-    columns of ``df`` are not looked at, so their names can't clash.
+    twice come out twice, an empty table gives an empty result. Of the other
+    columns of ``df`` those in ``keep`` are passed through, before the fields;
+    the rest are not looked at, so their names can't clash.
     """
-    src = df.select(F.col(id_col).cast("long").alias("id"), F.col(sep_col).cast("string").alias("sep"), F.col(raw_col).cast("string").alias("raw"))
+    src = df.select(F.col(id_col).cast("long").alias("id"), F.col(sep_col).cast("string").alias("sep"), F.col(raw_col).cast("string").alias("raw"), *[F.col(c).alias(f"k{n}") for n, c in enumerate(keep)])
     fields = ["reason"] if only_failures else ["chapter", "section", "line", "text", "reason"]
-    schema = pa.schema([("id", pa.int64()), *((f, pa.string()) for f in fields)])
-    ddl = "id long, " + ", ".join(f"{f} string" for f in fields)
-    return spread(src, "id").mapInArrow(_parse_batches(only_failures, schema), ddl).withColumnRenamed("id", id_col)
+    kept = [f"k{n} {df.schema[c].dataType.simpleString()}" for n, c in enumerate(keep)]
+    ddl = ", ".join(["id long", *kept, *(f"{f} string" for f in fields)])
+    out = spread(src, "id").mapInArrow(_parse_batches(only_failures, len(keep)), ddl)
+    return out.select(F.col("id").alias(id_col), *[F.col(f"k{n}").alias(c) for n, c in enumerate(keep)], *fields)

@@ -27,10 +27,15 @@ def local_session(cores: int = 8, shuffle_partitions: int | None = None, app: st
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder of spark.checkpoint.dir; a folder of our own only where that is unset, as in tests."""
+    """The shared folder of spark.checkpoint.dir. Where that is unset, a folder of our own in a local session, as in tests; on a cluster an error, since executors can't read the driver's folders."""
     sc = spark.sparkContext
     if not sc.getCheckpointDir():
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="quillspark-"))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder:
+            if not sc.master.startswith("local[") and sc.master != "local":
+                raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+            folder = tempfile.mkdtemp(prefix="quillspark-")
+        sc.setCheckpointDir(folder)
     return sc.getCheckpointDir()
 
 
@@ -39,8 +44,13 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 
 
 def spread(df: DataFrame, key: str) -> DataFrame:
-    """``df`` over all cores where its scan has fewer partitions than there are cores, as with one small file; else, and on streams, as it is, without a shuffle."""
-    if df.isStreaming:
+    """``df`` over all cores where it is a scan of fewer partitions than there are cores, as with one small file; else, and on streams, as it is, without a shuffle.
+
+    Rows go by all their columns, ``key`` first, so that a key of many rows
+    doesn't bind them to one task. Nothing is run to find out: what has a
+    shuffle already is left alone.
+    """
+    if df.isStreaming or "Exchange" in df._jdf.queryExecution().executedPlan().toString():
         return df
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores, key)
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores, key, *[c for c in df.columns if c != key])

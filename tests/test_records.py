@@ -37,6 +37,14 @@ CASES = [
     ("1,2,3,4", None, "columns"),
     ("1,2,3,4", "", "columns"),
     ('1"2"3"4', '"', "quoting"),
+    ("1¦2¦3¦x", "¦", None),
+    ('1¦2¦3¦"a¦b ""c"""', "¦", None),
+    ("1¦2¦3¦x\x1f", "¦", "value"),
+    ("1¦2¦3", "¦", "columns"),
+    ("1ab2ab3abx", "ab", None),
+    ('1,2,3,"a', ",", "quoting"),
+    ('b"', ",", "quoting"),
+    ("1,2,3,x\ry", ",", "value"),
 ]
 
 
@@ -76,3 +84,33 @@ def test_any_records(raws, sep):
         for k, at in enumerate(places):
             got[at] = (None, tuple(c[k].as_py() for c in cols)) if cols is not None else (found[k].reason, found[k].fields)
     assert got == [(p.reason, p.fields) for p in (diagnose(r, sep) for r in raws)]
+
+
+def test_bad_records_are_isolated_by_bisection():
+    raws = [f"{k % 900 + 1},2,3,text {k}" for k in range(3000)]
+    failed: list[int] = []
+    assert all(cols is not None for _, cols, _ in R._solve(pa.array(raws), ",", failed)) and failed == []
+    raws[1700] = '1,2,3,a "b"'
+    strict = [(list(places), [p.reason for p in found]) for places, cols, found in R._solve(pa.array(raws), ",", failed) if cols is None]
+    assert failed[0] == 3000 and failed[-1] <= R.STRICT_ROWS and len(failed) == 10
+    ((places, reasons),) = strict
+    assert len(places) <= R.STRICT_ROWS and dict(zip(places, reasons, strict=True))[1700] == "quoting" and reasons.count(None) == len(places) - 1
+
+
+def test_planted_records_are_bisected():
+    import pyarrow.parquet as pq
+
+    table = pq.read_table("/root/testdata/sf0.001/citation_rows.parquet")
+    failed: list[int] = []
+    for sep in (",", ";", "\t"):
+        part = table.filter(pa.compute.equal(table.column("sep_char"), sep)).column("raw_line").combine_chunks()
+        for _ in R._solve(part, sep, failed):
+            pass
+    assert len(failed) > 50
+
+
+def test_columns_passed_through(spark):
+    df = spark.createDataFrame([(1, ",", "1,2,3,x", "f", 5), (2, ",", "1,2", None, 6)], "id long, sep string, raw string, text string, k1 int")
+    out = parse_records(df, "id", "sep", "raw", keep=("k1",))
+    assert out.columns == ["id", "k1", "chapter", "section", "line", "text", "reason"]
+    assert sorted(map(tuple, out.collect())) == [(1, 5, "1", "2", "3", "x", None), (2, 6, None, None, None, None, "columns")]
