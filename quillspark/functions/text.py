@@ -29,25 +29,43 @@ def tokens(text: Column) -> Column:
     return F.regexp_extract_all(text, F.lit(f"({TOKEN})"), F.lit(1))
 
 
-def strip_newlines(c: Column) -> Column:
-    return F.regexp_replace(c, r"^\n+|\n+\z", "")
-
-
 def token_parts(token: Column) -> Column:
     """struct<pre, word, post>; a token without a letter is all ``pre``."""
-    lettered = token.rlike(_L)
-    pre = F.regexp_extract(token, rf"^({_NL}*)", 1)
-    post = F.regexp_extract(token, rf"({_NL}*)\z", 1)
     return F.struct(
-        strip_newlines(pre).alias("pre"),
+        F.btrim(F.regexp_extract(token, rf"^({_NL}*)", 1), F.lit("\n")).alias("pre"),
         F.regexp_replace(token, _NL, "").alias("word"),
-        F.when(lettered, strip_newlines(post)).otherwise("").alias("post"),
+        F.btrim(F.when(token.rlike(_L), F.regexp_replace(token, rf"^{_NL}*{_L}+(?:{_O}*[-<]{_L}+)*", "")).otherwise(""), F.lit("\n")).alias("post"),
     )
 
 
-def word_tokens(text: Column) -> Column:
-    """array<struct<pre, word, post>> of the tokens that have letters."""
-    return F.transform(F.filter(tokens(text), lambda t: t.rlike(r"[\p{Lu}\p{Ll}\p{Lt}]")), token_parts)
+def _slot_patterns(cased: bool) -> tuple[str, str]:
+    """A slot as (before, word, after), and what a line begins with that belongs to the word before it, as a line without a word does as a whole."""
+    kinds = r"\p{Lu}\p{Ll}\p{Lt}" if cased else r"\p{L}"
+    c, nc, oc = f"[{kinds}]", f"[^{kinds}]", rf"[^{kinds}\p{{Z}}]"
+    run = rf"{c}[{kinds}\p{{M}}]*"
+    slot = rf"(\A{nc}*|{oc}*)({run}(?:{oc}*[-<]{run})*)({nc}*\z|{oc}*{_S}(?:{nc}*{_S})?|{oc}*)"
+    return slot, rf"^((?:{nc}{oc}*{_S})+|{nc}*\z)"
+
+
+def slot_pieces(text: Column, cased: bool = True) -> Column:
+    """array<struct<pre, core, post>> of the words; joined they give the text again. Cores keep inner punctuation, see ``core_word``.
+
+    A word begins with a letter with case or, with ``cased=False``, with any
+    letter. What has none belongs to the word before it, at a text's start to
+    the first one.
+    """
+    pattern = F.lit(_slot_patterns(cased)[0])
+    pre, core, post = (F.regexp_extract_all(text, pattern, F.lit(k)) for k in (1, 2, 3))
+    return F.arrays_zip(pre.alias("pre"), core.alias("core"), post.alias("post"))
+
+
+def core_word(core: Column, cased: bool = True) -> Column:
+    return F.regexp_replace(core, _NL if cased else r"[^\p{L}\p{M}]", "")
+
+
+def orphans(text: Column, cased: bool = True) -> Column:
+    """Punctuation at a text's start that stands apart from its first word; a text without a word as a whole."""
+    return F.regexp_extract(text, _slot_patterns(cased)[1], 1)
 
 
 def clean_words(text: Column) -> Column:

@@ -19,7 +19,7 @@ def units_as_nodes(numbered: DataFrame, id_col: str) -> DataFrame:
 def number_nodes(units: DataFrame, id_col: str) -> DataFrame:
     """``units`` with ``node``: after the last slot, by type in alphabetical order, then by number."""
     doc = Window.partitionBy(id_col)
-    at = F.row_number().over(doc.orderBy("otype", "seq"))
+    at = F.row_number().over(doc.orderBy("otype", "seq", "from_slot"))
     return units.select("*", (F.max("to_slot").over(doc) + at).alias("node"))
 
 
@@ -49,10 +49,14 @@ def locate_slots(slots: DataFrame, ranges: DataFrame, id_col: str) -> DataFrame:
     return points.unionByName(starts).select(id_col, "at", "kind", carried.alias("c")).where((F.col("kind") == 1) & (F.col("c.until") >= F.col("at"))).select(id_col, F.col("at").alias("slot"), F.col("c.node").alias("node"))
 
 
+def value_type(value_col: str) -> Column:
+    """The aggregate ``int`` where every value is ASCII digits, else ``str``."""
+    return F.when(F.bool_and(F.col(value_col).rlike(r"^[0-9]+\z")), "int").otherwise("str")
+
+
 def value_types(features: DataFrame, feature_col: str, value_col: str) -> DataFrame:
     """(feature, value_type, values): int when every value is ASCII digits, else str; nulls don't count."""
-    whole = F.bool_and(F.col(value_col).rlike(r"^[0-9]+\z"))
-    return features.groupBy(F.col(feature_col).alias("feature")).agg(F.when(whole, "int").otherwise("str").alias("value_type"), F.count_distinct(value_col).alias("n_values"))
+    return features.groupBy(F.col(feature_col).alias("feature")).agg(value_type(value_col).alias("value_type"), F.count_distinct(value_col).alias("n_values"))
 
 
 def as_int(value: Column) -> Column:

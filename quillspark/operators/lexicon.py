@@ -59,6 +59,12 @@ def lemma_cascade(words: DataFrame, lang_col: str, form_col: str, plain_col: str
     return joined.select(*[words[c] for c in words.columns], F.coalesce(F.array_join("by_form", ","), F.array_join("by_plain", ","), F.concat(F.lit("*"), F.col(plain_col))).alias("lemma"))
 
 
+def lemma_of(words: DataFrame, form_col: str, plain_col: str, lemmata: DataFrame) -> DataFrame:
+    """``words`` with ``lemma`` by lexicon entries (form, lemma array) of one language: by form, else by plain form, else ``*`` and the plain form."""
+    lex = lemmata.select(F.lit("").alias("lang"), "form", "lemma")
+    return lemma_cascade(words.withColumn("lang__", F.lit("")), "lang__", form_col, plain_col, lex).drop("lang__")
+
+
 def build_lexicon(entries: DataFrame, form_col: str, lemma_col: str) -> DataFrame:
     """(form, lemmata): every form and its plain form with the sorted set of their lemmata (an array column)."""
     keys = entries.select(F.explode(F.array_distinct(F.array(F.col(form_col), plain_low(F.col(form_col))))).alias("form"), F.explode(lemma_col).alias("lemma"))

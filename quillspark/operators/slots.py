@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillspark.functions.text import plain_low, token_parts, tokens, word_tokens
+from quillspark.functions.text import core_word, plain_low, slot_pieces, token_parts, tokens
 from quillspark.session import spread
 
 SENTENCE_MARKS = ".?!"
@@ -18,10 +18,15 @@ def explode_tokens(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return src.select(F.col("id").alias(id_col), (F.col("at") + 1).alias("token_no"), token_parts(F.col("token")).alias("t")).select(id_col, "token_no", "t.*")
 
 
-def explode_slots(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(id, slot, pre, orig, post, plain): slots from 1, numbered within the row, so without a shuffle."""
-    src = spread(df.select(id_col, text_col), id_col).select(F.col(id_col).alias("id"), F.posexplode(word_tokens(F.col(text_col))).alias("at", "t"))
-    return src.select(F.col("id").alias(id_col), (F.col("at") + 1).alias("slot"), F.col("t.pre").alias("pre"), F.col("t.word").alias("orig"), F.col("t.post").alias("post"), plain_low(F.col("t.word")).alias("plain"))
+def explode_slots(df: DataFrame, id_col: str, text_col: str, cased: bool = True) -> DataFrame:
+    """(id, slot, pre, orig, post, plain): slots from 1, numbered within the row, so without a shuffle.
+
+    Punctuation, digits and letters without case belong to the word before them,
+    at the start of a text to its first word; a text without a word has no slot.
+    """
+    src = spread(df.select(id_col, text_col), id_col).select(F.col(id_col).alias("id"), F.posexplode(slot_pieces(F.col(text_col), cased)).alias("at", "t"))
+    cut = src.select(F.col("id").alias(id_col), (F.col("at") + 1).alias("slot"), F.btrim("t.pre", F.lit("\n")).alias("pre"), core_word(F.col("t.core"), cased).alias("orig"), F.btrim("t.post", F.lit("\n")).alias("post"))
+    return cut.select("*", plain_low(F.col("orig")).alias("plain"))
 
 
 def has_mark(post: Column, marks: str) -> Column:

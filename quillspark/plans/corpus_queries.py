@@ -14,7 +14,7 @@ from quillspark.operators import sections as S
 from quillspark.operators import slots as O
 from quillspark.operators import witness as V
 from quillspark.operators import xml_events as E
-from quillspark.operators.records import parse_records
+from quillspark.plans.convert_queries import lines as _lines
 from quillspark.plans.problems import _PARSED
 from quillspark.plans.text_queries import TOKENS, UNITS
 from quillspark.session import table
@@ -24,14 +24,6 @@ from quillspark.sources.sinks import output_path
 LEVELS = ["chapter", "section", "line"]
 
 
-def _lines(spark: SparkSession, d: str) -> DataFrame:
-    """Sound citation rows in the order of their files."""
-    raw = table(spark, d, "citation_rows").where("line_no > 1")
-    parsed = parse_records(raw, "row_id", "sep_char", "raw_line").where("reason IS NULL").drop("reason")
-    line_at = (F.col("line_no").cast("long") * 1_000_000_000 + F.col("row_id")).alias("line_at")
-    return parsed.join(raw.select("row_id", "file_name", line_at), "row_id")
-
-
 # --- sections and references
 
 

@@ -46,11 +46,11 @@ _CASES = " ".join(
 
 _PARSED = f"""
 WITH raw AS (SELECT row_id, sep_char, regexp_replace(coalesce(raw_line, ''), '\\r\\z', '') AS r FROM citation_rows WHERE line_no > 1),
-cut AS (SELECT row_id, r, CASE {_CASES} END AS c FROM raw),
+split AS (SELECT row_id, r, CASE {_CASES} END AS c FROM raw),
 bare AS (SELECT row_id, r, c.sound AS sound, c.four AS four,
   """ + ", ".join(
     f"CASE WHEN starts_with(c.f{k}, '\"') THEN replace(substr(c.f{k}, 2, length(c.f{k}) - 2), '\"\"', '\"') ELSE c.f{k} END AS f{k}" for k in range(1, 5)
-) + """ FROM cut),
+) + """ FROM split),
 told AS (SELECT row_id, trim(f1, ' ') AS chapter, trim(f2, ' ') AS section, f3 AS line, f4 AS text,
   CASE WHEN NOT sound THEN 'quoting' WHEN NOT four OR regexp_matches(r, '^\\s*$') THEN 'columns'
   WHEN NOT regexp_full_match(trim(f1, ' '), '[1-9][0-9]{0,3}[a-z]?') OR NOT regexp_full_match(trim(f2, ' '), '[1-9][0-9]{0,3}[a-z]?')

@@ -149,19 +149,45 @@ def sql_plain(c: str) -> str:
     return f"lower(regexp_replace(replace(strip_accents({c}), 'Σ', 'σ'), '{_BARE}', '', 'g'))"
 
 
-def sql_parts(tok: str) -> str:
+# The token grammar by runs: letters with their marks, and the gaps between them. A gap without a separator that ends in - or < joins two runs; another is cut behind its last separator.
+_Z, _C = r"\p{Z}", r"[\p{Lu}\p{Ll}\p{Lt}]"
+_JOINS = f"NOT regexp_matches(run, '{_Z}') AND regexp_matches(run, '[-<]\\z')"
+_BEHIND = f"regexp_extract(run, '(?s)^(.*{_Z})', 1)"
+
+
+def sql_runs(letter: str, source: str = "documents", keys: str = "doc_id, lang", text: str = "text", names: str = "") -> str:
+    """CTEs runs and words: each word with its number and its gaps, as ``before`` and ``after``; ``first`` and ``last`` gaps whole."""
+    ids = keys.split(", ")[0]
     return (
-        f"trim(regexp_extract({tok}, '^([^{_L}]*)', 1), chr(10)) AS pre, regexp_replace({tok}, '[^{_L}]', '', 'g') AS word, "
-        f"CASE WHEN regexp_matches({tok}, '[{_L}]') THEN trim(regexp_extract({tok}, '([^{_L}]*)\\z', 1), chr(10)) ELSE '' END AS post"
+        f"r0{names} AS (SELECT {keys}, regexp_extract_all({text}, '{letter}|{_not(letter)}+') AS l FROM {source}), "
+        f"r1{names} AS (SELECT {keys}, len(l) AS n, unnest(l) AS run, unnest(range(1, len(l) + 1)) AS k FROM r0{names}), "
+        f"r2{names} AS (SELECT *, regexp_matches(run, '^(?:{letter})') AS is_word, k > 1 AND k < n AND NOT ({_JOINS}) AS cuts FROM r1{names}), "
+        f"r3{names} AS (SELECT *, 1 + coalesce(sum((cuts AND NOT is_word)::INT) OVER (PARTITION BY {ids} ORDER BY k), 0) AS no FROM r2{names}), "
+        f"words{names} AS (SELECT {keys}, no, string_agg(run, '' ORDER BY k) FILTER (is_word) AS word, "
+        f"coalesce(max(CASE WHEN NOT is_word AND k = 1 THEN run END), '') AS first, coalesce(max(CASE WHEN NOT is_word AND k = n AND k > 1 THEN run END), '') AS last, "
+        f"coalesce(max(CASE WHEN NOT is_word AND cuts THEN substr(run, length({_BEHIND}) + 1) END), '') AS cut_pre, "
+        f"coalesce(max(CASE WHEN NOT is_word AND cuts THEN CASE WHEN regexp_matches(run, '{_Z}') THEN {_BEHIND} ELSE run END END), '') AS cut_post, "
+        f"coalesce(bool_and(regexp_matches(run, '{_Z}')) FILTER (NOT is_word AND cuts), true) AS parted FROM r3{names} GROUP BY {keys}, no), "
+        f"cut{names} AS (SELECT {keys}, no, word, first, last, CASE WHEN parted THEN cut_pre ELSE '' END AS cut_pre, lead(cut_post, 1, '') OVER (PARTITION BY {ids} ORDER BY no) AS cut_post FROM words{names})"
     )
 
 
-_TOKENS = f"t AS (SELECT doc_id, lang, regexp_extract_all(text, '{T.TOKEN}') AS l FROM documents)"
-TOKENS = f"WITH {_TOKENS}, cut AS (SELECT doc_id, lang, unnest(l) AS tok, unnest(range(1, len(l) + 1)) AS token_no FROM t), tokens AS (SELECT doc_id, lang, token_no, tok, {sql_parts('tok')} FROM cut)"
-SLOTS = (
-    f"WITH {_TOKENS}, f AS (SELECT doc_id, list_filter(l, lambda x: regexp_matches(x, '[\\p{{Lu}}\\p{{Ll}}\\p{{Lt}}]')) AS l FROM t), "
-    f"cut AS (SELECT doc_id, unnest(l) AS tok, unnest(range(1, len(l) + 1)) AS slot FROM f), "
-    f"s0 AS (SELECT doc_id, slot, {sql_parts('tok')} FROM cut), s AS (SELECT doc_id, slot, pre, word AS orig, post, {sql_plain('word')} AS plain FROM s0)"
+def _not(letter: str) -> str:
+    return {f"[{_L}]+": f"[^{_L}]", f"{_C}[{_L}]*": f"[^{_C[1:]}"}[letter]
+
+
+# Every token, also those without a letter: what stands before the first word is cut behind separators, what is behind the last one likewise.
+_WORDS = "WITH " + sql_runs(f"[{_L}]+")
+TOKENS = _WORDS + (
+    f", lead AS (SELECT doc_id, lang, regexp_extract_all(first, '(?s).[^{_Z}]*{_Z}') AS l, first FROM cut WHERE no = 1), "
+    f"parts AS (SELECT doc_id, lang, 0 AS g, unnest(l) AS pre, unnest(range(1, len(l) + 1)) AS nth, '' AS word, '' AS post FROM lead "
+    f"UNION ALL SELECT doc_id, lang, 2, substr(first, length(array_to_string(l, '')) + 1), 0, '', '' FROM lead SEMI JOIN (SELECT doc_id FROM cut GROUP BY 1 HAVING count(word) = 0) USING (doc_id) WHERE length(array_to_string(l, '')) < length(first) "
+    f"UNION ALL SELECT doc_id, lang, 1, CASE WHEN no = 1 THEN regexp_replace(first, '(?s)^(.[^{_Z}]*{_Z})+', '') ELSE cut_pre END, no, word, CASE WHEN last = '' THEN cut_post WHEN regexp_matches(last, '{_Z}') THEN regexp_extract(last, '(?s)^(.*{_Z})', 1) ELSE last END FROM cut WHERE word IS NOT NULL "
+    f"UNION ALL SELECT doc_id, lang, 2, regexp_replace(last, '(?s)^.*{_Z}', ''), no, '', '' FROM cut WHERE regexp_matches(last, '(?s){_Z}[^{_Z}]+\\z')), "
+    "tokens AS (SELECT doc_id, lang, row_number() OVER (PARTITION BY doc_id ORDER BY g, nth) AS token_no, trim(pre, chr(10)) AS pre, word, trim(post, chr(10)) AS post FROM parts)"
+)
+SLOTS = "WITH " + sql_runs(f"{_C}[{_L}]*") + (
+    f", s AS (SELECT doc_id, no AS slot, trim(CASE WHEN no = 1 THEN first ELSE cut_pre END, chr(10)) AS pre, word AS orig, trim(CASE WHEN last <> '' THEN last ELSE cut_post END, chr(10)) AS post, {sql_plain('word')} AS plain FROM cut WHERE word IS NOT NULL)"
 )
 UNITS = SLOTS + (
     ", u AS (SELECT *, 1 + coalesce(sum(CASE WHEN regexp_matches(post, '[.?!]') THEN 1 ELSE 0 END) OVER w, 0)::BIGINT AS sentence, "
@@ -178,7 +204,7 @@ QUERIES = {n: f for n, f in list(globals().items()) if n.startswith("q_")}
 ORACLES = {
     "q_tokens": TOKENS + " SELECT doc_id, token_no, pre, word, post FROM tokens",
     "q_slots": SLOTS + " SELECT * FROM s",
-    "q_clean_words": f"WITH w AS (SELECT regexp_replace(unnest(regexp_extract_all(text, '{T.CLEAN_WORD}')), '[^{_L}]', '', 'g') AS word FROM documents) SELECT word, count(*) AS n FROM w GROUP BY word",
+    "q_clean_words": f"WITH b AS (SELECT unnest(regexp_split_to_array(text, '{_Z}')) AS block FROM documents), w AS (SELECT regexp_replace(block, '[^{_L}]', '', 'g') AS word FROM b) SELECT word, count(*) AS n FROM w WHERE word <> '' GROUP BY word",
     "q_plain_freq_topk": SLOTS + " SELECT plain, count(*) AS n FROM s GROUP BY plain ORDER BY n DESC, plain LIMIT 50",
     "q_forms": f"SELECT form_id, {sql_plain('orig')} AS plain_low, upper(replace({sql_plain('orig')}, 'ß', 'ss')) AS plain_caps, regexp_replace(plain, '[ινσς]', '', 'g') AS clean_plain, lower(regexp_replace(replace(strip_accents(orig), 'Σ', 'σ'), '[^\\p{{L}}]', '', 'g')) AS letters, regexp_full_match(orig, '[\\x00-\\x7F]*') AS is_ascii, translate(orig, '{T.APOSTROPHES.replace(chr(39), chr(39) * 2)}', '{T.APOSTROPHE * len(T.APOSTROPHES)}') AS one_apostrophe FROM wordforms",
     "q_alternatives": f"SELECT DISTINCT lemma, {_ALT.format(c='lower(lemma)', f='x')} AS main_word, {_ALT.format(c='lemma', f=sql_plain('x'))} AS plain_word FROM slots WHERE lemma <> ''",

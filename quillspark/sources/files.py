@@ -29,8 +29,14 @@ def header_names(line: Column, sep: Column) -> Column:
     return F.transform(F.split(F.replace(bare, sep, F.lit("\x01")), "\x01"), lambda c: F.lower(F.trim(F.regexp_replace(c, '^"|"\\z', ""))))
 
 
-def read_delimited(spark: SparkSession, path: str, sep: str | None = None, header: bool | list[str] = True) -> DataFrame:
-    """All columns as strings; the delimiter is sniffed where none is given, names are in small letters; a list of names must fit the columns."""
+def read_delimited(spark: SparkSession, path: str, sep: str | None = None, header: bool | list[str] = True, with_source: bool = False) -> DataFrame:
+    """All columns as strings; names are in small letters; a list of names must fit the columns.
+
+    Where no delimiter is given, that of the first file is sniffed, so files of
+    another dialect go in another call; ``by_dialect`` tells them apart. With
+    ``with_source`` also ``doc_id``, the file's path, and ``row_no``, which
+    orders the rows of a file.
+    """
     if sep is None:
         first = spark.read.text(path).limit(1).select(sniff_delimiter(F.col("value")).alias("sep")).collect()
         sep = (first[0]["sep"] if first else None) or ","
@@ -38,7 +44,17 @@ def read_delimited(spark: SparkSession, path: str, sep: str | None = None, heade
     names = list(header) if isinstance(header, (list, tuple)) else df.columns
     if len(names) != len(df.columns):
         raise ValueError(f"{len(names)} names for {len(df.columns)} columns")
-    return df.toDF(*[n.lower() for n in names])
+    columns = [F.col(f"`{c}`").alias(n.lower()) for c, n in zip(df.columns, names, strict=True)]
+    # A file of quoted line breaks is read by one task, from its start, so numbers rise within it.
+    own = [F.col("_metadata.file_path").alias("doc_id"), F.monotonically_increasing_id().alias("row_no")] if with_source else []
+    return df.select(*own, *columns)
+
+
+def by_dialect(spark: SparkSession, path: str) -> DataFrame:
+    """(path, sep): the delimiter of each file by its first line."""
+    lines = spark.read.text(path).select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("at"), F.col("value"), F.monotonically_increasing_id().alias("row"))
+    first = lines.where("at = 0").groupBy("path").agg(F.min_by("value", "row").alias("line"))
+    return first.select("path", sniff_delimiter(F.col("line")).alias("sep"))
 
 
 def read_xml_texts(spark: SparkSession, path: str) -> DataFrame:
