@@ -32,11 +32,19 @@ def verse_levels(ref: Column) -> Column:
     return F.struct(*[F.nullif(F.regexp_extract(ref, r"^B([0-9]+)K([0-9]+)V([0-9]+)", k), F.lit("")).alias(n) for k, n in ((1, "book"), (2, "chapter"), (3, "verse"))])
 
 
-def manuscript_siglum(number: Column) -> Column:
-    """Five digits: 1 is a papyrus, 2 a majuscule, 3 a minuscule, 4 a lectionary; zeros before the number go."""
+def manuscript_siglum(number: Column, institution: Column | None = None) -> Column:
+    """Five characters, the last no ``S``: 1 is a papyrus, 2 a majuscule, 3 a minuscule, 4 a lectionary, and zeros before the number go; other names stay. Two institutions have their letter before it."""
     kind = F.substring(number, 1, 1)
     mark = F.when(kind == "1", "P").when(kind == "2", "0").when(kind == "3", "").when(kind == "4", "L")
-    return F.concat(mark, F.regexp_replace(F.substring(number, 2, 4), "^0+", ""))
+    named = F.when((F.length(number) == 5) & ~number.endswith("S"), F.coalesce(F.concat(mark, F.regexp_replace(F.substring(number, 2, 4), "^0+", "")), number)).otherwise(number)
+    if institution is None:
+        return named
+    return F.concat(F.when(institution == "Birmingham", "B_").when(institution == "Muenster", "M_").otherwise(""), named)
+
+
+def code_path(key: Column, from_file: bool = False) -> Column:
+    """A work's folders by its code: its parts between spaces, or the first three between full stops of a file's name."""
+    return F.array_join(F.slice(F.split(key, r"\."), 1, 3) if from_file else F.split(key, " +"), "/")
 
 
 def first_of(*cols: Column, default: str) -> Column:

@@ -34,6 +34,31 @@ def parse_bibliography(df: DataFrame, part_col: str, order_col: str, line_col: s
     return entries.groupBy("work_id", F.coalesce(F.element_at(names, F.col("code")), F.col("code")).alias("field")).agg(F.max_by("value", F.struct(part_col, "entry")).alias("value"))
 
 
+def tidy_fields(fields: DataFrame) -> DataFrame:
+    """(work_id, field, value) with values as a catalogue has them: angle and square brackets go from names, names, titles, publishers and places have capitals, citation schemes are in small letters."""
+    f, v = F.col("field"), F.col("value")
+    bare = F.regexp_replace(v, r"^[<>\[\]]+|[<>\[\]]+\z", "")
+    tidy = F.when(f.isin("author", "editor"), F.initcap(bare)).when(f.isin("work", "publisher", "place", "title"), F.initcap(v)).when(f == "citation_scheme", F.lower(v)).otherwise(v)
+    return fields.withColumn("value", tidy)
+
+
+def parse_titles(df: DataFrame, part_col: str, order_col: str, line_col: str, prefix: str = "") -> DataFrame:
+    """(work_id, title, title_full) of a list of works: ``NNNN WWW`` opens a work, the lines to the next one are its title, up to a comma the short one; ``NNNN`` alone opens an author."""
+    line = F.trim(line_col)
+    work = F.when(line.rlike(r"^[0-9]{4} \w{3}\z"), F.concat(F.lit(prefix), F.replace(line, F.lit(" "), F.lit("-")))).when(line.rlike(r"^[0-9]{4}\z"), F.lit(""))
+    run = Window.partitionBy(part_col).orderBy(order_col).rowsBetween(Window.unboundedPreceding, 0)
+    told = df.select(part_col, order_col, line.alias("line"), F.last(work, ignorenulls=True).over(run).alias("work_id"), work.isNotNull().alias("opens")).where("work_id <> '' AND NOT opens")
+    rows = F.array_sort(F.collect_list(F.struct(F.col(order_col).alias("o"), F.col("line").alias("l"))))
+    full = told.groupBy(part_col, "work_id").agg(rows.alias("rows")).select("work_id", F.regexp_extract(F.get("rows", F.lit(0))["l"], "^([^,]*)", 1).alias("title"), F.array_join(F.transform("rows", lambda r: r["l"]), " ").alias("title_full"))
+    return full
+
+
+def with_titles(df: DataFrame, key_col: str, titles: DataFrame, default: str = "not provided") -> DataFrame:
+    """``df`` with ``title`` by ``titles`` (work_id, title), else the default."""
+    lex = titles.groupBy(F.col("work_id").alias("key__")).agg(F.max("title").alias("title__"))
+    return df.join(lex, F.col(key_col) == F.col("key__"), "left").select(*[df[c] for c in df.columns], F.coalesce("title__", F.lit(default)).alias("title"))
+
+
 def as_records(fields: DataFrame) -> DataFrame:
     """(work_id, fields): one map for each work."""
     return fields.groupBy("work_id").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("field", "value")))).alias("fields"))

@@ -17,16 +17,36 @@ def candidate_keys(word: Column, mark: str = APOSTROPHE) -> Column:
     return F.array(F.concat(word, F.lit(mark)), word, F.concat(F.lit(mark), word), F.concat(F.lit(mark), word, F.lit(mark)))
 
 
+def with_plain_keys(lexicon: DataFrame, mark: str = APOSTROPHE) -> DataFrame:
+    """(key, exact, value) of a lexicon (key, value array): its keys, and their plain forms with the values of all keys that share them."""
+    end = lambda side: F.when(side, F.lit(mark)).otherwise("")
+    k = F.col("key")
+    plain = F.concat(end(k.startswith(mark)), plain_low(k), end((F.length(k) > 1) & k.endswith(mark)))
+    grouped = lexicon.select(plain.alias("key"), F.explode("value").alias("v")).groupBy("key").agg(F.array_sort(F.collect_set("v")).alias("value"))
+    return lexicon.select("key", F.lit(True).alias("exact"), F.array_sort("value").alias("value")).unionByName(grouped.select("key", F.lit(False).alias("exact"), "value"))
+
+
 def resolve_elision(words: DataFrame, word_col: str, lexicon: DataFrame, mark: str = APOSTROPHE, require_mark: bool = True) -> DataFrame:
     """``words`` (distinct) with ``full``, the sorted values of the first key that the lexicon (key, value array) has.
 
-    With ``require_mark`` the bare word is no key, as it would fire on any equal stem.
+    Keys are tried by rank (see ``candidate_keys``), each first as it is, then in
+    its plain form. With ``require_mark`` the bare word is no key, as it would
+    fire on any equal stem. Words go by once: their keys are joined to the
+    lexicon, and the best one is kept.
     """
-    keys = words.select(F.col(word_col), F.posexplode(candidate_keys(F.col(word_col), mark)).alias("rank", "key"))
+    tries = F.array(F.struct(F.lit(True).alias("exact"), F.col(word_col).alias("w")), F.struct(F.lit(False).alias("exact"), plain_low(F.col(word_col)).alias("w")))
+    keys = words.select(word_col, F.inline(tries)).select(word_col, "exact", F.posexplode(candidate_keys(F.col("w"), mark)).alias("rank", "key"))
     if require_mark:
         keys = keys.where("rank <> 1")
-    hits = keys.join(lexicon.select("key", "value"), "key").groupBy(word_col).agg(F.min_by(F.array_sort("value"), "rank").alias("full"))
-    return words.join(hits, word_col, "left")
+    hits = keys.join(with_plain_keys(lexicon.select("key", "value"), mark), ["key", "exact"], "left")
+    best = F.min(F.when(F.col("value").isNotNull(), F.struct("rank", (~F.col("exact")).alias("plain"), "value")))
+    return hits.groupBy(word_col).agg(best["value"].alias("full"))
+
+
+def resolve_names(words: DataFrame, word_col: str, lexicon: DataFrame) -> DataFrame:
+    """``words`` with ``full``: abbreviated names by a lexicon (key, value), other words as they are."""
+    lex = lexicon.select(F.col("key").alias("key__"), F.col("value").alias("value__")).dropDuplicates(["key__"])
+    return words.join(lex, F.col(word_col) == F.col("key__"), "left").select(*[words[c] for c in words.columns], F.coalesce("value__", word_col).alias("full"))
 
 
 def resolve_contraction(tokens: DataFrame, keys: list[str], word_col: str, lexicon: DataFrame) -> DataFrame:

@@ -54,27 +54,6 @@ def fill_continuations(rows: DataFrame, id_col: str, order_col: str, text_col: s
     return rows.withColumn("island", island).groupBy(id_col, "island").agg(F.max(order_col).alias(order_col), joined.alias("text")).drop("island")
 
 
-def bracket_heads(tokens: DataFrame, id_col: str) -> DataFrame:
-    """Tokens (id, token_no, pre, word, post) with ``in_head`` and ``head_no`` of the bracket `{…}` they are in or follow."""
-    by_doc = Window.partitionBy(id_col).orderBy("token_no")
-    count = lambda c, ch: F.length(c) - F.length(F.replace(c, F.lit(ch), F.lit("")))
-    opens = count(F.col("pre"), "{")
-    closes = count(F.concat("pre", "post"), "}")
-    late = count(F.col("post"), "{")
-    run = by_doc.rowsBetween(Window.unboundedPreceding, 0)
-    before = by_doc.rowsBetween(Window.unboundedPreceding, -1)
-    depth = F.sum(opens).over(run) + F.coalesce(F.sum(late).over(before), F.lit(0)) - F.coalesce(F.sum(closes).over(before), F.lit(0))
-    return tokens.select("*", (depth > 0).alias("in_head"), (F.sum(opens).over(run) + F.coalesce(F.sum(late).over(before), F.lit(0))).alias("head_no"))
-
-
-def head_texts(tokens: DataFrame, id_col: str) -> DataFrame:
-    """(id, head_no, head): the text of each bracket head, without the brackets."""
-    inside = bracket_heads(tokens, id_col).where("in_head")
-    part = F.concat("pre", "word", "post")
-    joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("token_no", part.alias("part")))), lambda s: s["part"]), "")
-    return inside.groupBy(id_col, "head_no").agg(F.trim(F.translate(joined, "{}", "")).alias("head"))
-
-
 def verse_changes(rows: DataFrame, id_col: str, order_col: str, levels: list[str]) -> DataFrame:
     """(id, order, level, value): one row for each level that changes; a change restarts the levels below it."""
     by_doc = Window.partitionBy(id_col).orderBy(order_col)

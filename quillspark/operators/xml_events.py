@@ -202,14 +202,15 @@ def header_fields(events: DataFrame, id_col: str, blocks: dict | None = None) ->
     return out.select(id_col, "field", F.when(F.col("value").endswith(F.col("end")), F.col("value")).otherwise(F.concat("value", "end")).alias("value"))
 
 
-def clean_transcription(c: Column) -> Column:
-    """Tags of a transcription out of its text: bodies of notes, running heads and numbers go; an inner line break goes, another is a space; a gap is named."""
+def clean_transcription(c: Column, keep: tuple[str, ...] = ()) -> Column:
+    """Tags of a transcription out of its text: bodies of notes, running heads and numbers go; an inner line break goes, another is a space; a gap is named; tags in ``keep`` stay."""
     for tag in ("note", "fw", "num"):
         c = F.regexp_replace(c, rf"<{tag}\b[^>]*>[\s\S]*?</{tag}>", "")
     c = F.regexp_replace(c, r"<lb\b[^>]*break=\"no\"[^>]*/?>", "")
     c = F.regexp_replace(c, r"<lb\b[^>]*/?>", " ")
     c = F.regexp_replace(c, r"<gap\b[^>]*/?>", " {gap} ")
-    c = F.regexp_replace(c, r"</?(?:w|div|pb|cb|ab|seg|hi|unclear|supplied|abbr|ex)\b[^>]*>", "")
+    tags = "|".join(t for t in ("w", "div", "pb", "cb", "ab", "seg", "hi", "unclear", "supplied", "abbr", "ex") if t not in keep)
+    c = F.regexp_replace(c, rf"</?(?:{tags})\b[^>]*>", "")
     c = F.regexp_replace(c, r"&[a-z]+;", "")
     return F.trim(F.regexp_replace(c, " {2,}", " "))
 

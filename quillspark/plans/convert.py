@@ -92,6 +92,12 @@ class Graph:
             df.write.mode(mode).parquet(f"{folder}/{name}")
 
 
+def _kept(segments: DataFrame) -> DataFrame:
+    """Counted segments in a checkpoint: texts are cut once, while slots and every kind of node read them."""
+    checkpoint_dir(segments.sparkSession)
+    return segments.checkpoint()
+
+
 def _slots(segments: DataFrame, profile: Profile, lemmata: DataFrame | None) -> DataFrame:
     """Slots of counted segments, with ``sentence`` and ``phrase``."""
     flat = segments.where("n > 0").select(ID, "before", F.posexplode("words").alias("at", "w"))
@@ -153,6 +159,7 @@ def rows_to_graph(
     counted = S.counted(cut, ID, order, "body", profile.contractions, profile.cased)
     if not ignore_empty:
         counted = _with_empty(counted, order, own)
+    counted = _kept(counted.select(ID, *order, *(["head", "head_no"] if profile.bracket_heads else []), *own, "words", "n", "before"))
     by_doc = Window.partitionBy(ID).orderBy(*order)
     full = counted.where("n > 0").select(ID, *order, "before", "n", *own)
     for k in range(len(own)):
@@ -239,6 +246,7 @@ def xml_to_graph(docs: DataFrame, id_col: str, xml_col: str, profile: Profile =
     counted = counted.withColumn("before", F.coalesce(F.sum("n").over(by_doc.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).withColumn("total", F.sum("n").over(Window.partitionBy(ID)))
     if not ignore_empty:
         counted = _with_empty(counted, ["pos"], []).withColumn("total", F.greatest("total", F.lit(1)))
+    counted = _kept(counted.select(ID, "pos", "code", "tag", "attrs", "text", "name", "value", "sections", "level", "depth", "closes__", "aside__", "aside_tag__", "words", "n", "before", "total"))
     spans = [_section_spans(counted), _element_spans(counted, profile)]
     if profile.non_text_tags:
         asides = counted.where((F.col("code") == "text") & (F.col("aside__") > 0))
@@ -255,11 +263,13 @@ def _section_spans(counted: DataFrame) -> DataFrame:
     own = F.col("level") == F.col("k")
     mark = F.when(own, F.struct(F.col("pos").alias("at"), F.col("value").alias("v"), F.lit(True).alias("open"))).when((F.col("level") < F.col("k")) | (F.col("closes__") <= F.col("k")), F.struct(F.col("pos").alias("at"), F.lit(None).cast("string").alias("v"), F.lit(False).alias("open")))
     state = F.last(mark, ignorenulls=True).over(run.rowsBetween(*_SO_FAR))
-    later = F.first(F.when(own, F.col("value")), ignorenulls=True).over(run.rowsBetween(1, Window.unboundedFollowing))
+    # only the last node of value 0 before an opening is numbered by it
+    sign = F.when(own, F.struct(F.col("value").alias("v"))).when(F.col("n") > 0, F.struct(F.lit(None).cast("string").alias("v")))
+    later = F.first(sign, ignorenulls=True).over(run.rowsBetween(1, Window.unboundedFollowing))["v"]
     told = long.select(ID, "otype", "n", "before", F.coalesce(state["at"], F.lit(-1)).alias("seq"), F.coalesce(state["open"], F.lit(False)).alias("open"), state["v"].alias("v"), later.alias("later")).where("n > 0")
-    guessed = F.when(F.col("later").rlike(r"^[0-9]{1,18}\z"), (F.col("later").cast("long") - 1).cast("string")).otherwise("0")
-    value = F.when(F.col("open"), F.coalesce("v", F.lit(""))).otherwise(guessed)
-    told = told.withColumn("value", value).groupBy(ID, "otype", "seq").agg(F.first("value").alias("value"), (F.min("before") + 1).cast("long").alias("from_slot"), F.max(F.col("before") + F.col("n")).cast("long").alias("to_slot"))
+    guessed = F.when(F.max("later").rlike(r"^[0-9]{1,18}\z"), (F.max("later").cast("long") - 1).cast("string")).otherwise("0")
+    value = F.when(F.bool_and("open"), F.coalesce(F.max("v"), F.lit(""))).otherwise(guessed)
+    told = told.groupBy(ID, "otype", "seq").agg(value.alias("value"), (F.min("before") + 1).cast("long").alias("from_slot"), F.max(F.col("before") + F.col("n")).cast("long").alias("to_slot"))
     return told.withColumn("seq", F.col("seq").cast("long"))
 
 

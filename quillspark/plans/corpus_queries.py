@@ -14,10 +14,12 @@ from quillspark.operators import sections as S
 from quillspark.operators import slots as O
 from quillspark.operators import witness as V
 from quillspark.operators import xml_events as E
+from quillspark.operators.citations import parse_citations
+from quillspark.operators.segments import cut_heads
 from quillspark.plans.convert_queries import lines as _lines
 from quillspark.plans.problems import _PARSED
 from quillspark.plans.text_queries import TOKENS, UNITS
-from quillspark.session import table
+from quillspark.session import spread, table
 from quillspark.sources.files import header_names, sniff_delimiter
 from quillspark.sources.sinks import output_path
 
@@ -97,7 +99,19 @@ def q_continuations(spark: SparkSession, d: str) -> DataFrame:
 
 
 def q_heads(spark: SparkSession, d: str) -> DataFrame:
-    return S.head_texts(O.explode_tokens(table(spark, d, "documents"), "doc_id", "text"), "doc_id")
+    docs = spread(table(spark, d, "documents").where(F.col("text").contains("{")).select("doc_id", "text", F.lit(0).alias("line_no")), "doc_id")
+    heads = cut_heads(docs, "doc_id", "line_no", "text").where("head IS NOT NULL")
+    return heads.select("doc_id", "head_no", F.trim(F.translate("head", "{}", "")).alias("head"))
+
+
+def q_citations(spark: SparkSession, d: str) -> DataFrame:
+    """Rows as plain citation text: some references broken over two lines, some without text, blank lines between."""
+    rows = _lines(spark, d)
+    ref, text = F.concat_ws(".", "section", "line"), F.concat(F.lit("§ "), F.regexp_replace("text", r"[\r\n]", " "))
+    whole = F.concat(F.col("chapter"), F.lit("."), ref, F.lit("\t"), text)
+    parts = F.when(F.col("row_id") % 5 == 0, F.array(F.concat("chapter", F.lit(".")), F.lit(" "), F.concat(ref, F.lit("\t"), text))).when(F.col("row_id") % 7 == 0, F.array(F.lit("x.y.z"), whole)).otherwise(F.array(whole))
+    lines = rows.select("file_name", "line_at", F.posexplode(parts).alias("k", "line")).select("file_name", (F.col("line_at") * 4 + F.col("k")).alias("place"), "line", F.lit(3).alias("n"))
+    return parse_citations(lines, "file_name", "place", "line", "n").select("file_name", "place", F.array_join("refs", "|", "~").alias("refs"), "text")
 
 
 # --- graph
@@ -204,8 +218,9 @@ def q_header_fields(spark: SparkSession, d: str) -> DataFrame:
 
 
 def q_transcription(spark: SparkSession, d: str) -> DataFrame:
-    t = F.concat(F.lit("<w>"), F.coalesce("orig", F.lit("")), F.lit('</w><lb break="no"/><note>x</note>'), F.coalesce("post", F.lit("")), F.lit("<lb/>y<gap/>&amp;"))
-    s = table(spark, d, "slots").select("orig", "post").where("NOT coalesce(orig, '') || coalesce(post, '') RLIKE '[<>&]'").distinct()
+    safe = lambda c: F.regexp_replace(F.coalesce(F.col(c), F.lit("")), "[<>&]", "&amp;")
+    t = F.concat(F.lit("<w>"), safe("orig"), F.lit('</w><lb break="no"/><note>x</note>'), safe("post"), F.lit("<lb/>y<gap/>&amp;"))
+    s = table(spark, d, "slots").select("orig", "post").distinct()
     return s.select("orig", "post", E.clean_transcription(t).alias("cleaned"))
 
 
@@ -221,8 +236,22 @@ def q_bibliography(spark: SparkSession, d: str) -> DataFrame:
 
 def q_titles(spark: SparkSession, d: str) -> DataFrame:
     titles = table(spark, d, "works").groupBy("work_id").agg(F.max(F.struct("loaded_at", "title"))["title"].alias("title"))
-    docs = table(spark, d, "documents").select("doc_id", "work_id")
-    return docs.join(titles, "work_id", "left").select("doc_id", F.coalesce("title", F.lit("not provided")).alias("title"))
+    return B.with_titles(table(spark, d, "documents").select("doc_id", "work_id"), "work_id", titles).select("doc_id", "title")
+
+
+def q_title_list(spark: SparkSession, d: str) -> DataFrame:
+    """Works as a list of authors, works and their titles on two lines."""
+    w = table(spark, d, "works").groupBy("work_id").agg(F.max("title").alias("title"), F.max("place").alias("place"))
+    code = lambda k: F.regexp_extract("work_id", "([0-9]+)-([0-9]+)", k)
+    one = lambda c: F.regexp_replace(F.trim(F.coalesce(F.col(c), F.lit("-"))), r"\s+", " ")
+    lines = F.array(code(1), F.concat(code(1), F.lit(" "), code(2)), one("title"), one("place"))
+    return B.parse_titles(w.select("work_id", F.posexplode(lines).alias("n", "line")).withColumnRenamed("work_id", "file"), "file", "n", "line", "cpx")
+
+
+def q_tidy_fields(spark: SparkSession, d: str) -> DataFrame:
+    w = table(spark, d, "works").groupBy("work_id").agg(F.max("author").alias("author"), F.max("place").alias("place"), F.max("citation_scheme").alias("scheme"))
+    fields = F.array(F.struct(F.lit("author").alias("field"), F.concat(F.lit("<"), "author", F.lit("]")).alias("value")), F.struct(F.lit("place").alias("field"), F.upper("place").alias("value")), F.struct(F.lit("citation_scheme").alias("field"), F.upper("scheme").alias("value")), F.struct(F.lit("pages").alias("field"), F.upper("place").alias("value")))
+    return B.tidy_fields(w.select("work_id", F.inline(fields)))
 
 
 def q_authors(spark: SparkSession, d: str) -> DataFrame:
@@ -271,6 +300,20 @@ def q_witness_select(spark: SparkSession, d: str) -> DataFrame:
     return V.select_readings(r, r.where("hand <> ''").select("manuscript", "hand"), "manuscript", "unit", "hand", "pos", "text")
 
 
+def _transcriptions(spark: SparkSession, d: str) -> DataFrame:
+    """Each manuscript's readings as XML: listed hands, verses, variant units."""
+    r = _readings(spark, d).withColumn("t", F.translate(F.coalesce("text", F.lit("")), "<>&\"\n", "()+' "))
+    rdg = F.concat(F.lit("<rdg type='x'"), F.when(F.col("hand").isNull(), "").otherwise(F.concat(F.lit(' hand="'), "hand", F.lit('V"'))), F.lit("><w>"), "t", F.lit("</w></rdg>"))
+    units = r.withColumn("rdg", F.regexp_replace(rdg, 'hand="V"', 'hand=""')).groupBy("manuscript", "unit").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "rdg"))), lambda x: x["rdg"]), "\n").alias("app"), F.collect_set(F.when(F.col("hand") != "", F.col("hand"))).alias("hands"))
+    units = units.withColumn("ab", F.concat(F.lit('<ab n="B0'), F.pmod(F.floor(F.col("unit") / 4), F.lit(4)), F.lit("K"), F.floor(F.col("unit") / 2), F.lit("V"), F.col("unit"), F.lit('">q <app>'), "app", F.lit("</app>\n</ab>")))
+    docs = units.groupBy("manuscript").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("unit", "ab"))), lambda x: x["ab"]), "").alias("body"), F.array_distinct(F.flatten(F.collect_list("hands"))).alias("hands"))
+    return docs.select("manuscript", F.concat(F.lit("<TEI><listWit>"), F.array_join(F.transform("hands", lambda h: F.concat(F.lit('<witness id="'), h, F.lit('"/>'))), ""), F.lit("</listWit><body>"), "body", F.lit("</body></TEI>")).alias("xml"))
+
+
+def q_manuscripts(spark: SparkSession, d: str) -> DataFrame:
+    return V.witness_texts(_transcriptions(spark, d), "manuscript", "xml")
+
+
 # --- SQL
 
 _LINES = _PARSED + ", lines AS (SELECT t.*, file_name, c.line_no::BIGINT * 1000000000 + row_id AS line_at FROM told t JOIN citation_rows c USING (row_id) WHERE reason IS NULL)"
@@ -281,6 +324,8 @@ _NEW = {
 }
 _FLAGS = lambda where: ", f AS (SELECT *, " + ", ".join(f"({v})::INT AS f_{k}" for k, v in _NEW.items()) + f" FROM lines {where} WINDOW w AS (PARTITION BY file_name ORDER BY line_at))"
 _ALIGN = "array_to_string(list_transform(range(1, {n} + 1), lambda i: coalesce(CASE WHEN len(p) - {n} + i >= 1 THEN p[(len(p) - {n} + i)::INT] END, '~')), '|')"
+_KEPT = "regexp_replace(CASE WHEN regexp_matches(x, '^\\p{L}') THEN regexp_extract(x, '^(\\p{L}+)', 1) ELSE regexp_extract(regexp_extract(x, '^([^_]*)', 1), '^(\\P{L}*)', 1) END, '[^\\p{L}\\p{N}-]', '', 'g')"
+_CLEAN = f"CASE WHEN regexp_full_match(x, '[0-9]+|\\p{{L}}+') THEN x WHEN regexp_full_match({_KEPT}, '\\p{{L}}+') THEN {_KEPT} ELSE regexp_replace({_KEPT}, '[A-Za-z]+\\z', '') END"
 _DOC_LINES = "WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, unnest(range(0, len(string_split(text, chr(10))))) AS line_no FROM documents)"
 _NODES = UNITS + (
     ", k AS (SELECT doc_id, slot, '_book' AS otype, 1::BIGINT AS seq FROM u UNION ALL SELECT doc_id, slot, '_phrase', phrase FROM u UNION ALL SELECT doc_id, slot, '_sentence', sentence FROM u)"
@@ -309,6 +354,8 @@ ORACLES = {
     "q_sections": _LINES + _FLAGS("WHERE text <> ''") + " SELECT row_id, " + ", ".join(f"sum(f_{k}) OVER w AS {k}_node" for k in LEVELS) + " FROM f WINDOW w AS (PARTITION BY file_name ORDER BY line_at) UNION ALL SELECT row_id, NULL, NULL, NULL FROM lines WHERE text = ''",
     "q_verse_changes": _LINES + _FLAGS("") + " " + " UNION ALL ".join(f"SELECT file_name, line_at, '{k}' AS level, {k} AS value FROM f WHERE f_{k} = 1" for k in LEVELS),
     "q_backfill": _LINES + ", n AS (SELECT file_name, line_at, CASE WHEN line = '1' THEN 0 WHEN regexp_full_match(line, '[0-9]{1,18}') THEN line::BIGINT END AS value FROM lines) SELECT *, CASE WHEN value = 0 AND lead(value) OVER w IS NOT NULL THEN lead(value) OVER w - 1 ELSE value END AS filled FROM n WINDOW w AS (PARTITION BY file_name ORDER BY line_at)",
+    "q_citations": _LINES + ", r AS (SELECT file_name, line_at * 4 + CASE WHEN row_id % 5 = 0 THEN 2 WHEN row_id % 7 = 0 THEN 1 ELSE 0 END AS place, string_split(concat_ws('.', chapter || CASE WHEN row_id % 5 = 0 THEN '. ' ELSE '.' END || section, line), '.') AS p, trim(regexp_replace(regexp_replace(regexp_replace('§ ' || text, '[\\r\\n\\t]', ' ', 'g'), '^\\s+', ''), '\\s+\\z', ''), ' ') AS text FROM lines), "
+    "c AS (SELECT file_name, place, text, list_transform(list_filter(p, lambda x: x <> ''), lambda x: " + _CLEAN + ") AS c FROM r), f AS (SELECT file_name, place, text, list_filter(c, lambda x: x <> '') AS p FROM c) SELECT file_name, place, " + _ALIGN.format(n=3) + " AS refs, text FROM f",
     "q_refs": "WITH r AS (SELECT DISTINCT unnest(regexp_split_to_array(raw_line, '[\\t,;]')[1:3]) AS ref FROM citation_rows WHERE line_no > 1), c AS (SELECT ref, regexp_extract(ref, '^([^_]*)', 1) AS cut FROM r), k AS (SELECT ref, regexp_replace(CASE WHEN regexp_matches(cut, '^\\p{L}') THEN regexp_extract(cut, '^(\\p{L}+)', 1) ELSE regexp_extract(cut, '^(\\P{L}*)', 1) END, '[^\\p{L}\\p{N}-]', '', 'g') AS kept FROM c) SELECT ref, CASE WHEN regexp_full_match(ref, '[0-9]+|\\p{L}+') THEN ref WHEN regexp_full_match(kept, '\\p{L}+') THEN kept ELSE regexp_replace(kept, '[A-Za-z]+\\z', '') END AS cleaned FROM k",
     "q_ref_align": _LINES + ", r AS (SELECT DISTINCT concat_ws('.', chapter, section, line) AS ref FROM lines), k AS (SELECT ref, list_filter(string_split(ref, '.'), lambda x: x <> '') AS p FROM r) SELECT ref, " + _ALIGN.format(n=2) + " AS two, " + _ALIGN.format(n=5) + " AS five FROM k",
     "q_schemes": "WITH w AS (SELECT DISTINCT work_id, list_filter(string_split(lower(citation_scheme), '/'), lambda x: x <> '') AS l FROM works) SELECT work_id, array_to_string(l, '|') AS levels, len(l) AS n FROM w",
@@ -319,7 +366,7 @@ ORACLES = {
     "q_files": "SELECT regexp_extract(file_name, '\\.([a-z]+)\\z', 1) AS extension, count(DISTINCT file_name) AS files, count(*) AS records, count(*) FILTER (WHERE line_no > 1) AS body_records FROM citation_rows GROUP BY 1",
     "q_carry": _DOC_LINES + ", c AS (SELECT doc_id, line_no, CASE WHEN line_no % 5 = 2 THEN line || '-' ELSE line END AS line FROM l), o AS (SELECT *, coalesce(regexp_matches(lag(line) OVER w, '[-<]\\z'), false) AS opened, lead(line) OVER w IS NULL AS last FROM c WINDOW w AS (PARTITION BY doc_id ORDER BY line_no)), i AS (SELECT *, sum((NOT opened)::INT) OVER (PARTITION BY doc_id ORDER BY line_no) AS island FROM o) SELECT doc_id, min(line_no) AS line_no, md5(string_agg(CASE WHEN last THEN line ELSE regexp_replace(line, '[-<]\\z', '') END, '' ORDER BY line_no)) AS text FROM i GROUP BY doc_id, island",
     "q_continuations": _DOC_LINES + ", i AS (SELECT *, coalesce(sum(regexp_matches(line, '[.?!]\\s*\\z')::INT) OVER (PARTITION BY doc_id ORDER BY line_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS island FROM l) SELECT doc_id, max(line_no) AS line_no, md5(string_agg(line, '' ORDER BY line_no)) AS text FROM i GROUP BY doc_id, island",
-    "q_heads": TOKENS + ", c AS (SELECT *, length(pre) - length(replace(pre, '{', '')) AS o, length(pre || post) - length(replace(pre || post, '}', '')) AS z, length(post) - length(replace(post, '{', '')) AS l FROM tokens), h AS (SELECT *, sum(o) OVER (PARTITION BY doc_id ORDER BY token_no) AS so, coalesce(sum(l) OVER b, 0) AS sl, coalesce(sum(z) OVER b, 0) AS sz FROM c WINDOW b AS (PARTITION BY doc_id ORDER BY token_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)) SELECT doc_id, (so + sl)::BIGINT AS head_no, trim(translate(string_agg(pre || word || post, '' ORDER BY token_no), '{}', ''), ' ') AS head FROM h WHERE so + sl - sz > 0 GROUP BY doc_id, so + sl",
+    "q_heads": "WITH h AS (SELECT doc_id, regexp_extract_all(text, '\\{[^}]*\\}? ?') AS l FROM documents) SELECT doc_id, unnest(range(1, len(l) + 1)) AS head_no, trim(translate(unnest(l), '{}', ''), ' ') AS head FROM h",
     "q_nodes": _NODES + " SELECT doc_id, node, otype, seq FROM n",
     "q_oslots": _NODES + " SELECT doc_id, node, from_slot, to_slot FROM n",
     "q_slot_ranges": "WITH k AS (SELECT doc_id, slot, arg_max(lemma, loaded_at) AS lemma FROM slots GROUP BY 1, 2), r AS (SELECT doc_id, slot, slot - row_number() OVER (PARTITION BY doc_id ORDER BY slot) AS run FROM k WHERE lemma <> ''), g AS (SELECT doc_id, run, min(slot) AS a, max(slot) AS b FROM r GROUP BY 1, 2) SELECT doc_id, count(*) AS runs, min(a) AS first, max(b) AS last FROM g GROUP BY doc_id",
@@ -337,14 +384,20 @@ ORACLES = {
     "q_header_fields": _XML + ", b AS (SELECT work_id, pos, text, code, lag(tag) OVER (PARTITION BY work_id ORDER BY pos) AS field, min(CASE WHEN code = 'bodyStart' THEN pos END) OVER (PARTITION BY work_id) AS a FROM ev) SELECT work_id, field, text AS value FROM b WHERE code = 'text' AND pos < a",
     "q_element_spans": _XML + " SELECT o.work_id, o.pos, o.tag, min(c.pos) AS close_pos FROM ev o LEFT JOIN ev c ON o.work_id = c.work_id AND c.code = 'closeTag' AND c.tag = o.tag AND c.pos > o.pos WHERE o.code IN ('openTag', 'openAttrTag') GROUP BY ALL",
     "q_xml_sections": _XML + ", b AS (SELECT *, min(CASE WHEN code = 'bodyStart' THEN pos END) OVER (PARTITION BY work_id) AS a FROM ev) SELECT work_id, pos, text, '0' AS volume, work_id AS work FROM b WHERE code = 'text' AND pos > a",
-    "q_transcription": "WITH s AS (SELECT DISTINCT orig, post FROM slots WHERE NOT regexp_matches(coalesce(orig, '') || coalesce(post, ''), '[<>&]')) SELECT orig, post, trim(regexp_replace(coalesce(orig, '') || coalesce(post, '') || ' y {gap} ', ' {2,}', ' ', 'g'), ' ') AS cleaned FROM s",
+    "q_transcription": "WITH s AS (SELECT DISTINCT orig, post FROM slots) SELECT orig, post, trim(regexp_replace(regexp_replace(coalesce(orig, '') || coalesce(post, ''), '[<>&]', '', 'g') || ' y {gap} ', ' {2,}', ' ', 'g'), ' ') AS cleaned FROM s",
     "q_bibliography": _WORKS + " SELECT work_id, 'author' AS field, " + _ONE("author") + " AS value FROM w UNION ALL SELECT work_id, 'title', " + _ONE("title") + " FROM w UNION ALL SELECT work_id, 'place', " + _ONE("place") + " || ' ' || " + _ONE("geography") + " FROM w UNION ALL SELECT work_id, 'tlg_wordcount', " + _ONE("tlg_wordcount") + " FROM w",
+    "q_title_list": f"WITH w AS (SELECT work_id, max(title) AS a, max(place) AS b FROM works GROUP BY 1), o AS (SELECT work_id, coalesce(regexp_replace(trim(a, ' '), '\\s+', ' ', 'g'), '-') AS a, coalesce(regexp_replace(trim(b, ' '), '\\s+', ' ', 'g'), '-') AS b FROM w) SELECT work_id, regexp_extract(trim(a, ' '), '^([^,]*)', 1) AS title, trim(a, ' ') || ' ' || trim(b, ' ') AS title_full FROM o",
+    "q_tidy_fields": "WITH w AS (SELECT work_id, max(author) AS a, max(place) AS p, max(citation_scheme) AS s FROM works GROUP BY 1), cap AS (SELECT *, array_to_string(list_transform(string_split(lower(a), ' '), lambda x: upper(left(x, 1)) || substr(x, 2)), ' ') AS ca, array_to_string(list_transform(string_split(lower(p), ' '), lambda x: upper(left(x, 1)) || substr(x, 2)), ' ') AS cp FROM w) SELECT work_id, 'author' AS field, ca AS value FROM cap UNION ALL SELECT work_id, 'place', cp FROM cap UNION ALL SELECT work_id, 'citation_scheme', lower(upper(s)) FROM cap UNION ALL SELECT work_id, 'pages', upper(p) FROM cap",
+    "q_authors": "WITH w AS (SELECT DISTINCT author FROM works WHERE author IS NOT NULL) SELECT author, array_to_string(list_transform(string_split(upper(author) || ' OF THE WEST', ' '), lambda x: CASE WHEN lower(x) IN ('of', 'the') THEN lower(x) ELSE upper(left(x, 1)) || lower(substr(x, 2)) END), ' ') AS cased FROM w",
     "q_titles": "WITH t AS (SELECT work_id, arg_max(title, loaded_at) AS title FROM works GROUP BY 1) SELECT doc_id, coalesce(title, 'not provided') AS title FROM documents LEFT JOIN t USING (work_id)",
     "q_word_counts": "WITH w AS (SELECT DISTINCT work_id, lang, replace(tlg_wordcount, ',', '') AS c FROM works), n AS (SELECT lang, CASE WHEN regexp_full_match(c, '[0-9]{1,18}') THEN c::BIGINT END AS n FROM w) SELECT lang, count(n) AS works, sum(n)::BIGINT AS words, max(n) AS largest FROM n GROUP BY lang",
     "q_missing_meta": _WORKS + ", m AS (" + " UNION ALL ".join(f"SELECT work_id, '{c}' AS field, {c} AS v FROM w" for c in ("author", "title", "citation_scheme", "place", "geography", "publication_year")) + ") SELECT work_id, field FROM m WHERE v IS NULL OR trim(v, ' ') = ''",
     "q_without_work": "SELECT doc_id FROM documents WHERE work_id IS NULL OR work_id NOT IN (SELECT work_id FROM works WHERE work_id IS NOT NULL)",
     "q_alphabet": "WITH l AS (SELECT DISTINCT orig AS line FROM wordforms WHERE orig NOT LIKE '@%' AND regexp_matches(orig, '[^\\x{20}-\\x{7E}\\x{C0}-\\x{17F}]')) SELECT line, array_to_string(list_sort(list_distinct(regexp_extract_all(line, '[^\\x{20}-\\x{7E}\\x{C0}-\\x{17F}]'))), '') AS faults FROM l",
     "q_sources": "SELECT source, count(*) AS docs, sum(n_chars)::BIGINT AS chars, coalesce(any_value(licence), 'unknown') AS licence FROM documents LEFT JOIN sources USING (source) GROUP BY source",
+    "q_manuscripts": _READINGS + ", h AS (SELECT DISTINCT manuscript, hand FROM r WHERE hand NOT IN ('firsthand') UNION SELECT manuscript, 'firsthand' FROM r GROUP BY 1 HAVING bool_and(hand = 'firsthand')), u AS (SELECT DISTINCT manuscript, unit, unit // 4 % 4 AS b, unit // 2 AS c FROM r), "
+    "v AS (SELECT *, lag(b) OVER w AS lb, lag(c) OVER w AS lc FROM u WINDOW w AS (PARTITION BY manuscript ORDER BY unit)), x AS (SELECT u.manuscript, h.hand AS witness, u.unit, CASE WHEN lb IS DISTINCT FROM b THEN '<div type=\"book\" n=\"0' || b || '\">' ELSE '' END || CASE WHEN lb IS DISTINCT FROM b OR lc IS DISTINCT FROM c THEN '<div type=\"chapter\" n=\"' || c || '\">' ELSE '' END || '<div type=\"verse\" n=\"' || u.unit || '\">q ' || translate(coalesce(a.text, f.text, ''), '<>&\"' || chr(10), '()+'' ') AS t "
+    "FROM h JOIN v u USING (manuscript) LEFT JOIN last a ON a.manuscript = u.manuscript AND a.unit = u.unit AND a.hand = h.hand LEFT JOIN last f ON f.manuscript = u.manuscript AND f.unit = u.unit AND f.hand = 'firsthand') SELECT manuscript, witness, trim(regexp_replace(string_agg(t, '' ORDER BY unit), ' {2,}', ' ', 'g'), ' ') AS text FROM x GROUP BY 1, 2",
     "q_witness_last": _READINGS + " SELECT * FROM last",
     "q_witness_select": _READINGS + ", h AS (SELECT DISTINCT manuscript, hand FROM r WHERE hand NOT IN ('firsthand', 'unknown')), u AS (SELECT DISTINCT manuscript, unit FROM r) SELECT u.manuscript, h.hand, u.unit, coalesce(a.text, b.text) AS text FROM h JOIN u USING (manuscript) LEFT JOIN last a ON a.manuscript = u.manuscript AND a.unit = u.unit AND a.hand = h.hand LEFT JOIN last b ON b.manuscript = u.manuscript AND b.unit = u.unit AND b.hand = 'firsthand'",
 }

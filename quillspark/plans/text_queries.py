@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillspark.functions import text as T
+from quillspark.functions.unicode import normalize
+from quillspark.operators import greek as K
 from quillspark.operators import lexicon as X
 from quillspark.operators import slots as O
 from quillspark.session import table
@@ -13,6 +15,7 @@ from quillspark.session import table
 # Small lexicons of our own.
 ELISIONS = [("l᾽", ["la", "le"]), ("d᾽", ["de"]), ("qu᾽", ["que"]), ("ἀλλ᾽", ["ἀλλά"]), ("δι᾽", ["διά"])]
 CONTRACTIONS = [("du", "de le"), ("des", "de les"), ("au", "à le"), ("zum", "zu dem"), ("zur", "zu der"), ("im", "in dem"), ("del", "de el"), ("al", "a el")]
+CRASES = [("κἀγώ", "καὶ ἐγώ"), ("κἀν", "καὶ ἐν"), ("τοὔνομα", "τὸ ὄνομα"), ("que", "quod est")]
 ABBREVIATED = [("dms", "dominus"), ("ds", "deus"), ("sps", "spiritus"), ("θς", "θεος"), ("κς", "κυριος"), ("πνα", "πνευμα")]
 
 
@@ -67,7 +70,7 @@ def q_case_lines(spark: SparkSession, d: str) -> DataFrame:
 
 
 def q_letters(spark: SparkSession, d: str) -> DataFrame:
-    w = table(spark, d, "wordforms").where("lang = 'grc'")
+    w = table(spark, d, "wordforms")
     return w.select("form_id", T.greek_letters(F.col("plain")).alias("repaired"), T.to_latin(F.col("plain")).alias("latin"), T.to_greek(T.to_latin(F.col("plain"))).alias("greek"))
 
 
@@ -91,7 +94,7 @@ def q_once(spark: SparkSession, d: str) -> DataFrame:
 
 
 def q_before_replace(spark: SparkSession, d: str) -> DataFrame:
-    words = O.explode_tokens(table(spark, d, "documents").where("lang IN ('fr', 'de', 'es')"), "doc_id", "text").where("word <> ''")
+    words = O.explode_tokens(table(spark, d, "documents"), "doc_id", "text").where("word <> ''")
     return X.resolve_contraction(words, ["doc_id", "token_no"], "word", _lexicon(spark, CONTRACTIONS, "key string, value string"))
 
 
@@ -108,8 +111,20 @@ def q_movable(spark: SparkSession, d: str) -> DataFrame:
 
 def q_nomina(spark: SparkSession, d: str) -> DataFrame:
     w = table(spark, d, "slots").select("plain").where("plain <> ''").distinct()
-    lex = _lexicon(spark, ABBREVIATED, "key string, value string")
-    return w.join(lex, w.plain == lex.key, "left").select("plain", F.coalesce("value", "plain").alias("full"))
+    return X.resolve_names(w, "plain", _lexicon(spark, ABBREVIATED, "key string, value string"))
+
+
+def q_greek_words(spark: SparkSession, d: str) -> DataFrame:
+    words = table(spark, d, "slots").select("orig")
+    movable = q_movable(spark, d).where(F.col("plain").endswith("ν")).select(F.col("plain").alias("form"))
+    lex = lambda rows, value: _lexicon(spark, rows, f"key string, value {value}")
+    out = K.resolve_words(words, "orig", lex(ELISIONS, "array<string>"), lex(CRASES, "string"), movable, lex(ABBREVIATED, "string"))
+    return out.select("word", F.array_join("parts", " ").alias("parts"))
+
+
+def q_normal_forms(spark: SparkSession, d: str) -> DataFrame:
+    w = table(spark, d, "wordforms")
+    return w.select("form_id", normalize(normalize(F.col("orig"), "NFD"), "NFC").alias("composed"))
 
 
 def q_lemma_cascade(spark: SparkSession, d: str) -> DataFrame:
@@ -199,6 +214,10 @@ _ALT = "array_to_string(list_sort(list_distinct(list_transform(string_split({c},
 _VALUES = lambda rows: ", ".join("(" + ", ".join("[" + ", ".join(f"'{y}'" for y in x) + "]" if isinstance(x, list) else f"'{x}'" for x in r) + ")" for r in rows)
 _MARKS = "[" + (T.APOSTROPHES + T.APOSTROPHE).replace("'", "''") + "]"
 
+_ELISION = f"lex(key, value) AS (VALUES {_VALUES(ELISIONS)}), el AS (SELECT key, true AS exact, list_sort(value) AS value FROM lex UNION ALL SELECT k || '᾽', false, list_sort(list_distinct(flatten(list(value)))) FROM (SELECT {sql_plain('key')} AS k, value FROM lex) GROUP BY k)"
+_RANK = "CASE WHEN ends_with(key, '᾽') AND starts_with(key, '᾽') THEN 3 WHEN starts_with(key, '᾽') THEN 2 ELSE 0 END"
+_GREEK = "regexp_replace(regexp_replace(translate(word, 'abgdezhqiklmncoprstufxyw', 'αβγδεζηθικλμνξοπρστυφχψω'), 'σ([^\\p{L}])', 'ς\\1', 'g'), 'σ\\z', 'ς')"
+
 QUERIES = {n: f for n, f in list(globals().items()) if n.startswith("q_")}
 
 ORACLES = {
@@ -213,8 +232,14 @@ ORACLES = {
     "q_sentence_len_stats": UNITS + ", n AS (SELECT doc_id, sentence, count(*) AS n FROM u GROUP BY 1, 2) SELECT lang, count(*) AS sentences, round(avg(n), 6) AS avg_len, max(n) AS max_len FROM n JOIN documents USING (doc_id) GROUP BY lang",
     "q_render": ONCE + " SELECT doc_id, string_agg(coalesce(v.a, '') || coalesce(v.b, '') || coalesce(v.c, ''), '' ORDER BY slot) AS text FROM once GROUP BY doc_id",
     "q_once": ONCE + " SELECT source, count(*) AS slots, count(DISTINCT doc_id) AS docs, count(v.l) AS with_lemma FROM once GROUP BY source",
-    "q_before_replace": TOKENS + f", lex(key, value) AS (VALUES {_VALUES(CONTRACTIONS)}), j AS (SELECT doc_id, token_no, pre, word AS whole, post, coalesce(string_split(value, ' '), [word]) AS w FROM tokens LEFT JOIN lex ON lower(word) = key WHERE lang IN ('fr', 'de', 'es') AND word <> ''), p AS (SELECT *, unnest(range(0, len(w))) AS part FROM j) SELECT doc_id, token_no, part, CASE WHEN part = 0 THEN pre ELSE '' END AS pre, w[part + 1] AS word, CASE WHEN part = len(w) - 1 THEN post ELSE ' ' END AS post, CASE WHEN part = 0 THEN whole ELSE '' END AS orig FROM p",
-    "q_elision": SLOTS + f", w AS (SELECT DISTINCT lower(orig) AS word FROM s WHERE regexp_matches(post, '^{_MARKS}')), lex(key, value) AS (VALUES {_VALUES(ELISIONS)}), k AS (SELECT word, key, CASE key WHEN word || '᾽' THEN 0 WHEN '᾽' || word THEN 2 ELSE 3 END AS rank, value FROM w JOIN lex ON key IN (word || '᾽', '᾽' || word, '᾽' || word || '᾽')) SELECT word, array_to_string(list_sort(arg_min(value, rank)), ',') AS full FROM w LEFT JOIN k USING (word) GROUP BY word",
+    "q_before_replace": TOKENS + f", lex(key, value) AS (VALUES {_VALUES(CONTRACTIONS)}), j AS (SELECT doc_id, token_no, pre, word AS whole, post, coalesce(string_split(value, ' '), [word]) AS w FROM tokens LEFT JOIN lex ON lower(word) = key WHERE word <> ''), p AS (SELECT *, unnest(range(0, len(w))) AS part FROM j) SELECT doc_id, token_no, part, CASE WHEN part = 0 THEN pre ELSE '' END AS pre, w[part + 1] AS word, CASE WHEN part = len(w) - 1 THEN post ELSE ' ' END AS post, CASE WHEN part = 0 THEN whole ELSE '' END AS orig FROM p",
+    "q_elision": SLOTS + f", w AS (SELECT DISTINCT lower(orig) AS word FROM s WHERE regexp_matches(post, '^{_MARKS}')), {_ELISION}, k AS (SELECT word, min(struct_pack(r := {_RANK}, e := NOT exact, v := value)) AS best FROM w JOIN el ON (exact AND key IN (word || '᾽', '᾽' || word, '᾽' || word || '᾽')) OR (NOT exact AND key IN ({sql_plain('word')} || '᾽', '᾽' || {sql_plain('word')}, '᾽' || {sql_plain('word')} || '᾽')) GROUP BY word) SELECT word, array_to_string(best.v, ',') AS full FROM w LEFT JOIN k USING (word)",
+    "q_greek_words": f"WITH w0 AS (SELECT DISTINCT orig, lower(orig) AS word FROM slots WHERE orig IS NOT NULL), b AS (SELECT orig, translate(CASE WHEN regexp_full_match(word, '[\\x00-\\x7F]*') THEN {_GREEK} ELSE word END, '{T.APOSTROPHES.replace(chr(39), chr(39) * 2)}', '{T.APOSTROPHE * len(T.APOSTROPHES)}') AS word FROM w0), {_ELISION}, "
+    f"k AS (SELECT word, min(struct_pack(r := {_RANK}, e := NOT exact, v := value)) AS best FROM (SELECT DISTINCT word, {sql_plain('word')} AS p FROM b) JOIN el ON (exact AND key IN (word || '᾽', '᾽' || word, '᾽' || word || '᾽')) OR (NOT exact AND key IN (p || '᾽', '᾽' || p, '᾽' || p || '᾽')) GROUP BY word), e AS (SELECT orig, coalesce(array_to_string(best.v, ','), word) AS word FROM b LEFT JOIN k USING (word)), "
+    f"cr(key, value) AS (VALUES {_VALUES(CRASES)}), c AS (SELECT orig, string_split(coalesce(value, word), ' ') AS l FROM e LEFT JOIN cr ON word = key), p AS (SELECT orig, unnest(l) AS w, unnest(range(0, len(l))) AS part FROM c), q AS (SELECT *, {sql_plain('w')} AS plain FROM p), "
+    f"pl AS (SELECT DISTINCT plain FROM slots WHERE plain <> ''), mv AS (SELECT plain FROM pl WHERE plain LIKE '%ν' AND left(plain, -1) IN (SELECT plain FROM pl)), m AS (SELECT orig, part, plain, replace(regexp_replace(replace(CASE WHEN plain IN (SELECT plain FROM mv) THEN left(w, -1) ELSE w END, 'ϲ', 'σ'), 'σ\\z', 'ς'), '¯', 'ν') AS w FROM q), sa(key, value) AS (VALUES {_VALUES(ABBREVIATED)}) "
+    "SELECT orig AS word, string_agg(CASE WHEN plain IN ('ουχ', 'ουκ') THEN left(w, -1) WHEN plain = 'εξ' THEN left(w, -1) || 'κ' ELSE coalesce(value, w) END, ' ' ORDER BY part) AS parts FROM m LEFT JOIN sa ON w = key GROUP BY orig",
+    "q_normal_forms": "SELECT form_id, nfc_normalize(orig) AS composed FROM wordforms",
     "q_movable": "WITH w AS (SELECT DISTINCT plain FROM slots WHERE plain <> '') SELECT plain FROM w WHERE (plain LIKE '%ν' OR plain LIKE '%s') AND left(plain, -1) IN (SELECT plain FROM w)",
     "q_nomina": f"WITH lex(key, value) AS (VALUES {_VALUES(ABBREVIATED)}) SELECT DISTINCT plain, coalesce(value, plain) AS full FROM slots LEFT JOIN lex ON plain = key WHERE plain <> ''",
     "q_lemma_cascade": "WITH lex AS (SELECT lang, form, array_to_string(list_sort(list_distinct(flatten(list(lemma)))), ',') AS found FROM lemmata GROUP BY 1, 2) SELECT form_id, coalesce(a.found, b.found, '*' || plain) AS lemma FROM wordforms w LEFT JOIN lex a ON w.lang = a.lang AND lower(w.orig) = a.form LEFT JOIN lex b ON w.lang = b.lang AND w.plain = b.form",
@@ -223,6 +248,6 @@ ORACLES = {
     "q_lexicon_derived": "WITH base AS (SELECT DISTINCT form, array_to_string(list_sort(lemma), ',') AS lemma FROM lemmata) SELECT * FROM base UNION ALL SELECT DISTINCT plain, '*' || plain FROM wordforms WHERE plain <> '' AND plain NOT IN (SELECT form FROM base)",
     "q_ascii_texts": "SELECT lang, count(*) AS docs, count(*) FILTER (WHERE regexp_full_match(text, '[\\x00-\\x7F]*')) AS ascii_docs, count(*) FILTER (WHERE regexp_matches(text, '[-<]\\z')) AS open_docs FROM documents WHERE text IS NOT NULL GROUP BY lang",
     "q_joined_lines": "WITH j AS (SELECT doc_id, regexp_replace(regexp_replace(text, '-[ \\t]*\\r?\\n\\s*', '-', 'g'), '\\r?\\n', ' ', 'g') AS t FROM documents) SELECT doc_id, md5(t) AS joined, length(t) AS n FROM j",
-    "q_letters": "WITH g AS (SELECT form_id, plain, regexp_replace(translate(lower(plain), 'ϲ', 'σ'), 'σ\\z', 'ς') AS r FROM wordforms WHERE lang = 'grc'), h AS (SELECT *, regexp_replace(r, '(\\x{304}|\\x{af})\\z', 'ν') AS q, translate(plain, 'αβγδεζηθικλμνξοπρσςτυφχψω', 'abgdezhqiklmncoprsstufxyw') AS latin FROM g) SELECT form_id, CASE WHEN q IN ('ουχ', 'ουκ') THEN 'ου' WHEN q = 'εξ' THEN 'εκ' ELSE q END AS repaired, latin, regexp_replace(regexp_replace(translate(lower(latin), 'abgdezhqiklmncoprstufxyw', 'αβγδεζηθικλμνξοπρστυφχψω'), 'σ([^\\p{L}])', 'ς\\1', 'g'), 'σ\\z', 'ς') AS greek FROM h",
+    "q_letters": "WITH g AS (SELECT form_id, plain, regexp_replace(translate(lower(plain), 'ϲ', 'σ'), 'σ\\z', 'ς') AS r FROM wordforms), h AS (SELECT *, regexp_replace(r, '(\\x{304}|\\x{af})\\z', 'ν') AS q, translate(plain, 'αβγδεζηθικλμνξοπρσςτυφχψω', 'abgdezhqiklmncoprsstufxyw') AS latin FROM g) SELECT form_id, CASE WHEN q IN ('ουχ', 'ουκ') THEN 'ου' WHEN q = 'εξ' THEN 'εκ' ELSE q END AS repaired, latin, regexp_replace(regexp_replace(translate(lower(latin), 'abgdezhqiklmncoprstufxyw', 'αβγδεζηθικλμνξοπρστυφχψω'), 'σ([^\\p{L}])', 'ς\\1', 'g'), 'σ\\z', 'ς') AS greek FROM h",
 }
 # q_case_lines: accents go from cased letters only, which SQL can't say shortly; it is tested against brute force.

@@ -1,30 +1,71 @@
 """Whole conversions, profiles, normalisation."""
 
+from dataclasses import replace
+
 from pyspark.sql import functions as F
 
-from quillspark.config import GREEK, PROFILES, rendered, slot_forms
+from quillspark.config import GENERIC, GREEK, PROFILES, rendered, slot_forms
 from quillspark.functions.unicode import normalize
 from quillspark.operators import xml_events as E
-from quillspark.plans.convert import convert_delimited, convert_xml, rows_to_graph
+from quillspark.plans.convert import convert, convert_delimited, convert_xml, rows_to_graph, xml_to_graph
+from quillspark.sources.files import by_dialect
+
+PROFILE = replace(GENERIC, bracket_heads=True, contractions=(("du", "de le"),))
+XML = """<TEI><teiHeader><fileDesc><titleStmt><title>T.</title><author>ANN OF ROUEN</author></titleStmt><publicationStmt><p>one</p><p>two</p></publicationStmt></fileDesc></teiHeader>
+<body><!-- x --><p>zero</p><div type='chapter' n="3"><head>H</head><p>Un du. Trois</p><pb n="2"/><div type="verse" n="9" >x y</div><div type="verse" n="10"></div><note>a <hi>remark</hi></note></div><div type="chapter" n="4">z <hi corresp="c1">w</hi></div></body></TEI>"""
+
+
+def units(graph, doc, *types):
+    cols = ["otype", "value", "from_slot", "to_slot"]
+    return [tuple(r) for r in graph.units.where(F.col(graph.id_col) == doc).orderBy("node").select(*cols).collect() if not types or r["otype"] in types]
+
+
+def test_rows(spark):
+    rows = [("a", 1, "1", "1", "{test title}"), ("b", 1, "5", "10a", "12. 13! Alpha beta."), ("b", 2, "5", "2", "gam-"), ("b", 3, "7", "2", "ma, {Head"), ("b", 4, "7", "3", "words} du delta; 14! —"), ("b", 5, "7", "3", "— eps! 5."), ("c", 1, "1", "1", None)]
+    df = spark.createDataFrame([(*r, "clash") for r in rows], "doc string, n int, words string, section string, text string, before string")
+    g = rows_to_graph(df, "doc", "n", ["words", "section"], "text", PROFILE, ignore_empty=False, lemmata=spark.createDataFrame([("beta", ["beta"])], "form string, lemma array<string>"))
+    got = [tuple(r) for r in g.slots.where("doc = 'b'").orderBy("slot").select("slot", "pre", "post", "orig", "plain").collect()]
+    assert got == [
+        (1, "12. 13! ", " ", "Alpha", "alpha"), (2, "", ". ", "beta", "beta"), (3, "", ", ", "gamma", "gamma"), (4, "", " ", "du", "de"), (5, "", " ", "", "le"), (6, "", "; 14! — — ", "delta", "delta"), (7, "", "! 5. ", "eps", "eps"),
+    ]
+    assert units(g, "b", "words", "section", "head", "_sentence") == [
+        ("_sentence", "1", 1, 2), ("_sentence", "2", 3, 6), ("_sentence", "3", 7, 7), ("head", "{Head words} ", 4, 7), ("section", "10a", 1, 2), ("section", "2", 3, 3), ("section", "3", 4, 7), ("words", "5", 1, 2), ("words", "7", 3, 7),
+    ]
+    assert [r["otype"] for r in g.nodes.where("doc = 'a'").orderBy("node").collect()] == ["_book", "_phrase", "_sentence", "head", "section", "words"]
+    assert units(g, "a", "head", "section") == [("head", "{test title} ", 1, 1), ("section", "0", 1, 1)] and units(g, "c", "head") == []
+    assert {r["lemma"] for r in g.slots.where("doc = 'b' AND slot IN (1, 2)").collect()} == {"*alpha", "beta"}
+    meta = {(r["feature"], r["key"]): r["value"] for r in g.feature_meta.where("doc = 'b'").collect()}
+    assert meta["section", "valueType"] == "str" and meta["words", "valueType"] == "int" and meta["lemma", "coverage_ratio"] == "14.29%"
+    assert {r["key"]: r["value"] for r in g.otext.where("doc = 'b'").collect()}["structureTypes"] == "_book,words,section,_sentence,_phrase"
+    assert {r["doc"] for r in rows_to_graph(df, "doc", "n", ["words"], "text", PROFILE).slots.collect()} == {"b"}
+    assert rows_to_graph(df.limit(0), "doc", "n", ["words"], "text").units.count() == 0
 
 
-def test_delimited(spark, tmp_path):
-    (tmp_path / "x.tsv").write_text("Chapter\tSection\ttext\n1\t1\tAlpha beta.\n1\t2\tgamma, delta;\n2\t2\teps!\n")
-    g = convert_delimited(spark, str(tmp_path / "x.tsv"), header=True)
-    assert [(r["slot"], r["orig"], r["chapter_node"], r["section_node"]) for r in g.slots.orderBy("slot").collect()] == [(1, "Alpha", 1, 1), (2, "beta", 1, 1), (3, "gamma", 1, 2), (4, "delta", 1, 2), (5, "eps", 2, 3)]
-    assert [r["otype"] for r in g.nodes.orderBy("node").collect()] == ["_book", *["_phrase"] * 4, *["_sentence"] * 2, *["chapter"] * 2, *["section"] * 3]
-    g.write(str(tmp_path / "out"))
-    assert spark.read.parquet(str(tmp_path / "out" / "oslots")).count() == 12
+def test_xml(spark):
+    docs = spark.createDataFrame([("x", XML), ("y", "<TEI>none</TEI>"), ("z", None)], "doc string, xml string")
+    g = xml_to_graph(docs, "doc", "xml", replace(PROFILE, non_text_tags=("note", "head")))
+    assert [r["plain"] for r in g.slots.orderBy("slot").collect()] == ["zero", "un", "de", "le", "trois", "x", "y", "", "z", "w"]
+    assert units(g, "x") == [
+        ("_book", "T", 1, 10), ("_phrase", "1", 1, 4), ("_phrase", "2", 5, 10), ("_sentence", "1", 1, 4), ("_sentence", "2", 5, 10), ("chapter", "2", 1, 1), ("chapter", "3", 2, 8), ("chapter", "4", 9, 10), ("corresp", "c1", 10, 10),
+        ("head", "H", 2, 10), ("hi", "c1", 10, 10), ("note", "a remark", 9, 10), ("p", "1", 1, 1), ("p", "2", 2, 5), ("pb", "2", 6, 10), ("verse", "0", 1, 1), ("verse", "8", 2, 5), ("verse", "9", 6, 7), ("verse", "10", 8, 8), ("verse", "0", 9, 10),
+    ]
+    assert {r["key"]: r["value"] for r in g.metadata.collect()} == {"title": "T", "author": "Ann of Rouen", "publicationStmt": "one, two."}
 
 
-def test_xml_and_empty(spark, tmp_path):
-    (tmp_path / "a.xml").write_text('<TEI><body><div type="chapter" n="1"><p>Un deux.</p><div type="verse" n="7">x</div></div><div type="chapter" n="2">y</div></body></TEI>')
-    (tmp_path / "b.xml").write_text("<TEI>none</TEI>")
-    g = convert_xml(spark, str(tmp_path), ["chapter", "verse"])
-    assert [r["orig"] for r in g.slots.orderBy("slot").collect()] == ["Un", "deux", "x", "y"]
-    rows = spark.createDataFrame([(1, 1, "1", "12 {}"), (2, 1, "1", "word")], "doc int, n int, chapter string, text string")
-    assert {r["doc"] for r in rows_to_graph(rows, "doc", "n", ["chapter"], "text").slots.collect()} == {2}
-    assert {r["doc"] for r in rows_to_graph(rows, "doc", "n", ["chapter"], "text", ignore_empty=False).slots.collect()} == {1, 2}
+def test_files(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "x.tsv").write_text("Chapter\tSection\ttext\n1\t1\tAlpha beta.\n1\t2\tgamma, delta;\n2\t2\teps!\n")
+    (tmp_path / "in" / "y.tsv").write_text("Chapter\tSection\ttext\n9\t1\tzeta.\n")
+    (tmp_path / "in" / "a.xml").write_text(XML)
+    (tmp_path / "in" / "b.xml").write_text("<TEI>none</TEI>")
+    meta = spark.createDataFrame([("x.tsv", "title", "First"), ("y.tsv", "title", "Second")], "file string, key string, value string")
+    g = convert_delimited(spark, str(tmp_path / "in" / "*.tsv"), header=True, metadata=meta)
+    got = {(r["doc_id"][-5:], r["otype"], r["value"]) for r in g.units.where("otype IN ('_book', 'chapter')").collect()}
+    assert got == {("x.tsv", "_book", "First"), ("x.tsv", "chapter", "1"), ("x.tsv", "chapter", "2"), ("y.tsv", "_book", "Second"), ("y.tsv", "chapter", "9")}
+    assert {r["doc_id"][-5:] for r in convert_xml(spark, str(tmp_path / "in" / "*.xml")).slots.collect()} == {"a.xml"}
+    assert convert(spark, str(tmp_path / "in"), str(tmp_path / "out")) == {"tsv": 2, "xml": 2}
+    assert spark.read.parquet(str(tmp_path / "out" / "tsv" / "otext")).count() == 14 and spark.read.parquet(str(tmp_path / "out" / "xml" / "node_features")).count() > 10
+    assert {r["sep"] for r in by_dialect(spark, str(tmp_path / "in" / "*.tsv")).collect()} == {"\t"}
 
 
 def test_sections_and_spans(spark):
@@ -39,6 +80,6 @@ def test_sections_and_spans(spark):
 def test_profiles_and_forms(spark):
     assert set(PROFILES) == {"generic", "latin", "greek"}
     df = spark.createDataFrame([("(", "Λόγος", ") ")], "pre string, word string, post string").select("pre", "post", *slot_forms(GREEK, F.col("word")))
-    assert df.select("plain", "plain_reduced", "latin", rendered(GREEK, "orig"), rendered(GREEK, "plain")).collect()[0] == ("λογος", "λογο", "logos", "(Λόγος) ", "λογος ")
+    assert df.select("plain", "plain_reduced", "beta_plain", rendered(GREEK, "orig"), rendered(GREEK, "plain")).collect()[0] == ("λογος", "λογο", "logos", "(Λόγος) ", "λογος ")
     got = spark.createDataFrame([("é",), (None,)], "t string").select(normalize(F.col("t"))).collect()
     assert [r[0] for r in got] == ["e\u0301", None]

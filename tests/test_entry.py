@@ -7,10 +7,10 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
-from quillspark.plans import corpus_queries, problems, text_queries
+from quillspark.plans import convert_queries, corpus_queries, problems, text_queries
 
 FOLDER = "/root/testdata/sf0.001"
-CORE = {n: (f, m.ORACLES.get(n)) for m in (problems, text_queries, corpus_queries) for n, f in m.QUERIES.items()}
+CORE = {n: (f, m.ORACLES.get(n)) for m in (problems, text_queries, corpus_queries, convert_queries) for n, f in m.QUERIES.items()}
 
 
 def norm(v):

@@ -80,3 +80,24 @@ def test_lexicon(spark):
     assert {tuple(map(str, r)) for r in X.resolve_elision(words, "word", elided).collect()} == {("l", "['la', 'le']"), ("x", "None")}
     slots = spark.createDataFrame([(1, "a"), (1, "b"), (1, "c"), (1, "*d"), (1, None), (1, "")], "doc int, lemma string")
     assert [tuple(r) for r in X.coverage(slots, ["doc"], "lemma").collect()] == [(1, 3, 4, "75.0%")]
+
+
+SLOTS = {
+    "{test title} ": [("{", "test", " "), ("", "title", "} ")],
+    "12. 13! abc 7": [("12. 13! ", "abc", " 7")],
+    "abc (def": [("", "abc", " "), ("(", "def", "")],
+    "ab- cd, ef-gh": [("", "ab", "- "), ("", "cd", ", "), ("", "efgh", "")],
+    "عربي abc字": [("عربي ", "abc", "字")],
+    "12 !": [],
+    "": [],
+}
+
+
+def test_slots_keep_all_punctuation(spark):
+    df = spark.createDataFrame([(k, t, "x") for k, t in enumerate([*SLOTS, None])], "id int, text string, pre string")
+    got: dict = {}
+    for r in O.explode_slots(df, "id", "text").orderBy("id", "slot").collect():
+        got.setdefault(r["id"], []).append((r["pre"], r["orig"], r["post"]))
+    assert [got.get(k, []) for k in range(len(SLOTS))] == list(SLOTS.values()) and len(SLOTS) not in got
+    every = O.explode_slots(df.where("id = 4"), "id", "text", cased=False).orderBy("slot").select("orig").collect()
+    assert [r[0] for r in every] == ["عربي", "abc字"]
