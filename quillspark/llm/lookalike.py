@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import functools
 import hashlib
+import struct
 import unicodedata
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -34,6 +35,8 @@ _SAME_SHAPE = ("<wide>", "<narrow>", "<initial>", "<medial>", "<final>", "<isola
 _COMPAT_BLOCKS = ((0x132, 0x140), (0x149, 0x149), (0x1C4, 0x1CC), (0x1F1, 0x1F3), (0xB5, 0xB5), (0x2160, 0x217F), (0x2E80, 0x2FDF), (0xFB00, 0xFB17), (0x2024, 0x2026), (0x3131, 0x318E), (0x587, 0x587), (0x675, 0x678), (0xE33, 0xEDD), (0x2126, 0x212B))
 _VISIBLE_FORMATS = frozenset([*range(0x600, 0x606), 0x6DD, 0x70F, 0x8E2, 0x110BD, 0x110CD])
 _SPACE = 0x20
+#: Rows of a class that are paired in one task.
+BLOCK_ROWS = 1024
 
 
 @dataclass(frozen=True)
@@ -68,6 +71,10 @@ def _invisible(ch: str) -> bool:
     return cat == "Cc" or 0xFE00 <= cp <= 0xFE0F or 0xE0100 <= cp <= 0xE01EF or cp in (0x34F, 0x115F, 0x1160, 0x3164, 0xFFA0, 0x17B4, 0x17B5, 0x180B, 0x180C, 0x180D)
 
 
+# Where conjoining Hangul begins, and how many vowels and finals a syllable can have.
+_L, _V, _T, _SYLLABLES, _VOWELS, _FINALS = 0x1100, 0x1161, 0x11A7, 0xAC00, 21, 28
+
+
 @functools.cache
 def tables() -> Tables:
     n = 0x110000
@@ -94,6 +101,7 @@ def tables() -> Tables:
         if to != ch:
             count[cp], start[cp] = len(to), len(pool)
             pool += map(ord, to)
+    second[_V : _V + _VOWELS] = second[_T + 1 : _T + _FINALS] = True
     keys = np.array(sorted(pairs), np.int64)
     return Tables(count, start, np.array(pool, np.int32), ccc, gap, second, keys, np.array([pairs[k] for k in keys.tolist()], np.int32))
 
@@ -110,30 +118,43 @@ def _order_marks(cp: np.ndarray, row: np.ndarray, t: Tables) -> None:
         cp[at] = cp[at[np.lexsort((c, run))]]
 
 
-def _compose(cp: np.ndarray, row: np.ndarray, t: Tables) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Adjacent pairs joined until none is left; rows where a mark stands apart from its letter are told."""
+def _joined(first: np.ndarray, second: np.ndarray, t: Tables) -> np.ndarray:
+    """What each pair of code points is joined to, 0 for nothing."""
+    key = first.astype(np.int64) << 21 | second
+    k = np.minimum(np.searchsorted(t.pairs, key), len(t.pairs) - 1)
+    out = np.where(t.pairs[k] == key, t.joined[k], 0)
+    lead, vowel, final = first - _L, second - _V, second - _T
+    out = np.where((lead >= 0) & (lead < 19) & (vowel >= 0) & (vowel < _VOWELS), _SYLLABLES + (lead * _VOWELS + vowel) * _FINALS, out)
+    syllable = first - _SYLLABLES
+    open_syllable = (syllable >= 0) & (syllable < 19 * _VOWELS * _FINALS) & (syllable % _FINALS == 0)
+    return np.where(open_syllable & (final > 0) & (final < _FINALS), first + final, out)
+
+
+def _compose(cp: np.ndarray, row: np.ndarray, t: Tables) -> tuple[np.ndarray, np.ndarray]:
+    """Letters and what follows them joined until nothing more can be: a mark reaches back over marks of lower classes, one of its own class blocks it."""
     while len(cp) > 1:
         at = np.flatnonzero(t.second[cp[1:]]) + 1
-        at = at[row[at] == row[at - 1]]
         if not len(at):
             break
-        key = cp[at - 1].astype(np.int64) << 21 | cp[at]
-        k = np.minimum(np.searchsorted(t.pairs, key), len(t.pairs) - 1)
-        hit = t.pairs[k] == key
-        # Of a chain only the first joins in one pass.
-        at, k = at[hit], k[hit]
+        ccc = t.ccc[cp]
+        starter = np.maximum.accumulate(np.where(ccc == 0, np.arange(len(cp)), -1))[at - 1]
+        at, starter = at[starter >= 0], starter[starter >= 0]
+        reach = (row[starter] == row[at]) & ((starter == at - 1) | ((ccc[at] > ccc[at - 1]) & (ccc[at - 1] > 0)))
+        at, starter = at[reach], starter[reach]
+        to = _joined(cp[starter], cp[at], t)
+        at, starter, to = at[to > 0], starter[to > 0], to[to > 0]
         if not len(at):
             break
-        first = np.r_[True, np.diff(at) != 1]
-        at, k = at[first], k[first]
-        cp[at - 1] = t.joined[k]
+        # of a letter's marks the first is joined in one pass, and a letter that is itself joined waits
+        starter, first = np.unique(starter, return_index=True)
+        at, to = at[first], to[first]
+        free = ~np.isin(starter, at)
+        starter, at, to = starter[free], at[free], to[free]
+        cp[starter] = to
         keep = np.ones(len(cp), bool)
         keep[at] = False
         cp, row = cp[keep], row[keep]
-    ccc = t.ccc[cp]
-    apart = np.flatnonzero((ccc[1:] > 0) & (ccc[:-1] > 0) & t.second[cp[1:]]) if len(cp) > 1 else np.empty(0, np.int64)
-    jamo = np.flatnonzero((cp >= 0x1161) & (cp <= 0x11C2))
-    return cp, row, np.unique(row[np.r_[apart + 1, jamo]])
+    return cp, row
 
 
 def canonical_forms(texts: list[str]) -> list[str]:
@@ -158,7 +179,7 @@ def canonical_forms(texts: list[str]) -> list[str]:
         else:
             cp = t.pool[start]
     _order_marks(cp, row, t)
-    cp, row, told = _compose(cp, row, t)
+    cp, row = _compose(cp, row, t)
     space = cp == _SPACE
     if len(cp) and space.any():
         fresh = np.r_[True, row[1:] != row[:-1]]
@@ -176,8 +197,6 @@ def canonical_forms(texts: list[str]) -> list[str]:
     for end in ends:
         out.append(whole[at:end])
         at = end
-    for r in told.tolist():
-        out[r] = unicodedata.normalize("NFC", out[r])
     return out
 
 
@@ -185,8 +204,9 @@ def canonical_form(text: str) -> str:
     return canonical_forms([text])[0]
 
 
-def _digest(data: bytes) -> bytes:
-    return hashlib.blake2b(data, digest_size=16).digest()
+def _digest(data: bytes) -> tuple[int, int]:
+    """128 bits as two numbers, which are grouped and joined without a copy."""
+    return struct.unpack("<qq", hashlib.blake2b(data, digest_size=16).digest())
 
 
 def _slices(texts: list[str | None], limit: int = 1 << 21) -> Iterator[list[int]]:
@@ -217,13 +237,14 @@ def _form_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(_forms_of(batch.column(1).to_pylist()), pa.string())], names=["id", "form"])
 
 
+_DIGESTS = pa.schema([("id", pa.int64()), *((n, pa.int64()) for n in ("raw_hi", "raw_lo", "form_hi", "form_lo"))])
+
+
 def _digest_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         texts = batch.column(1).to_pylist()
-        forms = _forms_of(texts)
-        raw = [_digest(t.encode()) if f else None for t, f in zip(texts, forms, strict=True)]
-        seen = [_digest(f.encode()) if f else None for f in forms]
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(raw, pa.binary()), pa.array(seen, pa.binary())], names=["id", "raw", "form"])
+        told = [(i, *_digest(t.encode()), *_digest(f.encode())) for i, t, f in zip(batch.column(0).to_pylist(), texts, _forms_of(texts), strict=True) if f]
+        yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*told, strict=True)] if told else [pa.array([], pa.int64())] * 5, schema=_DIGESTS)
 
 
 def _source(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -235,23 +256,46 @@ def consistent_text(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return _source(df, id_col, text_col).mapInArrow(_form_batches, "id long, form string").withColumnRenamed("id", id_col)
 
 
-def look_alike_pairs(columns: list[tuple[str, DataFrame, str, str]]) -> DataFrame:
-    """Rows (field_name, id_a, id_b), id_a < id_b, of (field_name, df, id, text) whose strings differ but look the same.
-
-    Null strings and strings without a visible character are in no pair. Rows
-    are first reduced to distinct strings; only distinct strings of one form are
-    paired, and their rows joined last, so that copies cost no comparison.
-    """
-    parts = [_source(df, i, t).where(F.length("text") > 0).mapInArrow(_digest_batches, "id long, raw binary, form binary").where(F.col("form").isNotNull()).select(F.lit(name).alias("field_name"), "*") for name, df, i, t in columns]
+def _digested(columns: list[tuple[str, DataFrame, str, str]]) -> DataFrame:
+    """Rows (field_name, id, digests of string and form) of all strings with a visible character, in a checkpoint: they are few bytes and read twice, while forms are costly."""
+    parts = [_source(df, i, t).where(F.length("text") > 0).mapInArrow(_digest_batches, "id long, raw_hi long, raw_lo long, form_hi long, form_lo long").select(F.lit(name).alias("field_name"), "*") for name, df, i, t in columns]
     rows = functools.reduce(DataFrame.unionByName, parts)
     checkpoint_dir(rows.sparkSession)
-    rows = rows.checkpoint()  # ids and digests; read three times below, while forms are costly
-    variants = rows.groupBy("field_name", "form", "raw").agg(F.count("*").alias("n"))
-    mixed = variants.groupBy("field_name", "form").agg(F.count("*").alias("kinds")).where("kinds > 1").select("field_name", "form")
-    told = variants.select("field_name", "form", "raw").join(mixed, ["field_name", "form"], "left_semi")
-    a, b = told.withColumnRenamed("raw", "raw_a"), told.withColumnRenamed("raw", "raw_b")
-    kinds = a.join(b, ["field_name", "form"]).where(F.col("raw_a") < F.col("raw_b")).select("field_name", "raw_a", "raw_b")
-    left = rows.select("field_name", F.col("raw").alias("raw_a"), F.col("id").alias("x"))
-    right = rows.select("field_name", F.col("raw").alias("raw_b"), F.col("id").alias("y"))
-    pairs = kinds.join(left, ["field_name", "raw_a"]).join(right, ["field_name", "raw_b"]).where(F.col("x") != F.col("y"))
-    return pairs.select("field_name", F.least("x", "y").alias("id_a"), F.greatest("x", "y").alias("id_b"))
+    return rows.checkpoint()
+
+
+_FORM = ["field_name", "form_hi", "form_lo"]
+
+
+def _in_classes(rows: DataFrame) -> DataFrame:
+    """Those rows whose form has different strings, with ``n``, the rows of their form."""
+    ends = [f(c).alias(f"{n}_{c}") for n, f in (("least", F.min), ("most", F.max)) for c in ("raw_hi", "raw_lo")]
+    mixed = rows.groupBy(*_FORM).agg(F.count("*").alias("n"), *ends).where("least_raw_hi <> most_raw_hi OR least_raw_lo <> most_raw_lo").select(*_FORM, "n")
+    return rows.join(mixed, _FORM)
+
+
+def look_alike_classes(columns: list[tuple[str, DataFrame, str, str]]) -> DataFrame:
+    """Rows (field_name, id, class_id, class_rows) of (field_name, df, id, text) whose strings look like another string: one for each row, the class being that of their form.
+
+    Null strings and strings without a visible character are in no class, nor is
+    a form that has one string only, however often.
+    """
+    return _in_classes(_digested(columns)).select("field_name", "id", F.concat(F.hex("form_hi"), F.lit("-"), F.hex("form_lo")).alias("class_id"), F.col("n").alias("class_rows"))
+
+
+def look_alike_pairs(columns: list[tuple[str, DataFrame, str, str]], block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """Rows (field_name, id_a, id_b), id_a < id_b: the members of ``look_alike_classes`` paired where their strings differ.
+
+    A class of more than ``block_rows`` rows is cut into blocks by id, and each
+    two blocks meet in a group of their own, so that no task has more than two
+    blocks of a class at once, whatever its size; all pairs come out.
+    """
+    told = _in_classes(_digested(columns)).withColumn("blocks", F.ceil(F.col("n") / block_rows).cast("int")).withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    spread_out = told.select(*_FORM, "id", "raw_hi", "raw_lo", "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("with"))
+    meets = spread_out.select(*_FORM, "id", "raw_hi", "raw_lo", "own", F.least("own", "with").alias("i"), F.greatest("own", "with").alias("j"))
+    keys = [*_FORM, "i", "j"]
+    a = meets.where("own = i").select(*keys, F.col("id").alias("x"), F.col("raw_hi").alias("hi"), F.col("raw_lo").alias("lo"))
+    b = meets.where("own = j").select(*keys, F.col("id").alias("y"), "raw_hi", "raw_lo")
+    differ = (F.col("hi") != F.col("raw_hi")) | (F.col("lo") != F.col("raw_lo"))
+    once = F.when(F.col("i") == F.col("j"), F.col("x") < F.col("y")).otherwise(F.col("x") != F.col("y"))
+    return a.join(b, keys).where(differ & once).select("field_name", F.least("x", "y").alias("id_a"), F.greatest("x", "y").alias("id_b"))

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillspark.llm.frequency import marked_terms
-from quillspark.llm.lookalike import consistent_text, look_alike_pairs
+from quillspark.llm.lookalike import consistent_text, look_alike_classes, look_alike_pairs
 from quillspark.llm.packing import pack_texts
 from quillspark.llm.residue import message_templates, residue_ids
 from quillspark.llm.sentences import split_sentences
@@ -26,9 +26,17 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
     return split_sentences(table(spark, d, "documents"), "doc_id", "text").select("doc_id", "start_at", "end_at")
 
 
-def p4_found(spark: SparkSession, d: str) -> DataFrame:
+def _looked_at(spark: SparkSession, d: str) -> list[tuple[str, DataFrame, str, str]]:
     forms = table(spark, d, "wordforms")
-    return look_alike_pairs([("text", table(spark, d, "documents"), "doc_id", "text"), ("orig", forms, "form_id", "orig"), ("plain", forms, "form_id", "plain")])
+    return [("text", table(spark, d, "documents"), "doc_id", "text"), ("orig", forms, "form_id", "orig"), ("plain", forms, "form_id", "plain")]
+
+
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    return look_alike_pairs(_looked_at(spark, d))
+
+
+def p4_classes(spark: SparkSession, d: str) -> DataFrame:
+    return look_alike_classes(_looked_at(spark, d))
 
 
 def p4_forms(spark: SparkSession, d: str) -> DataFrame:
@@ -63,7 +71,7 @@ counted AS (SELECT field_name, term, count(*) AS occurrences, count(DISTINCT doc
 told AS (SELECT *, CASE WHEN occurrences < 5 OR records < 3 THEN 'rare' WHEN records * 10 > (SELECT count(DISTINCT doc_id) FROM slots) THEN 'common' END AS verdict FROM counted)
 """
 
-QUERIES = {"p2_terms": p2_terms, "p2_found": p2_found, "p3_found": p3_found, "p4_found": p4_found, "p4_forms": p4_forms, "p6_ids": p6_ids, "p6_round_trip": p6_round_trip, "p7_containers": p7_containers, "p8_found": p8_found, "p8_templates": p8_templates}
+QUERIES = {"p2_terms": p2_terms, "p2_found": p2_found, "p3_found": p3_found, "p4_found": p4_found, "p4_classes": p4_classes, "p4_forms": p4_forms, "p6_ids": p6_ids, "p6_round_trip": p6_round_trip, "p7_containers": p7_containers, "p8_found": p8_found, "p8_templates": p8_templates}
 
 ORACLES = {
     "p2_terms": _TERMS + "SELECT field_name, term, occurrences, records, verdict FROM told",

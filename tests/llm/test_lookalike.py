@@ -43,3 +43,30 @@ def test_all_pairs_with_copies(spark):
     assert L.look_alike_pairs([("f", df.limit(0), "id", "form")]).count() == 0
     forms = {r["id"]: r["form"] for r in L.consistent_text(df, "id", "form").collect()}
     assert forms == {k: None if s is None else L.canonical_form(s) for k, s in rows}
+
+
+def test_composition_is_canonical():
+    """On letters, marks of several classes and conjoining Hangul the form is NFC of what the tables make of them."""
+    from hypothesis import given, settings
+    from hypothesis import strategies as st
+
+    @settings(max_examples=400, deadline=None)
+    @given(st.lists(st.text(alphabet="aαeuᾳ\u0301\u0300\u0308\u0323\u0345\u0327\u0313각가\u1100\u1161\u11a8\u11b8b ", max_size=12), min_size=1, max_size=6))
+    def check(texts):
+        want = [" ".join(unicodedata.normalize("NFC", t).split()) for t in texts]
+        assert L.canonical_forms(texts) == want
+
+    check()
+
+
+def test_big_classes_in_blocks(spark):
+    """A class of many rows, a third of them copies, cut into blocks: the same pairs as brute force."""
+    texts = ["look alike" if k % 3 == 0 else f"look{chr(0x2000 + k % 5)}alike" if k % 2 else "other" for k in range(120)]
+    df = spark.createDataFrame(list(enumerate(texts)), "id long, text string")
+    form = [" ".join(t.split()) for t in texts]
+    want = {(a, b) for a in range(120) for b in range(a + 1, 120) if form[a] == form[b] and texts[a] != texts[b]}
+    for rows in (7, 1000):
+        got = [(r["id_a"], r["id_b"]) for r in L.look_alike_pairs([("text", df, "id", "text")], rows).collect()]
+        assert len(got) == len(set(got)) and set(got) == want
+    classes = L.look_alike_classes([("text", df, "id", "text")]).collect()
+    assert {r["id"] for r in classes} == {x for p in want for x in p} and len({r["class_id"] for r in classes}) == 1 and {r["class_rows"] for r in classes} == {len(classes)}
