@@ -4,7 +4,8 @@ Last-seen counters: tokens are hash-partitioned by term and ordered by record,
 so that a term needs its occurrences, its records and the last record only, and
 no set of records. Before that, each stretch of a record's slots is reduced to
 one row for each term; a term's partition is salted by record, so that a term
-that holds a third of all tokens is spread over ``SALTS`` tasks.
+that holds a third of all tokens is spread over as many tasks as the session's
+shuffles have, and over ``SALTS`` at least.
 """
 
 from __future__ import annotations
@@ -70,6 +71,7 @@ def term_counts(df: DataFrame, record_col: str, slot_col: str, term_cols: list[s
         (F.col(order_col) if order_col else F.lit(None).cast("timestamp")).alias("ord"),
         *[F.col(c).cast("string").alias(f"t{k}") for k, c in enumerate(term_cols)],
     ).where(F.col("record").isNotNull())
+    salts = max(SALTS, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     stretch = F.floor(F.col("slot") / STRETCH).alias("stretch")
     terms = [F.struct(F.lit(c).alias("field_name"), F.col(f"last.t{k}").alias("term")) for k, c in enumerate(term_cols)]
     reduced = (
@@ -83,7 +85,7 @@ def term_counts(df: DataFrame, record_col: str, slot_col: str, term_cols: list[s
         .agg(F.count("*").alias("n"))
     )
     runs = (
-        reduced.select("field_name", "term", "record", "n", F.pmod(F.xxhash64("record"), F.lit(SALTS)).alias("salt"))
+        reduced.select("field_name", "term", "record", "n", F.pmod(F.xxhash64("record"), F.lit(salts)).alias("salt"))
         .repartition("field_name", "term", "salt")
         .sortWithinPartitions("field_name", "term", "record")
         .select("field_name", "term", "record", "n")

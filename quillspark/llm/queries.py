@@ -23,7 +23,7 @@ def p2_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
-    return split_sentences(table(spark, d, "documents"), "doc_id", "text").select("doc_id", "start_at", "end_at")
+    return split_sentences(table(spark, d, "documents"), "doc_id", "text", lang_col="lang").select("doc_id", "start_at", "end_at")
 
 
 def _looked_at(spark: SparkSession, d: str) -> list[tuple[str, DataFrame, str, str]]:

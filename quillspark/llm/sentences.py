@@ -1,12 +1,12 @@
 """Sentence units of texts in many scripts, by cascading tables of break and no-break rules.
 
 A candidate place is a run of sentence marks with the closing marks behind it.
-There the tables of its script are asked in order (the languages', then the
-script's, then the common one); a rule is a pair of regular expressions for
-what stands before and behind the place, and the first rule that matches
-decides. Since the language label of a text is often missing or wrong, the
-tables are chosen by the letters before the mark. A blank line always ends a
-unit.
+There the tables of its language and script are asked in order (the language's,
+then the script's, then the common one); a rule is a pair of regular
+expressions for what stands before and behind the place, and the first rule
+that matches decides. The script is told by the letters before the mark; the
+language of Latin letters by the words of the text, else by its label, which is
+often missing or wrong. A blank line always ends a unit.
 """
 
 from __future__ import annotations
@@ -14,6 +14,7 @@ from __future__ import annotations
 import functools
 import re
 from bisect import bisect_right
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -40,15 +41,29 @@ CARRY_ON = ",،、，؛፣՝·"
 
 # Abbreviations by language, for any following word.
 ABBREVIATIONS = {
-    "en": "etc|cf|ed|eds|vol|vols|fol|fols|pp|ms|mss|Mr|Mrs|Ms|Dr|Prof|St|vs|ca|chap|esp|viz|fig|sect|Rev|Jr|Sr",
-    "fr": "éd|chap|av|apr|env|art|Mme|Mlle|MM|litt|trad|tome",
-    "de": "usw|bzw|vgl|Bd|Bde|Kap|Nr|Hl|hl|Abb|Anm|Hrsg|Aufl|Jh|Taf|Zl|ebd|evtl|ggf|sog|geb|gest",
-    "es": "núm|núms|Sr|Sra|Sta|Sto|Dra|pág|págs|cap|caps|ej|aprox|Ud|Uds",
-    "la": "lib|cap|Lib|Ep|Hom|Cap|scil|sc|ibid|ib|loc",
+    "en": "etc|cf|ed|eds|vol|vols|fol|fols|pp|ms|mss|Mr|Mrs|Ms|Dr|Prof|St|vs|ca|chap|esp|viz|fig|figs|sect|Rev|Jr|Sr|Gov|Gen|Capt|Lt|Sgt|Hon|Sen|Messrs|Esq|Bros|Ltd|Inc|approx|dept|trans|suppl|ibid|op|cit|et al|Jan|Feb|Apr|Aug|Sept|Oct|Nov|Dec|i\\.\\s?e|e\\.\\s?g",
+    "fr": "éd|chap|av|apr|env|art|Mme|Mlle|MM|litt|trad|tome|vol|fol|ms|mss|cf|etc|St|Ste|Dr|Prof|Mgr|fig|figs|coll|suppl|ibid|op|cit|réimpr|publ|janv|févr|juil|sept|oct|nov|déc",
+    "de": "usw|bzw|vgl|Bd|Bde|Kap|Nr|Hl|hl|Abb|Anm|Hrsg|Aufl|Jh|Taf|Zl|ebd|evtl|ggf|sog|geb|gest|Bsp|Str|Dr|Prof|Hr|St|ca|etc|lat|griech|hebr|Hs|Hss|Verf|Übers|Lit|Mio|Mrd|inkl|exkl|zit|Tab|Jhd|Jhdt|Gebr|fol|Jan|Feb|Aug|Sept|Okt|Nov|Dez|z\\.\\s?B|d\\.\\s?h|u\\.\\s?a",
+    "es": "núm|núms|Sr|Sra|Srta|Sta|Sto|Dr|Dra|Prof|pág|págs|cap|caps|ej|aprox|Ud|Uds|vol|vols|fol|fols|ed|eds|fig|figs|art|etc|cf|ms|mss|trad|Lic|Dña|p\\.\\s?ej",
+    "it": "cap|capp|vol|voll|fig|figg|ecc|sig|dott|prof|pag|pagg|ed|edd|trad|es|art|cfr|cod|ms|mss|ibid|op|cit",
+    "la": "lib|cap|Lib|Ep|Hom|Cap|scil|sc|ibid|ib|loc|cit|op|cf|etc|fol|ed|edd|cod|codd|ms|mss|vid|sq|sqq",
     "grc": "κεφ|κτλ|σελ|πρβ|βλ|στ|τόμ|κ\\.τ\\.λ|δηλ|ἤτ",
+    "ru": "табл|рис|гл|стр|см|ср|др|пр|гг|вв|тыс|млн|ул|им|изд|ред|пер|ок|напр|т\\.\\s?е|т\\.\\s?д|т\\.\\s?п",
+}
+#: How languages may be labelled, and words by which a text in Latin letters is told to be in one.
+LABELS = {"en": "en|eng|english", "fr": "fr|fra|fre|french|français|francais", "de": "de|deu|ger|german|deutsch", "es": "es|spa|spanish|español|espanol", "it": "it|ita|italian|italiano", "la": "la|lat|latin|latina"}
+TELLING = {
+    "en": "the|of|and|to|was|that|with|for|is|by",
+    "fr": "le|les|des|du|dans|une|est|pour|avec|qui",
+    "de": "der|die|das|und|den|von|mit|auf|ist|nicht",
+    "es": "el|los|las|del|por|con|una|para|como|su",
+    "it": "il|gli|della|di|che|per|con|una|nel|sono",
+    "la": "et|in|ad|cum|sed|non|quod|est|ut|atque",
 }
 #: Of one small letter, or like a common word: only before a number.
 REFERENCES = "p|v|n|t|c|f|s|l|d|b|q|no|nos|nr|art|par|col|op"
+#: Works and parts of works, cited alike in all languages: only before a number.
+WORKS = "Lib|lib|Ep|ep|Hom|hom|Cap|cap|Serm|serm|Or|Tract|Conf|Ps|fol|vol|ed"
 SPEECH = "εἶπ|εἰπ|ἔφη|ἔφα|ἔλεγ|λέγ|φησ|φασ|ἀπεκρίν|ἀποκρι|ἠρώτ|ἠρώτησ"
 
 _WORD = r"(?<![\p{L}\p{M}\p{N}_])"
@@ -76,9 +91,10 @@ _GOES_ON = [
 COMMON = [*_ELLIPSIS, *_GOES_ON, Rule(True, "")]
 LATIN = [
     Rule(False, ";"),
-    *(r for code in ("en", "fr", "de", "es", "la") for r in _language(code)),
     *_SHORT,
     Rule(False, rf"(?i:{_WORD}(?:{REFERENCES}))\.", r"\s+(?=[\p{L}]*\p{N})"),
+    Rule(False, rf"{_WORD}(?:{WORKS})\.", r"\s+(?=\p{N})"),
+    Rule(False, r"[(\[]\p{L}{1,6}\.", r"\s+(?=\p{N})"),
     Rule(False, rf"{_WORD}[ad]\.", r"\s?C\."),
     Rule(False, rf"{_WORD}z\.", r"\s?[BTZ]\."),
     Rule(False, rf"{_WORD}[vn]\.", r"\s?Chr\."),
@@ -94,7 +110,12 @@ ARMENIAN = [Rule(False, r"[;.]"), *_SHORT, Rule(False, rf"[{STOPS}]\s?[{CLOSERS}
 SEMITIC = [Rule(False, ";"), Rule(False, rf"{_WORD}\p{{Lo}}\p{{M}}*\.")]
 OWN_STOPS = [Rule(False, r"[;.]")]  # scripts whose stop is not the full stop
 
-TABLES = {"latin": LATIN, "greek": GREEK, "armenian": ARMENIAN, "semitic": SEMITIC, "own": OWN_STOPS, "none": [Rule(False, ";")]}
+_LATIN_LANGUAGES = ("en", "fr", "de", "es", "it", "la")
+CYRILLIC = [*_language("ru"), *LATIN]
+#: A text in Latin letters whose language neither its words nor its label tell is read by the rules of all of them.
+TABLES = {code: [*_language(code), *LATIN] for code in _LATIN_LANGUAGES} | {
+    "latin": [*(r for code in _LATIN_LANGUAGES for r in _language(code)), *LATIN], "cyrillic": CYRILLIC, "greek": GREEK, "armenian": ARMENIAN, "semitic": SEMITIC, "own": OWN_STOPS, "none": [Rule(False, ";")],
+}
 
 
 @functools.cache
@@ -119,6 +140,7 @@ _LOW_QUOTE = {k: regex.compile(p.pattern.replace("|»", "|»|“").replace("|«)
 _PARAGRAPH = regex.compile(r"(?:\r\n|\n|\r)[^\S\r\n]*(?:\r\n|\n|\r)\s*")
 _RARE = re.compile("[\u00ad\u0400-\u04ff\u200b-\u200f\u202a-\u202e\u2060-\u2069\ufeff\uff21-\uff5a]")
 _SHAPES_OF_LATIN = re.compile("[\u0400-\u04ff\uff21-\uff5a]")
+_CYRILLIC_ANY, _CYRILLIC_ONLY = re.compile("[\u0400-\u04ff]"), re.compile("[БГДЖЗИЙЛПФЦЧШЩЪЫЬЭЮЯбвгджзийклмнптфцчшщъыьэюя]")
 _GREEK_IN_LATIN = re.compile("[A-Za-z][Α-ΡΤ-Χο]|[Α-ΡΤ-Χο][A-Za-z]")
 _UNSEEN = re.compile("[\u00ad\u200b-\u200f\u2060-\u2064\ufeff\u202a-\u202e\u2066-\u2069]")
 # Letters of the same shape, one for one, and full-width forms.
@@ -141,7 +163,7 @@ def _script(text: str, at: int) -> str:
             k -= 1
         return "latin"
     if 0x400 <= cp < 0x530:
-        return "latin"
+        return "cyrillic"
     if 0x530 <= cp < 0x590:
         return "armenian"
     if 0x590 <= cp < 0x780:
@@ -149,24 +171,45 @@ def _script(text: str, at: int) -> str:
     return "own"
 
 
-def _plain_end(text: str, mark: int, end: int) -> bool:
-    """The commonest case, in which no no-break rule can match: a long word that ends in a Latin or Greek letter, one mark, a gap, a capital."""
-    return end == mark + 1 and mark >= 7 and text[mark] in ".!?" and text[mark - 7 : mark].isalpha() and text[mark - 1] < "\u0400" and text[end] in " \n" and text[end + 1 : end + 2].isupper()
-
-
-def _closing_quote(text: str, lo: int, at: int) -> bool:
-    """Whether a straight quotation mark at ``at`` closes, by the number before it in its paragraph."""
-    return text.count('"', lo, at) % 2 == 1
-
-
-def _units(text: str, slots: list[tuple[int, int]]) -> Iterator[tuple[int, int]]:
+@functools.cache
+def _words() -> tuple[re.Pattern, dict[str, tuple[str, ...]]]:
+    """A pattern of all telling words, and their languages."""
+    own: dict[str, tuple[str, ...]] = {}
+    for code, words in TELLING.items():
+        for w in words.split("|"):
+            own[w] = (*own.get(w, ()), code)
+    return re.compile(rf"(?<![^\s(«“„\"'’])(?:{'|'.join(sorted(own, key=len, reverse=True))})(?![^\s,;:.!?)»”\"])"), own
+
+
+def language(text: str, label: str | None) -> str:
+    """The table of a text's words in Latin letters: by its telling words, all through the text, where one language has twice as many as any other; else by its label; else that of all languages."""
+    pattern, own = _words()
+    counts = dict.fromkeys(TELLING, 0)
+    for word, n in Counter(pattern.findall(text)).items():
+        for code in own[word]:
+            counts[code] += n
+    (most, n), (_, second) = sorted(counts.items(), key=lambda x: -x[1])[:2]
+    if n >= 3 and n >= 2 * second:
+        return most
+    known = re.split(r"[-_ ]", (label or "").strip().lower())[0]
+    return next((code for code, names in LABELS.items() if known in names.split("|") and counts[code] * 2 >= n), "latin")
+
+
+def _is_cyrillic(text: str) -> bool:
+    """Whether Cyrillic letters are more than look-alikes of Latin ones: at least a third of them have no such shape."""
+    own = len(_CYRILLIC_ONLY.findall(text))
+    return own > 0 and 3 * own >= len(_CYRILLIC_ANY.findall(text))
+
+
+def _units(text: str, slots: list[tuple[int, int]], latin: str) -> Iterator[tuple[int, int]]:
     guillemet = next((c for c in text if c in "«»"), "«") if "«" in text or "»" in text else "«"
     candidate = (_LOW_QUOTE if "„" in text else _CANDIDATE)[guillemet]
     starts = [a for a, _ in slots]
     lo = 0
     bounds = [(m.start(), m.end()) for m in _PARAGRAPH.finditer(text)]
     for hi, after in [*bounds, (len(text), len(text))]:
-        at = lo
+        at = counted = lo
+        odd = False
         for m in candidate.finditer(text, lo, hi):
             mark, end = m.span()
             if slots:
@@ -174,13 +217,17 @@ def _units(text: str, slots: list[tuple[int, int]]) -> Iterator[tuple[int, int]]
                 if k >= 0 and mark < slots[k][1]:
                     continue
             straight = text.find('"', mark, end)
-            if straight >= 0 and not _closing_quote(text, lo, straight):
-                end = straight
+            if straight >= 0:
+                # a straight mark closes where an odd number of them is before it in its paragraph
+                odd ^= text.count('"', counted, straight) % 2 == 1
+                counted = straight
+                if not odd:
+                    end = straight
             if end > mark and text[end - 1] in "'’" and end < hi and text[end].isalpha() and text[end - 1] == "'":
                 end -= 1
-            if end < hi and not _plain_end(text, mark, end):
+            if end < hi:
                 table = _script(text, mark)
-                for breaks, pattern in _cascade(table):
+                for breaks, pattern in _cascade(latin if table == "latin" else table):
                     if pattern.match(text, end):
                         break
                 if not breaks:
@@ -192,8 +239,8 @@ def _units(text: str, slots: list[tuple[int, int]]) -> Iterator[tuple[int, int]]
         lo = after
 
 
-def sentence_spans(text: str) -> list[tuple[int, int]]:
-    """(start, end) of each unit in code points, without white space at its ends."""
+def sentence_spans(text: str, label: str | None = None) -> list[tuple[int, int]]:
+    """(start, end) of each unit in code points, without white space at its ends; ``label`` is the text's language as told."""
     if not text or text.isspace():
         return []
     places, shadow = None, text
@@ -203,11 +250,11 @@ def sentence_spans(text: str) -> list[tuple[int, int]]:
             gone = {m.start() for m in _UNSEEN.finditer(text)}
             places = [k for k in range(len(text)) if k not in gone]
             shadow = _UNSEEN.sub("", text)
-        if (rare and _SHAPES_OF_LATIN.search(shadow)) or ("ο" in shadow and _GREEK_IN_LATIN.search(shadow)):
+        if (rare and _SHAPES_OF_LATIN.search(shadow) and not _is_cyrillic(shadow)) or ("ο" in shadow and _GREEK_IN_LATIN.search(shadow)):
             shadow = shadow.translate(_SHADOW)
     slots = sorted(m.span() for held, pattern in SLOT_PATTERNS if held != ":" and held in shadow for m in pattern.finditer(shadow))
     out = []
-    for a, b in _units(shadow, slots):
+    for a, b in _units(shadow, slots, language(shadow, label)):
         while a < b and shadow[a].isspace():
             a += 1
         while a < b and shadow[b - 1].isspace():
@@ -223,8 +270,8 @@ def _span_batches(with_text: bool):
             for at in range(0, batch.num_rows, 1024):
                 part = batch.slice(at, 1024)
                 ids, nos, starts, ends, texts = [], [], [], [], []
-                for i, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
-                    spans = sentence_spans(text)
+                for i, text, label in zip(*(part.column(c).to_pylist() for c in range(3)), strict=True):
+                    spans = sentence_spans(text, label)
                     ids += [i] * len(spans)
                     nos += range(1, len(spans) + 1)
                     starts += [a for a, _ in spans]
@@ -241,14 +288,16 @@ def _span_batches(with_text: bool):
     return run
 
 
-def split_sentences(df: DataFrame, id_col: str, text_col: str, with_text: bool = False) -> DataFrame:
+def split_sentences(df: DataFrame, id_col: str, text_col: str, with_text: bool = False, lang_col: str | None = None) -> DataFrame:
     """Rows (id, sentence_no, start_at, end_at[, sentence]) of every text; null, empty and blank texts have none.
 
     Places count code points from 0, ``end_at`` is the place after the last one.
-    Repeated rows come out as often as they come in; other columns are not
-    looked at.
+    ``lang_col`` helps where a text's own words don't tell its language; wrong
+    and missing labels do no harm. Repeated rows come out as often as they come
+    in; other columns are not looked at.
     """
-    src = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).where(F.length("text") > 0)
+    label = (F.col(lang_col) if lang_col else F.lit(None)).cast("string").alias("lang")
+    src = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"), label).where(F.length("text") > 0)
     src = spread(src, "id")
     ddl = "id long, sentence_no int, start_at int, end_at int" + (", sentence string" if with_text else "")
     return src.mapInArrow(_span_batches(with_text), ddl).withColumnRenamed("id", id_col)

@@ -63,3 +63,34 @@ def test_table(spark):
 def test_long_armenian_words_before_a_full_stop():
     text = "Մատենադարան. Երևան քաղաք։ Գրքերը այնտեղ են։"
     assert [text[a:b] for a, b in sentence_spans(text)] == ["Մատենադարան. Երևան քաղաք։", "Գրքերը այնտեղ են։"]
+
+
+def cut(text, label=None):
+    return [text[a:b] for a, b in sentence_spans(text, label)]
+
+
+def test_tables_by_language():
+    english = "The gift of the king was for the abbey and that of Gov. Smith is by the door. "
+    assert cut(english) == [english.strip()]
+    assert cut(english + "He was of the Bd. Then the rest came.")[1:] == ["He was of the Bd.", "Then the rest came."]
+    german = "Der Text und die Noten sind nicht von dem Schreiber, Bd. Zwei ist mit der Hs. Anders gilt das Bsp. Hier."
+    assert cut(german) == [german]
+    assert cut("Bd. Zwei", "de") == ["Bd. Zwei"] and cut("Bd. Zwei", "en") == ["Bd.", "Zwei"] and cut("Bd. Zwei", None) == cut("Bd. Zwei", "xx") == ["Bd. Zwei"]
+    assert cut("Смотри табл. Первая часть. Вторая часть.") == ["Смотри табл. Первая часть.", "Вторая часть."]
+    assert cut("See (Hom. 4.2) there. Next.", "en") == ["See (Hom. 4.2) there.", "Next."]
+
+
+def test_armenian_stop_is_not_the_full_stop():
+    assert cut("Բարձրագույն. Այսպես է։ Բառ.") == ["Բարձրագույն. Այսպես է։", "Բառ."]
+
+
+def test_many_straight_quotations_take_linear_time():
+    import time
+
+    took = []
+    for n in (4_000, 16_000):
+        text = '"So it is," he said. "No." ' * n
+        began = time.perf_counter()
+        sentence_spans(text)
+        took.append(time.perf_counter() - began)
+    assert took[1] < 10 * took[0]
