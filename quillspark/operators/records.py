@@ -1,12 +1,13 @@
 """Delimited records that may fail to parse: sound rows and failures with their reason.
 
-Blocks of records are read in bulk: one linear check of the block's format, then
-Arrow's columnar CSV reader, each record between two copies of its number. A
-block that holds a record with broken quoting, a wrong number of fields or a
-bare line break fails as a whole; it is bisected until the bad records are
+Records are read in blocks. One linear check tells whether a whole block is well
+formed; a block that holds a record with broken quoting, a wrong number of
+fields or a bare line break fails, and is bisected until the bad records are
 alone in pieces of at most ``STRICT_ROWS``, which are diagnosed record by
-record. Values are checked on the parsed columns, and the records that these
-checks single out are diagnosed in the same way.
+record. The stretches left between them go through Arrow's columnar CSV reader
+in one read, each record between two copies of its number. Values are checked on
+the parsed columns, and the records that these checks single out are diagnosed
+in the same way.
 """
 
 from __future__ import annotations
@@ -113,27 +114,27 @@ class _Block:
         self.at = np.frombuffer(offsets, np.int32)[lines.offset : lines.offset + len(lines) + 1]
         self.sep, self.format = sep, _format_re2(sep)
 
-    def read(self, lo: int, hi: int) -> list[pa.Array] | None:
-        """The columns of records lo to hi, or None where one of them can't be read."""
+    def well_formed(self, lo: int, hi: int) -> bool:
+        """Whether records lo to hi are all of four well-quoted fields without a bare line break."""
         a, b = int(self.at[lo]), int(self.at[hi])
-        data = self.data.slice(a, b - a)
-        whole = pa.Array.from_buffers(pa.string(), 1, [None, pa.py_buffer(np.array([0, b - a], np.int32)), data])
-        if not pc.match_substring_regex(whole, self.format)[0].as_py():
-            return None
+        whole = pa.Array.from_buffers(pa.string(), 1, [None, pa.py_buffer(np.array([0, b - a], np.int32)), self.data.slice(a, b - a)])
+        return pc.match_substring_regex(whole, self.format)[0].as_py()
+
+    def read(self, stretches: list[tuple[int, int]]) -> list[pa.Array] | None:
+        """The columns of the records of these stretches, or None where they don't come out as they went in."""
+        data = pa.py_buffer(b"".join(self.data.slice(int(self.at[lo]), int(self.at[hi] - self.at[lo])) for lo, hi in stretches))
         try:
             table = pacsv.read_csv(
                 pa.BufferReader(data),
-                read_options=pacsv.ReadOptions(use_threads=False, block_size=max(b - a + 1, 1024), column_names=_NAMES),
+                read_options=pacsv.ReadOptions(use_threads=False, block_size=max(len(data) + 1, 1024), column_names=_NAMES),
                 parse_options=pacsv.ParseOptions(delimiter=self.sep, newlines_in_values=True, ignore_empty_lines=False),
                 convert_options=pacsv.ConvertOptions(column_types=_TYPES, strings_can_be_null=False),
             )
         except pa.ArrowInvalid:
             return None
         cols = [c.combine_chunks() for c in table.columns]
-        # A mark left open may take in the next record, and another there shut it.
-        if table.num_rows != hi - lo or not cols[0].equals(_NUMBERS.slice(lo, hi - lo)) or not cols[5].equals(cols[0]):
-            return None
-        return cols[1:5]
+        numbers = pa.concat_arrays([_NUMBERS.slice(lo, hi - lo) for lo, hi in stretches])
+        return cols[1:5] if cols[0].equals(numbers) and cols[5].equals(numbers) else None
 
 
 def _sound_values(cols: list[pa.Array]) -> np.ndarray:
@@ -165,20 +166,11 @@ def _solve(records: pa.Array, sep: str | None, failed: list[int] | None = None)
     for first in range(0, len(everything), BLOCK_ROWS):
         places = everything[first : first + BLOCK_ROWS]
         block = _Block(plain.slice(first, BLOCK_ROWS), mark)
-        todo = [(0, len(places))]
+        todo, good = [(0, len(places))], []
         while todo:
             lo, hi = todo.pop()
-            cols = block.read(lo, hi)
-            if cols is not None:
-                own = places[lo:hi]
-                sound = _sound_values(cols)
-                if not sound.all():
-                    yield strictly(own[~sound])
-                    cols, own = [c.filter(pa.array(sound)) for c in cols], own[sound]
-                if mark != sep:
-                    cols = [pc.replace_substring(c, mark, sep) for c in cols]
-                if len(own):
-                    yield own, [pc.utf8_trim(cols[0], " "), pc.utf8_trim(cols[1], " "), cols[2], cols[3]], None
+            if block.well_formed(lo, hi):
+                good.append((lo, hi))
                 continue
             if failed is not None:
                 failed.append(hi - lo)
@@ -187,6 +179,28 @@ def _solve(records: pa.Array, sep: str | None, failed: list[int] | None = None)
                 todo += [(half, hi), (lo, half)]
             else:
                 yield strictly(places[lo:hi])
+        reads = [good] if good else []
+        while reads:
+            stretches = reads.pop()
+            own = np.concatenate([places[lo:hi] for lo, hi in stretches])
+            cols = block.read(stretches)
+            if cols is None:
+                if len(own) <= STRICT_ROWS:
+                    yield strictly(own)
+                elif len(stretches) > 1:
+                    reads += [stretches[len(stretches) // 2 :], stretches[: len(stretches) // 2]]
+                else:
+                    (lo, hi) = stretches[0]
+                    reads += [[((lo + hi) // 2, hi)], [(lo, (lo + hi) // 2)]]
+                continue
+            sound = _sound_values(cols)
+            if not sound.all():
+                yield strictly(own[~sound])
+                cols, own = [c.filter(pa.array(sound)) for c in cols], own[sound]
+            if mark != sep:
+                cols = [pc.replace_substring(c, mark, sep) for c in cols]
+            if len(own):
+                yield own, [pc.utf8_trim(cols[0], " "), pc.utf8_trim(cols[1], " "), cols[2], cols[3]], None
 
 
 def _parse_batches(only_failures: bool, kept: int):
