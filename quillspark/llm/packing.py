@@ -187,7 +187,9 @@ def pack_sizes(sizes: DataFrame, id_col: str, size_col: str, capacity: int = CAP
     counted = src.groupBy("id", "n").agg(F.count("*").alias("all"))
     runs = counted.select("id", "n", "all", F.explode(F.sequence(F.lit(0), F.floor((F.col("all") - 1) / items))).alias("k"))
     runs = runs.select("id", "n", F.least(F.lit(items), F.col("all") - F.col("k") * items).cast("long").alias("copies"), F.xxhash64("id", "n", "k").alias("at"))
-    ordered = runs.repartition("at").sortWithinPartitions("at", "id", "n").select("id", "n", "copies")
+    # a fixed number of tasks: by size alone a few would do all the packing
+    tasks = 2 * sizes.sparkSession.sparkContext.defaultParallelism
+    ordered = runs.repartition(tasks, "at").sortWithinPartitions("at", "id", "n").select("id", "n", "copies")
     return ordered.mapInArrow(_pack(capacity, items), "id long, part int, container long, n_tokens long").withColumnRenamed("id", id_col)
 
 
