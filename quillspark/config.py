@@ -44,6 +44,8 @@ class Profile:
     formats: dict[str, Format] = field(default_factory=lambda: {"orig": ORIG, "main": MAIN, "plain": PLAIN})
     #: Only letters with case make words; else letters of all scripts.
     cased: bool = True
+    #: From a text and ``cased`` to array<struct<pre, core, post>>.
+    tokenizer: Callable[[Column, bool], Column] = T.slot_pieces
     #: Text in braces is a head, not part of the text.
     bracket_heads: bool = False
     contractions: tuple[tuple[str, str], ...] = ()

@@ -167,10 +167,28 @@ def to_greek(c: Column) -> Column:
     return F.regexp_replace(F.translate(F.lower(c), "abgdezhqiklmncoprstufxyw", "αβγδεζηθικλμνξοπρστυφχψω"), r"σ(?!\p{L})", "ς")
 
 
+# The signs of marks in Greek written with Latin letters, and the combining marks.
+BETA_MARKS = (")(/\\=|+", "\u0313\u0314\u0301\u0300\u0342\u0345\u0308")
+
+
+def beta_to_greek(c: Column) -> Column:
+    """Greek written in Latin letters with signs for its marks (``lo/gos``, ``*)aqh=nai``) in Greek letters with combining marks: a star makes the next letter a capital, whose marks stand before it."""
+    c = F.lower(c)
+    for letter, capital in zip("abgdezhqiklmncoprstufxyw", "ΑΒΓΔΕΖΗΘΙΚΛΜΝΞΟΠΡΣΤΥΦΧΨΩ", strict=True):
+        c = F.regexp_replace(c, rf"\*([)(/\\=|+]*){letter}", f"{capital}$1")
+    marks = F.translate(c, *BETA_MARKS)
+    return F.regexp_replace(F.translate(marks, "abgdezhqiklmncoprstufxywj", "αβγδεζηθικλμνξοπρστυφχψως"), r"σ(?![\p{L}\p{M}])", "ς")
+
+
 def is_ascii(c: Column) -> Column:
     return c.rlike(r"^[\x00-\x7F]*\z")
 
 
+def greek_text(c: Column) -> Column:
+    """Text that is all ASCII as Greek written in Latin letters, other text as it is."""
+    return F.when(is_ascii(c), beta_to_greek(c)).otherwise(c)
+
+
 def ends_open(c: Column) -> Column:
     """Text that goes on in the next row: a hyphen or ``<`` at its end."""
     return c.rlike(r"[-<]\z")

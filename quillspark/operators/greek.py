@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillspark.functions.text import APOSTROPHE, APOSTROPHES, is_ascii, one_apostrophe, plain_low, to_greek
+from quillspark.functions.text import APOSTROPHE, APOSTROPHES, greek_text, one_apostrophe, plain_low
 from quillspark.operators.lexicon import resolve_elision
 
 
@@ -21,7 +21,7 @@ def resolve_words(words: DataFrame, word_col: str, elisions: DataFrame, crases:
     (key, value). Words in ASCII letters are Greek in Latin letters.
     """
     w = F.lower(F.col("word"))
-    base = words.select(F.col(word_col).alias("word")).where("word IS NOT NULL").distinct().withColumn("base", one_apostrophe(F.when(is_ascii(w), to_greek(w)).otherwise(w)))
+    base = words.select(F.col(word_col).alias("word")).where("word IS NOT NULL").distinct().withColumn("base", one_apostrophe(greek_text(w)))
     full = resolve_elision(base.select("base").distinct(), "base", elisions, require_mark=require_mark)
     told = base.join(full, "base", "left").select("word", F.coalesce(F.array_join("full", ","), F.col("base")).alias("elided"))
     pairs = crases.select(one_apostrophe(F.col("key")).alias("elided"), F.col("value").alias("pair")).dropDuplicates(["elided"])

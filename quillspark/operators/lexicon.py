@@ -70,13 +70,15 @@ def with_movable(words: DataFrame, word_col: str, letter: str) -> DataFrame:
     return ends.join(stems, F.expr(f"substring({word_col}, 1, length({word_col}) - {len(letter)})") == F.col("stem__"), "left_semi")
 
 
-def lemma_cascade(words: DataFrame, lang_col: str, form_col: str, plain_col: str, lemmata: DataFrame) -> DataFrame:
-    """``words`` with ``lemma``: by exact form, else by plain form, else ``*`` and the plain form; several joined by commas, sorted."""
+def lemma_cascade(words: DataFrame, lang_col: str, form_col: str, plain_col: str, lemmata: DataFrame, norm_col: str | None = None) -> DataFrame:
+    """``words`` with ``lemma``: by exact form, else by the normalised form where one is given, else by plain form, else ``*`` and the plain form; several joined by commas, sorted."""
     lex = lemmata.groupBy("lang", "form").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("lemma")))).alias("found"))
-    exact = lex.select(F.col("lang").alias("l1"), F.col("form").alias("f1"), F.col("found").alias("by_form"))
-    plain = lex.select(F.col("lang").alias("l2"), F.col("form").alias("f2"), F.col("found").alias("by_plain"))
-    joined = words.join(exact, (F.col(lang_col) == F.col("l1")) & (F.lower(form_col) == F.col("f1")), "left").join(plain, (F.col(lang_col) == F.col("l2")) & (F.col(plain_col) == F.col("f2")), "left")
-    return joined.select(*[words[c] for c in words.columns], F.coalesce(F.array_join("by_form", ","), F.array_join("by_plain", ","), F.concat(F.lit("*"), F.col(plain_col))).alias("lemma"))
+    joined, found = words, []
+    for k, form in enumerate([F.lower(form_col), *([F.col(norm_col)] if norm_col else []), F.col(plain_col)]):
+        own = lex.select(F.col("lang").alias(f"l{k}__"), F.col("form").alias(f"f{k}__"), F.col("found").alias(f"by{k}__"))
+        joined = joined.join(own, (F.col(lang_col) == F.col(f"l{k}__")) & (form == F.col(f"f{k}__")), "left")
+        found.append(F.array_join(f"by{k}__", ","))
+    return joined.select(*[words[c] for c in words.columns], F.coalesce(*found, F.concat(F.lit("*"), F.col(plain_col))).alias("lemma"))
 
 
 def lemma_of(words: DataFrame, form_col: str, plain_col: str, lemmata: DataFrame) -> DataFrame:
@@ -85,8 +87,10 @@ def lemma_of(words: DataFrame, form_col: str, plain_col: str, lemmata: DataFrame
     return lemma_cascade(words.withColumn("lang__", F.lit("")), "lang__", form_col, plain_col, lex).drop("lang__")
 
 
-def build_lexicon(entries: DataFrame, form_col: str, lemma_col: str) -> DataFrame:
-    """(form, lemmata): every form and its plain form with the sorted set of their lemmata (an array column)."""
+def build_lexicon(entries: DataFrame, form_col: str, lemma_col: str, *more: DataFrame) -> DataFrame:
+    """(form, lemmata): every form and its plain form with the sorted set of their lemmata (an array column), from any number of sources with the same two columns."""
+    for source in more:
+        entries = entries.select(form_col, lemma_col).unionByName(source.select(form_col, lemma_col))
     keys = entries.select(F.explode(F.array_distinct(F.array(F.col(form_col), plain_low(F.col(form_col))))).alias("form"), F.explode(lemma_col).alias("lemma"))
     return keys.where("form <> ''").groupBy("form").agg(F.array_sort(F.collect_set("lemma")).alias("lemmata"))
 

@@ -5,6 +5,8 @@ Every function takes rows (id, order, …) and orders them within their document
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -73,7 +75,7 @@ def resolved(pieces: Column, contractions: tuple[tuple[str, str], ...], cased: b
     return F.flatten(F.transform(pieces, parts))
 
 
-def counted(segments: DataFrame, id_col: str, order: list[str], body_col: str, contractions: tuple[tuple[str, str], ...] = (), cased: bool = True) -> DataFrame:
+def counted(segments: DataFrame, id_col: str, order: list[str], body_col: str, contractions: tuple[tuple[str, str], ...] = (), cased: bool = True, tokenizer: Callable[[Column, bool], Column] = slot_pieces) -> DataFrame:
     """``segments`` with ``words`` (see ``resolved``), their number ``n`` and ``before``, the slots of the document before them.
 
     Punctuation at the start of a body that stands apart from its first word, as
@@ -82,7 +84,7 @@ def counted(segments: DataFrame, id_col: str, order: list[str], body_col: str, c
     """
     body = F.coalesce(F.col(body_col), F.lit(""))
     apart = orphans(body, cased)
-    out = segments.withColumn("apart__", apart).withColumn("words", resolved(slot_pieces(F.substring(body, F.length("apart__") + 1, F.length(body)), cased), contractions, cased))
+    out = segments.withColumn("apart__", apart).withColumn("words", resolved(tokenizer(F.substring(body, F.length("apart__") + 1, F.length(body)), cased), contractions, cased))
     by_doc = Window.partitionBy(id_col).orderBy(*order)
     out = out.withColumn("n", F.size("words")).withColumn("island__", F.coalesce(F.sum((F.col("n") > 0).cast("int")).over(by_doc.rowsBetween(*_ALL_BEFORE)), F.lit(0)))
     out = out.withColumn("before", F.coalesce(F.sum("n").over(by_doc.rowsBetween(*_ALL_BEFORE)), F.lit(0)))

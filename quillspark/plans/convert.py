@@ -22,7 +22,7 @@ from quillspark.operators import segments as S
 from quillspark.operators import slots as O
 from quillspark.operators import xml_events as E
 from quillspark.session import checkpoint_dir
-from quillspark.sources.files import read_delimited, read_xml_texts
+from quillspark.sources.files import list_files, read_delimited, read_xml_texts
 from quillspark.sources.sinks import write_graph
 
 _SO_FAR = (Window.unboundedPreceding, 0)
@@ -156,7 +156,7 @@ def rows_to_graph(
         cut = S.cut_heads(carried, ID, "at__", "body")
     else:
         cut = carried.select("*", F.lit(0).alias("seg"))
-    counted = S.counted(cut, ID, order, "body", profile.contractions, profile.cased)
+    counted = S.counted(cut, ID, order, "body", profile.contractions, profile.cased, profile.tokenizer)
     if not ignore_empty:
         counted = _with_empty(counted, order, own)
     counted = _kept(counted.select(ID, *order, *(["head", "head_no"] if profile.bracket_heads else []), *own, "words", "n", "before"))
@@ -235,7 +235,7 @@ def xml_to_graph(docs: DataFrame, id_col: str, xml_col: str, profile: Profile =
     deep = deep.withColumn("closes__", F.when(closes, F.col("opener__.level")))
     is_text = F.col("code") == "text"
     carried = S.carry_words(deep, ID, "pos", "text", is_text & (F.col("aside__") <= 0))
-    counted = S.counted(carried, ID, ["pos"], "body", profile.contractions, profile.cased)
+    counted = S.counted(carried, ID, ["pos"], "body", profile.contractions, profile.cased, profile.tokenizer)
     # a section that ends, or is followed by one of its level or above, before any word
     edge = F.when(F.col("level").isNotNull() | F.col("closes__").isNotNull(), F.struct(F.col("level"), F.col("before").alias("at")))
     following = F.first(edge, ignorenulls=True).over(by_doc.rowsBetween(1, Window.unboundedFollowing))
@@ -309,14 +309,13 @@ def convert_xml(spark: SparkSession, path: str, profile: Profile = GENERIC, igno
     return xml_to_graph(read_xml_texts(spark, path).withColumnRenamed("path", "doc_id"), "doc_id", "xml", profile, ignore_empty, None, lemmata)
 
 
-def convert(spark: SparkSession, folder: str, out: str, profile: Profile = GENERIC, name_part: str = "", mode: str = "ignore", **settings) -> dict[str, int]:
-    """Every file under a folder by its kind: delimited (csv, tsv) or XML; what another run has written stays. The number of files seen by kind."""
-    from quillspark.sources.files import list_files
-
+def convert(spark: SparkSession, folder: str, out: str, profile: Profile = GENERIC, name_part: str = "", mode: str = "ignore", **settings) -> dict[str, tuple[int, int]]:
+    """Every file under a folder by its kind: delimited (csv, tsv) or XML; what another run has written stays. By kind, how many files were seen and how many gave a document."""
     seen = {r["extension"]: r["count"] for r in list_files(spark, folder, name_part).groupBy("extension").count().collect()}
-    for extension in ("csv", "tsv"):
-        if extension in seen:
-            convert_delimited(spark, f"{folder}/*{name_part}*.{extension}", profile=profile, **settings).write(f"{out}/{extension}", mode)
-    if "xml" in seen:
-        convert_xml(spark, f"{folder}/*{name_part}*.xml", profile=profile).write(f"{out}/xml", mode)
-    return seen
+    done = {}
+    for extension in sorted({"csv", "tsv", "xml"} & set(seen)):
+        path = f"{folder}/*{name_part}*.{extension}"
+        graph = convert_xml(spark, path, profile) if extension == "xml" else convert_delimited(spark, path, profile=profile, **settings)
+        graph.write(f"{out}/{extension}", mode)
+        done[extension] = (seen[extension], spark.read.parquet(f"{out}/{extension}/slots").select("doc_id").distinct().count())
+    return done

@@ -92,6 +92,11 @@ def q_xml_roles(spark: SparkSession, d: str) -> DataFrame:
     return roles.select("file_name", "tag", F.replace("keys", F.lit("\x1f"), F.lit(",")).alias("keys"), "value_key", F.array_join("name_keys", ",").alias("name_keys"), "is_section")
 
 
+def q_attribute_values(spark: SparkSession, d: str) -> DataFrame:
+    body = E.body_events(E.xml_events(nested_xml(spark, d), "file_name", "xml"), "file_name")
+    return E.attribute_values(body, "file_name").select("file_name", "tag", F.replace("keys", F.lit("\x1f"), F.lit(",")).alias("keys"), "attr", "n_values")
+
+
 def _from_xml(spark: SparkSession, d: str) -> Graph:
     return xml_to_graph(nested_xml(spark, d), "file_name", "xml", XML_PROFILE)
 
@@ -165,6 +170,7 @@ ORACLES = {
     "UNION ALL SELECT DISTINCT file_name, 'section', 'description', 'structure feature of the 2nd level' FROM sl",
     "q_convert_otext": _ROWS + " SELECT DISTINCT file_name, t.key, t.value FROM sl, (VALUES ('fmt:text-orig-orig', '{pre}{orig}{post}'), ('fmt:text-orig-main', '{main} '), ('fmt:text-orig-plain', '{plain} '), ('sectionTypes', 'chapter,section,line'), ('sectionFeatures', 'chapter,section,line'), ('structureTypes', '_book,chapter,section,line,_sentence,_phrase'), ('structureFeatures', '_book,chapter,section,line,_sentence,_phrase')) t(key, value)",
     "q_xml_roles": _XML + ", fl AS (SELECT DISTINCT file_name FROM lines) SELECT file_name, 'div' AS tag, 'subtype,n' AS keys, 'n' AS value_key, 'subtype' AS name_keys, true AS is_section FROM fl UNION ALL SELECT DISTINCT file_name, 'pb', 'n', 'n', '', false FROM lines WHERE row_id % 10 = 0",
+    "q_attribute_values": _XML + " SELECT file_name, 'div' AS tag, 'subtype,n' AS keys, 'subtype' AS attr, 2 AS n_values FROM lines GROUP BY 1 UNION ALL SELECT file_name, 'div', 'subtype,n', 'n', count(DISTINCT v) FROM (SELECT file_name, unnest([chapter, section]) AS v FROM lines) GROUP BY 1 UNION ALL SELECT file_name, 'pb', 'n', 'n', count(*) FROM lines WHERE row_id % 10 = 0 GROUP BY 1",
     "q_xml_convert_slots": _XML + " SELECT file_name, slot, pre, post, orig, main, plain FROM sl",
     "q_xml_convert_nodes": _XML + f", pr AS (SELECT l.file_name, l.line_at, l.row_id, a, z FROM lines l LEFT JOIN ({_P}) p USING (file_name, line_at)), pq AS (SELECT *, row_number() OVER (PARTITION BY file_name ORDER BY line_at) AS no, coalesce(max(z) OVER (PARTITION BY file_name ORDER BY line_at ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before, coalesce(max(z) OVER (PARTITION BY file_name ORDER BY line_at), 0) AS after, max(z) OVER (PARTITION BY file_name) AS total FROM pr), "
     "pb AS (SELECT file_name, row_id, before, lead(before, 1, total) OVER (PARTITION BY file_name ORDER BY line_at) AS until FROM pq WHERE row_id % 10 = 0), pn AS (SELECT file_name, after, string_agg('a remark', ' ' ORDER BY line_at) AS value, any_value(total) AS total FROM pq WHERE row_id % 7 = 0 GROUP BY file_name, after), "

@@ -20,8 +20,8 @@ from quillspark.plans.convert_queries import lines as _lines
 from quillspark.plans.problems import _PARSED
 from quillspark.plans.text_queries import TOKENS, UNITS
 from quillspark.session import spread, table
-from quillspark.sources.files import header_names, sniff_delimiter
-from quillspark.sources.sinks import output_path
+from quillspark.sources.files import header_names, list_files, sniff_delimiter
+from quillspark.sources.sinks import numbered_paths, output_path
 
 LEVELS = ["chapter", "section", "line"]
 
@@ -73,7 +73,9 @@ def q_verse_codes(spark: SparkSession, d: str) -> DataFrame:
 def q_sigla(spark: SparkSession, d: str) -> DataFrame:
     nums = table(spark, d, "works").select(F.regexp_replace("work_id", "[^0-9]", "").alias("n")).distinct()
     five = F.concat(((F.substring("n", 4, 1).cast("int") % 4) + 1).cast("string"), F.substring("n", 1, 4))
-    return nums.select("n", R.manuscript_siglum(five).alias("siglum"))
+    number = F.when(F.col("n").endswith("7"), F.concat(F.substring(five, 1, 4), F.lit("S"))).when(F.col("n").endswith("8"), F.substring(five, 1, 4)).otherwise(five)
+    place = F.when(F.substring("n", 5, 1) == "1", "Birmingham").when(F.substring("n", 5, 1) == "2", "Muenster").otherwise("Lyon")
+    return nums.select("n", R.manuscript_siglum(number, place).alias("siglum"))
 
 
 def q_headers(spark: SparkSession, d: str) -> DataFrame:
@@ -86,6 +88,14 @@ def q_files(spark: SparkSession, d: str) -> DataFrame:
     return rows.groupBy(F.regexp_extract("file_name", r"\.([a-z]+)\z", 1).alias("extension")).agg(F.count_distinct("file_name").alias("files"), F.count("*").alias("records"), F.count_if(F.col("line_no") > 1).alias("body_records"))
 
 
+OWN_TABLES = ["documents", "slots", "node_features", "oslots", "works", "citation_rows", "wordforms", "lemmata", "sources"]
+
+
+def q_listing(spark: SparkSession, d: str) -> DataFrame:
+    found = list_files(spark, d, extensions=("parquet",))
+    return found.where(F.col("name").isin(*[f"{t}.parquet" for t in OWN_TABLES])).select("name", "extension", (F.col("bytes") > 0).alias("filled"))
+
+
 def q_carry(spark: SparkSession, d: str) -> DataFrame:
     lines = table(spark, d, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
     cut = lines.withColumn("line", F.when(F.col("line_no") % 5 == 2, F.concat("line", F.lit("-"))).otherwise(F.col("line")))
@@ -159,7 +169,8 @@ def q_feature_header(spark: SparkSession, d: str) -> DataFrame:
 def q_metadata_path(spark: SparkSession, d: str) -> DataFrame:
     w = table(spark, d, "works").drop("loaded_at").distinct()
     c = F.col
-    return w.select("work_id", output_path([[c("author"), c("geography")], [c("title")], [c("place"), c("publication_year")]], [["author", "geography"], ["title"], ["place", "publication_year"]]).alias("path"))
+    paths = w.select("work_id", output_path([[c("author"), c("geography")], [c("title")], [c("place"), c("publication_year")]], [["author", "geography"], ["title"], ["place", "publication_year"]]).alias("path"), R.code_path(F.regexp_replace("work_id", "^([a-z]+)([0-9]+)-", "$1 $2 ")).alias("by_code"))
+    return numbered_paths(paths, "path", "work_id").drop("edition")
 
 
 def q_set_overlap(spark: SparkSession, d: str) -> DataFrame:
@@ -361,9 +372,10 @@ ORACLES = {
     "q_schemes": "WITH w AS (SELECT DISTINCT work_id, list_filter(string_split(lower(citation_scheme), '/'), lambda x: x <> '') AS l FROM works) SELECT work_id, array_to_string(l, '|') AS levels, len(l) AS n FROM w",
     "q_scheme_labels": "WITH w AS (SELECT DISTINCT work_id, greatest(len(list_filter(string_split(lower(coalesce(citation_scheme, '')), '/'), lambda x: x <> '')), 1) AS k FROM works), n AS (SELECT DISTINCT work_id, unnest(range(1, k + 1)) AS n FROM w) SELECT work_id, n, 'structure feature of the ' || CASE n WHEN 1 THEN '1st' WHEN 2 THEN '2nd' WHEN 3 THEN '3rd' ELSE n || 'th' END || ' level' AS label FROM n",
     "q_verse_codes": _LINES + ", r AS (SELECT DISTINCT 'B0' || length(file_name) || 'K' || regexp_extract(chapter, '^([0-9]+)', 1) || 'V' || regexp_extract(section, '^([0-9]+)', 1) AS ref FROM lines) SELECT ref, regexp_extract(ref, 'B([0-9]+)', 1) AS book, regexp_extract(ref, 'K([0-9]+)', 1) AS chapter, regexp_extract(ref, 'V([0-9]+)', 1) AS verse FROM r",
-    "q_sigla": "WITH n AS (SELECT DISTINCT regexp_replace(work_id, '[^0-9]', '', 'g') AS n FROM works) SELECT n, CASE substr(n, 4, 1)::INT % 4 WHEN 0 THEN 'P' WHEN 1 THEN '0' WHEN 2 THEN '' ELSE 'L' END || ltrim(substr(n, 1, 4), '0') AS siglum FROM n",
+    "q_sigla": "WITH n AS (SELECT DISTINCT regexp_replace(work_id, '[^0-9]', '', 'g') AS n FROM works) SELECT n, CASE substr(n, 5, 1) WHEN '1' THEN 'B_' WHEN '2' THEN 'M_' ELSE '' END || CASE WHEN n LIKE '%7' THEN (substr(n, 4, 1)::INT % 4 + 1) || substr(n, 1, 3) || 'S' WHEN n LIKE '%8' THEN (substr(n, 4, 1)::INT % 4 + 1) || substr(n, 1, 3) ELSE CASE substr(n, 4, 1)::INT % 4 WHEN 0 THEN 'P' WHEN 1 THEN '0' WHEN 2 THEN '' ELSE 'L' END || ltrim(substr(n, 1, 4), '0') END AS siglum FROM n",
     "q_headers": "SELECT row_id, sep_char AS sniffed, lower(array_to_string(string_split(regexp_replace(regexp_replace(raw_line, '^\\x{feff}', ''), '\\r\\z', ''), sep_char), '|')) AS names FROM citation_rows WHERE line_no = 1",
     "q_files": "SELECT regexp_extract(file_name, '\\.([a-z]+)\\z', 1) AS extension, count(DISTINCT file_name) AS files, count(*) AS records, count(*) FILTER (WHERE line_no > 1) AS body_records FROM citation_rows GROUP BY 1",
+    "q_listing": f"SELECT table_name || '.parquet' AS name, 'parquet' AS extension, true AS filled FROM information_schema.tables WHERE table_name IN ({', '.join(repr(t) for t in OWN_TABLES)})",
     "q_carry": _DOC_LINES + ", c AS (SELECT doc_id, line_no, CASE WHEN line_no % 5 = 2 THEN line || '-' ELSE line END AS line FROM l), o AS (SELECT *, coalesce(regexp_matches(lag(line) OVER w, '[-<]\\z'), false) AS opened, lead(line) OVER w IS NULL AS last FROM c WINDOW w AS (PARTITION BY doc_id ORDER BY line_no)), i AS (SELECT *, sum((NOT opened)::INT) OVER (PARTITION BY doc_id ORDER BY line_no) AS island FROM o) SELECT doc_id, min(line_no) AS line_no, md5(string_agg(CASE WHEN last THEN line ELSE regexp_replace(line, '[-<]\\z', '') END, '' ORDER BY line_no)) AS text FROM i GROUP BY doc_id, island",
     "q_continuations": _DOC_LINES + ", i AS (SELECT *, coalesce(sum(regexp_matches(line, '[.?!]\\s*\\z')::INT) OVER (PARTITION BY doc_id ORDER BY line_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS island FROM l) SELECT doc_id, max(line_no) AS line_no, md5(string_agg(line, '' ORDER BY line_no)) AS text FROM i GROUP BY doc_id, island",
     "q_heads": "WITH h AS (SELECT doc_id, regexp_extract_all(text, '\\{[^}]*\\}? ?') AS l FROM documents) SELECT doc_id, unnest(range(1, len(l) + 1)) AS head_no, trim(translate(unnest(l), '{}', ''), ' ') AS head FROM h",
@@ -374,7 +386,7 @@ ORACLES = {
     "q_value_types": "SELECT feature, CASE WHEN bool_and(regexp_full_match(feature_value, '[0-9]+')) THEN 'int' ELSE 'str' END AS value_type, count(DISTINCT feature_value) AS n_values FROM node_features GROUP BY feature",
     "q_feature_lines": "WITH f AS (SELECT DISTINCT * FROM node_features), v AS (SELECT *, replace(replace(replace(coalesce(feature_value, ''), '\\', '\\\\'), chr(9), '\\t'), chr(10), '\\n') AS v, lag(node) OVER (PARTITION BY doc_id, feature ORDER BY node) AS before FROM f) SELECT doc_id, feature, node, CASE WHEN before = node - 1 THEN v ELSE node || chr(9) || v END AS line FROM v",
     "q_feature_header": "SELECT feature, '@node' || chr(10) || '@language=mixed' || chr(10) || '@version=1.0' || chr(10) || '@valueType=' || CASE WHEN bool_and(regexp_full_match(feature_value, '[0-9]+')) THEN 'int' ELSE 'str' END AS header FROM node_features GROUP BY feature",
-    "q_metadata_path": _WORKS + " SELECT work_id, concat_ws('/', " + ", ".join("regexp_replace(trim(coalesce(" + ", ".join(f"CASE WHEN trim({c}, ' ') <> '' THEN {c} END" for c in cols) + f", 'unknown {'-'.join(cols)}'), ' '), '[/\\\\]', '-', 'g')" for cols in (["author", "geography"], ["title"], ["place", "publication_year"])) + ", '1.0') AS path FROM w",
+    "q_metadata_path": _WORKS + ", p AS (SELECT work_id, concat_ws('/', " + ", ".join("regexp_replace(trim(coalesce(" + ", ".join(f"CASE WHEN trim({c}, ' ') <> '' THEN {c} END" for c in cols) + f", 'unknown {'-'.join(cols)}'), ' '), '[/\\\\]', '-', 'g')" for cols in (["author", "geography"], ["title"], ["place", "publication_year"])) + ", '1.0') AS path FROM w) SELECT work_id, path, regexp_replace(work_id, '^([a-z]+)([0-9]+)-', '\\1/\\2/') AS by_code, path[:-5] || '/' || row_number() OVER (PARTITION BY path ORDER BY work_id) || '/1.0' AS folder FROM p",
     "q_set_overlap": "WITH s AS (SELECT DISTINCT plain, lemma FROM slots WHERE plain <> '' AND lemma <> '') SELECT plain, s.lemma, array_to_string(l.lemma, ',') AS known, list_has_any(string_split(s.lemma, ','), l.lemma) AS meets FROM s JOIN lemmata l ON plain = form",
     "q_xml_events": _XML + " SELECT work_id, pos, code, tag, text, CASE WHEN regexp_matches(piece, 'n ?= ?\"') THEN trim(regexp_extract(piece, ' n ?= ?\"([^\"]*)\"', 1), ' ') END AS n FROM ev",
     "q_body_tags": _XML + ", b AS (SELECT *, min(CASE WHEN code = 'bodyStart' THEN pos END) OVER (PARTITION BY work_id) AS a, min(CASE WHEN code = 'bodyStop' THEN pos END) OVER (PARTITION BY work_id) AS z FROM ev) SELECT work_id, pos, tag, row_number() OVER (PARTITION BY work_id, tag ORDER BY pos) AS tag_no FROM b WHERE pos > a AND pos < z AND code IN ('openTag', 'openAttrTag', 'openCloseTag', 'closedAttrTag')",

@@ -128,8 +128,8 @@ def q_normal_forms(spark: SparkSession, d: str) -> DataFrame:
 
 
 def q_lemma_cascade(spark: SparkSession, d: str) -> DataFrame:
-    w = table(spark, d, "wordforms").select("form_id", "lang", "orig", "plain")
-    return X.lemma_cascade(w, "lang", "orig", "plain", table(spark, d, "lemmata")).select("form_id", "lemma")
+    w = table(spark, d, "wordforms").select("form_id", "lang", "orig", "plain", T.strip_all_letters(F.col("orig")).alias("norm"))
+    return X.lemma_cascade(w, "lang", "orig", "plain", table(spark, d, "lemmata"), "norm").select("form_id", "lemma")
 
 
 def q_lemma_coverage(spark: SparkSession, d: str) -> DataFrame:
@@ -137,7 +137,8 @@ def q_lemma_coverage(spark: SparkSession, d: str) -> DataFrame:
 
 
 def q_lexicon_build(spark: SparkSession, d: str) -> DataFrame:
-    return X.build_lexicon(table(spark, d, "lemmata"), "form", "lemma").select("form", F.array_join("lemmata", ",").alias("lemmata"))
+    forms = table(spark, d, "wordforms").where("plain IS NOT NULL").select(F.col("orig").alias("form"), F.array("plain").alias("lemma"))
+    return X.build_lexicon(table(spark, d, "lemmata"), "form", "lemma", forms).select("form", F.array_join("lemmata", ",").alias("lemmata"))
 
 
 def q_lexicon_derived(spark: SparkSession, d: str) -> DataFrame:
@@ -216,7 +217,7 @@ _MARKS = "[" + (T.APOSTROPHES + T.APOSTROPHE).replace("'", "''") + "]"
 
 _ELISION = f"lex(key, value) AS (VALUES {_VALUES(ELISIONS)}), el AS (SELECT key, true AS exact, list_sort(value) AS value FROM lex UNION ALL SELECT k || '᾽', false, list_sort(list_distinct(flatten(list(value)))) FROM (SELECT {sql_plain('key')} AS k, value FROM lex) GROUP BY k)"
 _RANK = "CASE WHEN ends_with(key, '᾽') AND starts_with(key, '᾽') THEN 3 WHEN starts_with(key, '᾽') THEN 2 ELSE 0 END"
-_GREEK = "regexp_replace(regexp_replace(translate(word, 'abgdezhqiklmncoprstufxyw', 'αβγδεζηθικλμνξοπρστυφχψω'), 'σ([^\\p{L}])', 'ς\\1', 'g'), 'σ\\z', 'ς')"
+_GREEK = "regexp_replace(regexp_replace(translate(word, 'abgdezhqiklmncoprstufxywj', 'αβγδεζηθικλμνξοπρστυφχψως'), 'σ([^\\p{L}])', 'ς\\1', 'g'), 'σ\\z', 'ς')"
 
 QUERIES = {n: f for n, f in list(globals().items()) if n.startswith("q_")}
 
@@ -242,9 +243,9 @@ ORACLES = {
     "q_normal_forms": "SELECT form_id, nfc_normalize(orig) AS composed FROM wordforms",
     "q_movable": "WITH w AS (SELECT DISTINCT plain FROM slots WHERE plain <> '') SELECT plain FROM w WHERE (plain LIKE '%ν' OR plain LIKE '%s') AND left(plain, -1) IN (SELECT plain FROM w)",
     "q_nomina": f"WITH lex(key, value) AS (VALUES {_VALUES(ABBREVIATED)}) SELECT DISTINCT plain, coalesce(value, plain) AS full FROM slots LEFT JOIN lex ON plain = key WHERE plain <> ''",
-    "q_lemma_cascade": "WITH lex AS (SELECT lang, form, array_to_string(list_sort(list_distinct(flatten(list(lemma)))), ',') AS found FROM lemmata GROUP BY 1, 2) SELECT form_id, coalesce(a.found, b.found, '*' || plain) AS lemma FROM wordforms w LEFT JOIN lex a ON w.lang = a.lang AND lower(w.orig) = a.form LEFT JOIN lex b ON w.lang = b.lang AND w.plain = b.form",
+    "q_lemma_cascade": "WITH lex AS (SELECT lang, form, array_to_string(list_sort(list_distinct(flatten(list(lemma)))), ',') AS found FROM lemmata GROUP BY 1, 2) SELECT form_id, coalesce(a.found, c.found, b.found, '*' || plain) AS lemma FROM wordforms w LEFT JOIN lex a ON w.lang = a.lang AND lower(w.orig) = a.form LEFT JOIN lex b ON w.lang = b.lang AND w.plain = b.form LEFT JOIN lex c ON w.lang = c.lang AND c.form = lower(regexp_replace(replace(strip_accents(w.orig), 'Σ', 'σ'), '[^\\p{L}]', '', 'g'))",
     "q_lemma_coverage": ONCE + " SELECT doc_id, count(*) FILTER (WHERE v.l NOT LIKE '*%') AS known, count(*) AS told, round(100.0::DOUBLE * count(*) FILTER (WHERE v.l NOT LIKE '*%') / count(*), 2)::VARCHAR || '%' AS coverage FROM once WHERE v.l <> '' GROUP BY doc_id",
-    "q_lexicon_build": f"WITH k AS (SELECT unnest(list_distinct([form, {sql_plain('form')}])) AS form, lemma FROM lemmata), e AS (SELECT form, unnest(lemma) AS lemma FROM k WHERE form <> '') SELECT form, string_agg(DISTINCT lemma, ',' ORDER BY lemma) AS lemmata FROM e GROUP BY form",
+    "q_lexicon_build": f"WITH l AS (SELECT form, lemma FROM lemmata UNION ALL SELECT orig, [plain] FROM wordforms WHERE plain IS NOT NULL), k AS (SELECT unnest(list_distinct([form, {sql_plain('form')}])) AS form, lemma FROM l), e AS (SELECT form, unnest(lemma) AS lemma FROM k WHERE form <> '') SELECT form, string_agg(DISTINCT lemma, ',' ORDER BY lemma) AS lemmata FROM e GROUP BY form",
     "q_lexicon_derived": "WITH base AS (SELECT DISTINCT form, array_to_string(list_sort(lemma), ',') AS lemma FROM lemmata) SELECT * FROM base UNION ALL SELECT DISTINCT plain, '*' || plain FROM wordforms WHERE plain <> '' AND plain NOT IN (SELECT form FROM base)",
     "q_ascii_texts": "SELECT lang, count(*) AS docs, count(*) FILTER (WHERE regexp_full_match(text, '[\\x00-\\x7F]*')) AS ascii_docs, count(*) FILTER (WHERE regexp_matches(text, '[-<]\\z')) AS open_docs FROM documents WHERE text IS NOT NULL GROUP BY lang",
     "q_joined_lines": "WITH j AS (SELECT doc_id, regexp_replace(regexp_replace(text, '-[ \\t]*\\r?\\n\\s*', '-', 'g'), '\\r?\\n', ' ', 'g') AS t FROM documents) SELECT doc_id, md5(t) AS joined, length(t) AS n FROM j",

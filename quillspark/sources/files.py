@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+import functools
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from quillspark.functions.refs import scheme_parts
+from quillspark.operators.citations import parse_citations
+
 DELIMITERS = ("\t", ",", ";", "|")
 
 
@@ -29,17 +34,20 @@ def header_names(line: Column, sep: Column) -> Column:
     return F.transform(F.split(F.replace(bare, sep, F.lit("\x01")), "\x01"), lambda c: F.lower(F.trim(F.regexp_replace(c, '^"|"\\z', ""))))
 
 
-def read_delimited(spark: SparkSession, path: str, sep: str | None = None, header: bool | list[str] = True, with_source: bool = False) -> DataFrame:
+def read_delimited(spark: SparkSession, path: str | list[str], sep: str | None = None, header: bool | list[str] = True, with_source: bool = False) -> DataFrame:
     """All columns as strings; names are in small letters; a list of names must fit the columns.
 
-    Where no delimiter is given, that of the first file is sniffed, so files of
-    another dialect go in another call; ``by_dialect`` tells them apart. With
-    ``with_source`` also ``doc_id``, the file's path, and ``row_no``, which
-    orders the rows of a file.
+    Where no delimiter is given, each file is read with its own, sniffed from its
+    first line; their columns must have the same names. With ``with_source`` also
+    ``doc_id``, the file's path, and ``row_no``, which orders the rows of a file.
+    The paths of files of different dialects are listed by the driver, as those
+    of any folder are.
     """
     if sep is None:
-        first = spark.read.text(path).limit(1).select(sniff_delimiter(F.col("value")).alias("sep")).collect()
-        sep = (first[0]["sep"] if first else None) or ","
+        dialects = by_dialect(spark, path).groupBy("sep").agg(F.collect_list("path").alias("paths")).collect()
+        if len(dialects) > 1:
+            return functools.reduce(DataFrame.unionByName, [read_delimited(spark, sorted(r["paths"]), r["sep"] or ",", header, with_source) for r in sorted(dialects, key=lambda r: r["sep"] or "")])
+        sep = (dialects[0]["sep"] if dialects else None) or ","
     df = spark.read.csv(path, sep=sep, header=header is True, quote='"', escape='"', multiLine=True, inferSchema=False)
     names = list(header) if isinstance(header, (list, tuple)) else df.columns
     if len(names) != len(df.columns):
@@ -50,7 +58,7 @@ def read_delimited(spark: SparkSession, path: str, sep: str | None = None, heade
     return df.select(*own, *columns)
 
 
-def by_dialect(spark: SparkSession, path: str) -> DataFrame:
+def by_dialect(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """(path, sep): the delimiter of each file by its first line."""
     lines = spark.read.text(path).select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("at"), F.col("value"), F.monotonically_increasing_id().alias("row"))
     first = lines.where("at = 0").groupBy("path").agg(F.min_by("value", "row").alias("line"))
@@ -75,6 +83,15 @@ def read_lemma_xml(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_citation_text(spark: SparkSession, path: str) -> DataFrame:
-    """(path, line_no, line) of plain citation text; numbers are the lines' places in their files."""
-    whole = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.posexplode(F.split("value", r"\r?\n")).alias("at", "line"))
-    return whole.select("path", (F.col("at") + 1).alias("line_no"), "line")
+    """(path, line_no, line) of plain citation text; numbers are the lines' places in their files, which may be cut over several tasks."""
+    lines = spark.read.text(path).select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at"), F.col("value").alias("line"))
+    return lines.select("path", F.row_number().over(Window.partitionBy("path").orderBy("block", "at")).alias("line_no"), "line")
+
+
+def read_citations(spark: SparkSession, path: str, schemes: DataFrame) -> DataFrame:
+    """(path, line_no, levels, refs, text) of citation files whose names have a scheme (file, citation_scheme with / between its levels); other files are left out."""
+    lines = read_citation_text(spark, path).withColumn("file", F.element_at(F.split("path", "/"), -1))
+    known = schemes.select("file", scheme_parts(F.col("citation_scheme")).alias("levels"))
+    told = lines.join(known, "file").withColumn("n__", F.size("levels"))
+    parsed = parse_citations(told, "path", "line_no", "line", "n__")
+    return parsed.withColumn("file", F.element_at(F.split("path", "/"), -1)).join(known, "file").select("path", "line_no", "levels", "refs", "text")

@@ -52,5 +52,6 @@ def write_tsv(df: DataFrame, folder: str) -> None:
 
 
 def write_witnesses(df: DataFrame, doc_col: str, hand_col: str, text_col: str, folder: str) -> None:
-    """One folder of text for each manuscript's hand."""
-    df.select(F.concat_ws("_", doc_col, hand_col).alias("witness"), F.col(text_col).alias("value")).write.mode("overwrite").partitionBy("witness").text(folder)
+    """One folder of XML for each manuscript's hand, its transcription as the body of a document."""
+    body = F.concat(F.lit("<TEI><text><body>"), F.col(text_col), F.lit("</body></text></TEI>"))
+    df.select(F.concat_ws("_", doc_col, hand_col).alias("witness"), body.alias("value")).write.mode("overwrite").partitionBy("witness").text(folder)

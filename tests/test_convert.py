@@ -55,7 +55,7 @@ def test_xml(spark):
 def test_files(spark, tmp_path):
     (tmp_path / "in").mkdir()
     (tmp_path / "in" / "x.tsv").write_text("Chapter\tSection\ttext\n1\t1\tAlpha beta.\n1\t2\tgamma, delta;\n2\t2\teps!\n")
-    (tmp_path / "in" / "y.tsv").write_text("Chapter\tSection\ttext\n9\t1\tzeta.\n")
+    (tmp_path / "in" / "y.tsv").write_text("Chapter;Section;text\n9;1;zeta.\n")
     (tmp_path / "in" / "a.xml").write_text(XML)
     (tmp_path / "in" / "b.xml").write_text("<TEI>none</TEI>")
     meta = spark.createDataFrame([("x.tsv", "title", "First"), ("y.tsv", "title", "Second")], "file string, key string, value string")
@@ -63,9 +63,16 @@ def test_files(spark, tmp_path):
     got = {(r["doc_id"][-5:], r["otype"], r["value"]) for r in g.units.where("otype IN ('_book', 'chapter')").collect()}
     assert got == {("x.tsv", "_book", "First"), ("x.tsv", "chapter", "1"), ("x.tsv", "chapter", "2"), ("y.tsv", "_book", "Second"), ("y.tsv", "chapter", "9")}
     assert {r["doc_id"][-5:] for r in convert_xml(spark, str(tmp_path / "in" / "*.xml")).slots.collect()} == {"a.xml"}
-    assert convert(spark, str(tmp_path / "in"), str(tmp_path / "out")) == {"tsv": 2, "xml": 2}
+    assert convert(spark, str(tmp_path / "in"), str(tmp_path / "out")) == {"tsv": (2, 2), "xml": (2, 1)}
     assert spark.read.parquet(str(tmp_path / "out" / "tsv" / "otext")).count() == 14 and spark.read.parquet(str(tmp_path / "out" / "xml" / "node_features")).count() > 10
-    assert {r["sep"] for r in by_dialect(spark, str(tmp_path / "in" / "*.tsv")).collect()} == {"\t"}
+    assert {r["sep"] for r in by_dialect(spark, str(tmp_path / "in" / "*.tsv")).collect()} == {"\t", ";"}
+
+
+def test_own_tokenizer(spark):
+    blanks = lambda text, cased: F.transform(F.filter(F.split(text, " "), lambda w: w != ""), lambda w: F.struct(F.lit("").alias("pre"), w.alias("core"), F.lit(" ").alias("post")))
+    df = spark.createDataFrame([("d", 1, "al-Kitab 12a x")], "doc string, n int, text string")
+    got = rows_to_graph(df, "doc", "n", [], "text", replace(GENERIC, tokenizer=blanks)).slots.orderBy("slot").collect()
+    assert [(r["orig"], r["post"]) for r in got] == [("alKitab", " "), ("a", " "), ("x", " ")]
 
 
 def test_sections_and_spans(spark):

@@ -55,4 +55,25 @@ def test_streams(spark, tmp_path):
     assert out.select("doc_id", "slot").distinct().count() == out.count() > 1000
     counts = incremental.stream_counts(docs).writeStream.format("memory").queryName("counts").outputMode("complete").trigger(availableNow=True).start()
     counts.awaitTermination(120)
-    assert spark.sql("SELECT sum(documents) FROM counts").collect()[0][0] > 0
+    assert spark.sql("SELECT sum(documents) FROM counts").collect()[0][0] == spark.read.parquet(src).count()
+
+
+def test_feature_files_paths_and_lexicons(spark, tmp_path):
+    f = spark.createDataFrame([("1", 5, "x", "a"), ("1", 6, "x", "b"), ("2", 9, "x", "c")], "doc_id string, node long, feature string, feature_value string")
+    head = spark.createDataFrame([("x", "@node\n@valueType=str")], "feature string, header string")
+    sinks.write_feature_files(f, head, "doc_id", str(tmp_path / "tf"))
+    got = "".join(p.read_text() for p in (tmp_path / "tf" / "feature=x").glob("*.txt"))
+    assert sorted(got.split("@node\n@valueType=str\n\n")[1:]) == ["5\ta\nb\n\n", "9\tc\n\n"]
+    p = spark.createDataFrame([("a/b/1.0", 1), ("a/b/1.0", 2), ("c/1.0", 3)], "path string, n int")
+    assert [(r["n"], r["folder"]) for r in sinks.numbered_paths(p, "path", "n").orderBy("n").collect()] == [(1, "a/b/1/1.0"), (2, "a/b/2/1.0"), (3, "c/1/1.0")]
+    sinks.write_lexicon(spark.createDataFrame([("b", ["x"]), ("a", ["y"])], "form string, lemma array<string>"), str(tmp_path / "lex"))
+    assert spark.read.parquet(str(tmp_path / "lex")).count() == 2
+
+
+def test_citation_files(spark, tmp_path):
+    (tmp_path / "w1.txt").write_text("1.1\tone\n1.\n2\ttwo\n1.3\n" + "".join(f"2.{k}\tline {k}\n" for k in range(500)))
+    (tmp_path / "w2.txt").write_text("5\tx\r\n6\ty\r\n")
+    schemes = spark.createDataFrame([("w1.txt", "Book//Chapter"), ("w2.txt", "line")], "file string, citation_scheme string")
+    got = files.read_citations(spark, str(tmp_path), schemes).orderBy("path", "line_no").collect()
+    assert [(r["line_no"], r["refs"], r["text"]) for r in got][:3] == [(1, ["1", "1"], "one"), (3, ["1", "2"], "two"), (5, ["2", "0"], "line 0")]
+    assert [(r["refs"], r["text"]) for r in got][-2:] == [(["5"], "x"), (["6"], "y")] and len(got) == 504 and got[0]["levels"] == ["book", "chapter"]

@@ -48,6 +48,12 @@ def test_forms(spark):
     assert one(spark, "w string", [("ANN OF THE ROUEN",), ("ab-\n cd\nef",)], T.author_case(F.col("w")), T.join_lines(F.col("w"))) == [("Ann of the Rouen", "ANN OF THE ROUEN"), ("Ab-\n Cd\nef", "ab-cd ef")]
 
 
+def test_beta_code(spark):
+    rows = [("lo/gos",), ("*)aqh=nai",), ("tw=|",), ("*(/omhros",), (None,)]
+    got = [r[0] and unicodedata.normalize("NFC", r[0]) for r in spark.createDataFrame(rows, "t string").select(T.beta_to_greek(F.col("t"))).collect()]
+    assert got == ["λόγος", "Ἀθῆναι", "τῷ", "Ὅμηρος", None]
+
+
 def test_minuscule_against_brute_force(spark):
     def brute(s):
         out = []
