@@ -70,8 +70,9 @@ GREEK = replace(
     phrase_marks=",··:",
     formats={
         "orig": ORIG,
-        "plain": replace(PLAIN, function=lambda w: T.greek_letters(T.plain_low(w))),
-        "plain_reduced": Format(lambda w: T.clean_plain(T.plain_low(w)), "{} ", description="plain format without ι, ν, σ, ς", title="fmt:text-orig-plain-reduced"),
+        "plain": replace(PLAIN, function=lambda w: T.alternatives(w, lambda x: T.greek_letters(T.plain_low(x)))),
+        "norm": Format(lambda w: T.alternatives(w, T.greek_word), "{} ", description="word with its letters repaired", title="fmt:text-orig-norm"),
+        "plain_reduced": Format(lambda w: T.clean_plain(T.plain_word(w)), "{} ", description="plain format without ι, ν, σ, ς", title="fmt:text-orig-plain-reduced"),
         "beta_plain": Format(lambda w: T.to_latin(T.plain_low(w)), "{} ", description="plain format in Latin letters", title="fmt:text-trans-plain-betacode"),
     },
     section_tags=("div", "milestone", "state"),

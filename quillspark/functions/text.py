@@ -155,6 +155,11 @@ def greek_letters(c: Column) -> Column:
     return F.when(c.isin("ουχ", "ουκ"), "ου").when(c == "εξ", "εκ").otherwise(c)
 
 
+def greek_word(c: Column) -> Column:
+    """A word in small letters with its marks, lunate and last sigma and the sign for nu repaired."""
+    return F.translate(F.regexp_replace(F.translate(F.lower(c), "ϲ", "σ"), r"σ\z", "ς"), "¯", "ν")
+
+
 #: The usual Latin letters for Greek ones.
 GREEK_TO_LATIN = ("αβγδεζηθικλμνξοπρσςτυφχψω", "abgdezhqiklmncoprsstufxyw")
 

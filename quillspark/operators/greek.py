@@ -6,6 +6,8 @@ inputs of unknown size, so nothing is forced to be broadcast.
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -13,12 +15,22 @@ from quillspark.functions.text import APOSTROPHE, APOSTROPHES, greek_text, one_a
 from quillspark.operators.lexicon import resolve_elision
 
 
+@dataclass(frozen=True)
+class Lexicons:
+    """``elisions`` (key, value array), ``crases`` (key, value of two words), ``movable`` (form: plain forms that lose their last letter), ``sacra`` (key, value)."""
+
+    elisions: DataFrame
+    crases: DataFrame
+    movable: DataFrame
+    sacra: DataFrame
+    require_mark: bool = False
+
+
 def resolve_words(words: DataFrame, word_col: str, elisions: DataFrame, crases: DataFrame, movable: DataFrame, sacra: DataFrame, require_mark: bool = False) -> DataFrame:
     """(word, parts): each distinct word with the words it stands for; null words are left out.
 
-    Lexicons: ``elisions`` (key, value array), ``crases`` (key, value of two
-    words), ``movable`` (form: plain forms that lose their last letter), ``sacra``
-    (key, value). Words in ASCII letters are Greek in Latin letters.
+    For the lexicons see ``Lexicons``. Words in ASCII letters are Greek in Latin
+    letters.
     """
     w = F.lower(F.col("word"))
     base = words.select(F.col(word_col).alias("word")).where("word IS NOT NULL").distinct().withColumn("base", one_apostrophe(greek_text(w)))

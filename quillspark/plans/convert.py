@@ -21,6 +21,7 @@ from quillspark.operators import lexicon as X
 from quillspark.operators import segments as S
 from quillspark.operators import slots as O
 from quillspark.operators import xml_events as E
+from quillspark.operators.greek import Lexicons, resolve_words
 from quillspark.session import checkpoint_dir
 from quillspark.sources.files import list_files, read_delimited, read_xml_texts
 from quillspark.sources.sinks import write_graph
@@ -98,11 +99,19 @@ def _kept(segments: DataFrame) -> DataFrame:
     return segments.checkpoint()
 
 
-def _slots(segments: DataFrame, profile: Profile, lemmata: DataFrame | None) -> DataFrame:
-    """Slots of counted segments, with ``sentence`` and ``phrase``."""
+def _slots(segments: DataFrame, profile: Profile, lemmata: DataFrame | None, lexicons: Lexicons | None) -> DataFrame:
+    """Slots of counted segments, with ``sentence`` and ``phrase``.
+
+    ``lexicons`` replace each word by what it stands for; forms from before
+    replacements have it as it was.
+    """
     flat = segments.where("n > 0").select(ID, "before", F.posexplode("words").alias("at", "w"))
     word, whole = F.col("w.word"), F.col("w.whole")
     pre, post = (F.btrim(f"w.{c}", F.lit("\n")).alias(c) for c in ("pre", "post"))
+    if lexicons is not None:
+        resolved = resolve_words(flat.select(word.alias("word")), "word", lexicons.elisions, lexicons.crases, lexicons.movable, lexicons.sacra, lexicons.require_mark)
+        flat = flat.join(resolved.select(F.col("word").alias("known__"), F.array_join("parts", " ").alias("full__")), word == F.col("known__"), "left")
+        word = F.coalesce("full__", word)
     slots = flat.select(ID, (F.col("before") + F.col("at") + 1).alias("slot"), pre, post, *slot_forms(profile, word, whole), word.alias("word__"))
     if lemmata is not None:
         known = slots.select(F.col("word__").alias("w"), F.lower("word__").alias("form"), (F.col("plain") if "plain" in slots.columns else F.lower("word__")).alias("plain_form")).distinct()
@@ -112,8 +121,8 @@ def _slots(segments: DataFrame, profile: Profile, lemmata: DataFrame | None) ->
     return O.number_units(slots.drop("word__"), ID, profile.sentence_marks, profile.phrase_marks)
 
 
-def _finish(id_col: str, segments: DataFrame, spans: list[DataFrame], levels: DataFrame, profile: Profile, titles: DataFrame | None, lemmata: DataFrame | None, metadata: DataFrame | None) -> Graph:
-    numbered = _slots(segments, profile, lemmata)
+def _finish(id_col: str, segments: DataFrame, spans: list[DataFrame], levels: DataFrame, profile: Profile, titles: DataFrame | None, lemmata: DataFrame | None, metadata: DataFrame | None, lexicons: Lexicons | None) -> Graph:
+    numbered = _slots(segments, profile, lemmata, lexicons)
     unit = lambda c: numbered.groupBy(ID, F.col(c).cast("long").alias("seq")).agg(F.min("slot").cast("long").alias("from_slot"), F.max("slot").cast("long").alias("to_slot")).select(ID, F.lit("_" + c).alias("otype"), "seq", F.col("seq").cast("string").alias("value"), "from_slot", "to_slot")
     total = segments.where("n > 0").groupBy(ID).agg(F.sum("n").cast("long").alias("to_slot"))
     if titles is not None:
@@ -137,6 +146,7 @@ def rows_to_graph(
     titles: DataFrame | None = None,
     lemmata: DataFrame | None = None,
     metadata: DataFrame | None = None,
+    lexicons: Lexicons | None = None,
 ) -> Graph:
     """Rows (id, order, levels…, text) → graph.
 
@@ -145,7 +155,8 @@ def rows_to_graph(
     that of its rows. With the profile's ``bracket_heads`` text in braces becomes
     head nodes over the slots up to the next head. ``titles`` (id, title) name the
     books, ``lemmata`` (form, lemma array) give a lemma, ``metadata`` (id, key,
-    value) is passed on. A document without a slot is left out, or with
+    value) is passed on, ``lexicons`` replace words slot by slot (what is to
+    become two slots goes into the profile's contractions). A document without a slot is left out, or with
     ``ignore_empty=False`` has one empty slot, and 0 as value of its sections.
     """
     own = [f"level{k}__" for k in range(len(levels))]
@@ -174,7 +185,7 @@ def rows_to_graph(
     if profile.bracket_heads:
         spans.append(_covering(counted.where("head IS NOT NULL"), counted, order, F.lit("head"), "head", F.col("head_no"), ""))
     names = rows.select(id_col).distinct().select(F.col(id_col).alias(ID), F.array(*[F.lit(x) for x in levels]).cast("array<string>").alias("levels"))
-    return _finish(id_col, counted, spans, names, profile, titles, lemmata, metadata)
+    return _finish(id_col, counted, spans, names, profile, titles, lemmata, metadata, lexicons)
 
 
 def _with_empty(counted: DataFrame, order: list[str], levels: list[str]) -> DataFrame:
@@ -199,7 +210,7 @@ def _covering(parts: DataFrame, counted: DataFrame, order: list[str], otype: Col
     return told.where("until > at").select(ID, "otype", "seq", "value", (F.col("at") + 1).cast("long").alias("from_slot"), F.col("until").cast("long").alias("to_slot"))
 
 
-def xml_to_graph(docs: DataFrame, id_col: str, xml_col: str, profile: Profile = GENERIC, ignore_empty: bool = True, titles: DataFrame | None = None, lemmata: DataFrame | None = None, sections: list[str] | None = None, roles: DataFrame | None = None) -> Graph:
+def xml_to_graph(docs: DataFrame, id_col: str, xml_col: str, profile: Profile = GENERIC, ignore_empty: bool = True, titles: DataFrame | None = None, lemmata: DataFrame | None = None, sections: list[str] | None = None, roles: DataFrame | None = None, lexicons: Lexicons | None = None) -> Graph:
     """Documents (id, xml) → graph; those without a body are left out.
 
     Attributes tell which tags are sections and what names and numbers them (see
@@ -252,7 +263,7 @@ def xml_to_graph(docs: DataFrame, id_col: str, xml_col: str, profile: Profile =
         asides = counted.where((F.col("code") == "text") & (F.col("aside__") > 0))
         spans.append(_covering(asides, counted, ["pos"], F.col("aside_tag__"), "text", F.col("before"), " "))
     levels = docs.select(F.col(id_col).alias(ID)).distinct().join(names, ID, "left").select(ID, F.coalesce("sections", F.array().cast("array<string>")).alias("levels"))
-    return _finish(id_col, counted, spans, levels, profile, titles, lemmata, meta.withColumnRenamed(ID, id_col))
+    return _finish(id_col, counted, spans, levels, profile, titles, lemmata, meta.withColumnRenamed(ID, id_col), lexicons)
 
 
 def _section_spans(counted: DataFrame) -> DataFrame:

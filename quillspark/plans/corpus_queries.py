@@ -16,7 +16,9 @@ from quillspark.operators import witness as V
 from quillspark.operators import xml_events as E
 from quillspark.operators.citations import parse_citations
 from quillspark.operators.segments import cut_heads
+from quillspark.plans.convert_queries import _XML as _NESTED, _XML_TEXT
 from quillspark.plans.convert_queries import lines as _lines
+from quillspark.plans.convert_queries import nested_xml
 from quillspark.plans.problems import _PARSED
 from quillspark.plans.text_queries import TOKENS, UNITS
 from quillspark.session import spread, table
@@ -217,11 +219,13 @@ def q_value_keys(spark: SparkSession, d: str) -> DataFrame:
 
 
 def q_element_spans(spark: SparkSession, d: str) -> DataFrame:
-    return E.element_spans(E.xml_events(_xml(spark, d), "work_id", "xml"), "work_id").select("work_id", "pos", "tag", "close_pos")
+    spans = E.element_spans(E.body_events(E.xml_events(nested_xml(spark, d), "file_name", "xml"), "file_name"), "file_name")
+    return spans.groupBy("file_name", "tag").agg(F.count("*").alias("opened"), F.count("close_pos").alias("closed"), F.sum(F.when(F.col("tag") != "div", F.col("close_pos") - F.col("pos"))).alias("inside"))
 
 
 def q_xml_sections(spark: SparkSession, d: str) -> DataFrame:
-    return E.xml_sections(E.body_events(E.xml_events(_xml(spark, d), "work_id", "xml"), "work_id"), "work_id", "div", "type", "n", ["volume", "work"])
+    body = E.body_events(E.xml_events(nested_xml(spark, d), "file_name", "xml"), "file_name")
+    return E.xml_sections(body, "file_name", "div", "subtype", "n", ["chapter", "section"]).select("file_name", "chapter", "section", "text")
 
 
 def q_header_fields(spark: SparkSession, d: str) -> DataFrame:
@@ -394,8 +398,9 @@ ORACLES = {
     "q_attr_profile": _XML + ", a AS (SELECT tag, 'n' AS attr, trim(regexp_extract(piece, ' n ?= ?\"([^\"]*)\"', 1), ' ') AS value FROM ev WHERE code IN ('openAttrTag', 'closedAttrTag') UNION ALL SELECT tag, 'type', regexp_extract(piece, ' type=\"([^\"]*)\"', 1) FROM ev WHERE code = 'openAttrTag') SELECT tag, attr, count(*) AS n, count(DISTINCT value) AS n_values FROM a GROUP BY 1, 2",
     "q_value_keys": _XML + " SELECT DISTINCT tag, 'n' AS value_key FROM ev WHERE code IN ('openAttrTag', 'closedAttrTag')",
     "q_header_fields": _XML + ", b AS (SELECT work_id, pos, text, code, lag(tag) OVER (PARTITION BY work_id ORDER BY pos) AS field, min(CASE WHEN code = 'bodyStart' THEN pos END) OVER (PARTITION BY work_id) AS a FROM ev) SELECT work_id, field, text AS value FROM b WHERE code = 'text' AND pos < a",
-    "q_element_spans": _XML + " SELECT o.work_id, o.pos, o.tag, min(c.pos) AS close_pos FROM ev o LEFT JOIN ev c ON o.work_id = c.work_id AND c.code = 'closeTag' AND c.tag = o.tag AND c.pos > o.pos WHERE o.code IN ('openTag', 'openAttrTag') GROUP BY ALL",
-    "q_xml_sections": _XML + ", b AS (SELECT *, min(CASE WHEN code = 'bodyStart' THEN pos END) OVER (PARTITION BY work_id) AS a FROM ev) SELECT work_id, pos, text, '0' AS volume, work_id AS work FROM b WHERE code = 'text' AND pos > a",
+    "q_element_spans": _NESTED + ", ch AS (SELECT *, (lag(chapter) OVER w IS DISTINCT FROM chapter)::INT AS a, (lag(chapter) OVER w IS DISTINCT FROM chapter OR lag(section) OVER w IS DISTINCT FROM section)::INT AS b FROM lines WINDOW w AS (PARTITION BY file_name ORDER BY line_at)), "
+    "t AS (SELECT file_name, 'p' AS tag, count(*) AS opened, 2 * count(*) AS inside FROM lines GROUP BY 1 UNION ALL SELECT file_name, 'note', count(*), 2 * count(*) FROM lines WHERE row_id % 7 = 0 GROUP BY 1 UNION ALL SELECT file_name, 'div', sum(a) + sum(b), NULL FROM ch GROUP BY 1) SELECT file_name, tag, opened::BIGINT AS opened, opened::BIGINT AS closed, inside::BIGINT AS inside FROM t",
+    "q_xml_sections": _NESTED + f" SELECT file_name, chapter, section, {_XML_TEXT} AS text FROM lines UNION ALL SELECT file_name, chapter, section, 'a remark' FROM lines WHERE row_id % 7 = 0",
     "q_transcription": "WITH s AS (SELECT DISTINCT orig, post FROM slots) SELECT orig, post, trim(regexp_replace(regexp_replace(coalesce(orig, '') || coalesce(post, ''), '[<>&]', '', 'g') || ' y {gap} ', ' {2,}', ' ', 'g'), ' ') AS cleaned FROM s",
     "q_bibliography": _WORKS + " SELECT work_id, 'author' AS field, " + _ONE("author") + " AS value FROM w UNION ALL SELECT work_id, 'title', " + _ONE("title") + " FROM w UNION ALL SELECT work_id, 'place', " + _ONE("place") + " || ' ' || " + _ONE("geography") + " FROM w UNION ALL SELECT work_id, 'tlg_wordcount', " + _ONE("tlg_wordcount") + " FROM w",
     "q_title_list": f"WITH w AS (SELECT work_id, max(title) AS a, max(place) AS b FROM works GROUP BY 1), o AS (SELECT work_id, coalesce(regexp_replace(trim(a, ' '), '\\s+', ' ', 'g'), '-') AS a, coalesce(regexp_replace(trim(b, ' '), '\\s+', ' ', 'g'), '-') AS b FROM w) SELECT work_id, regexp_extract(trim(a, ' '), '^([^,]*)', 1) AS title, trim(a, ' ') || ' ' || trim(b, ' ') AS title_full FROM o",

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from quillspark.config import GENERIC, GREEK, PROFILES, rendered, slot_forms
 from quillspark.functions.unicode import normalize
 from quillspark.operators import xml_events as E
+from quillspark.operators.greek import Lexicons
 from quillspark.plans.convert import convert, convert_delimited, convert_xml, rows_to_graph, xml_to_graph
 from quillspark.sources.files import by_dialect
 
@@ -68,6 +69,16 @@ def test_files(spark, tmp_path):
     assert {r["sep"] for r in by_dialect(spark, str(tmp_path / "in" / "*.tsv")).collect()} == {"\t", ";"}
 
 
+def test_greek_conversion(spark):
+    df = spark.createDataFrame([("d", 1, "ἀλλ’ κἀγώ, θϲ ἐστίν.")], "doc string, n int, text string")
+    make = lambda rows, d: spark.createDataFrame(rows, d)
+    lexicons = Lexicons(make([("ἀλλ᾽", ["ἀλλά", "ἄλλο"])], "key string, value array<string>"), make([], "key string, value string"), make([("εστιν",)], "form string"), make([("θς", "θεός")], "key string, value string"))
+    greek = replace(GREEK, contractions=(("κἀγώ", "καὶ ἐγώ"),))
+    g = rows_to_graph(df, "doc", "n", [], "text", greek, lexicons=lexicons)
+    got = [(r["orig"], r["norm"], r["plain"]) for r in g.slots.orderBy("slot").collect()]
+    assert got == [("ἀλλ", "ἀλλά,ἄλλο", "αλλα,αλλο"), ("κἀγώ", "καὶ", "και"), ("", "ἐγώ", "εγω"), ("θϲ", "θεός", "θεος"), ("ἐστίν", "ἐστί", "εστι")]
+
+
 def test_own_tokenizer(spark):
     blanks = lambda text, cased: F.transform(F.filter(F.split(text, " "), lambda w: w != ""), lambda w: F.struct(F.lit("").alias("pre"), w.alias("core"), F.lit(" ").alias("post")))
     df = spark.createDataFrame([("d", 1, "al-Kitab 12a x")], "doc string, n int, text string")
