@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from quillspark.config import GENERIC
 from quillspark.operators import xml_events as E
 from quillspark.operators.records import parse_records
+from quillspark.operators.xml_recovery import recover_xml
 from quillspark.plans.convert import Graph, rows_to_graph, xml_to_graph
 from quillspark.plans.problems import _PARSED
 from quillspark.plans.text_queries import _C, _L, _Z, sql_plain, sql_runs
@@ -113,6 +114,30 @@ def q_xml_convert_header(spark: SparkSession, d: str) -> DataFrame:
     return _from_xml(spark, d).metadata
 
 
+def q_recovered_xml(spark: SparkSession, d: str) -> DataFrame:
+    """The same documents with closing tags lost, strayed and crossed, after recovery: what is opened and closed, and their texts."""
+    docs = nested_xml(spark, d)
+    broken = F.regexp_replace(F.regexp_replace(F.regexp_replace("xml", "</p><note>", "<note>"), "</div>\n", "</x></y>"), "</body></TEI>", "")
+    whole = recover_xml(docs.select("file_name", broken.alias("xml")), "file_name", "xml")
+    events = E.xml_events(whole, "file_name", "xml")
+    kinds = lambda *codes: F.count_if(F.col("code").isin(*codes) & F.col("tag").isin("p", "div", "note", "body", "TEI"))
+    texts = F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("code") == "text", F.struct("pos", "text")))), lambda x: x["text"]), "|")
+    return events.groupBy("file_name").agg(kinds("openTag", "openAttrTag", "bodyStart").alias("opened"), kinds("closeTag", "bodyStop").alias("closed"), F.md5(texts).alias("texts"))
+
+
+def q_corrections(spark: SparkSession, d: str) -> DataFrame:
+    events = E.xml_events(nested_xml(spark, d), "file_name", "xml", {"chapter": "capitulum", "1": "I"})
+    return events.where("tag = 'div' AND attrs IS NOT NULL").groupBy("file_name", F.col("attrs")["subtype"].alias("kind"), F.col("attrs")["n"].alias("n")).agg(F.count("*").alias("divisions"))
+
+
+def q_xml_fillers(spark: SparkSession, d: str) -> DataFrame:
+    """A work's author as the text of a second part; the first part is empty, the last volume has none."""
+    w = table(spark, d, "works").groupBy("work_id").agg(F.max("author").alias("a")).where(F.col("a").rlike(_C))
+    xml = F.concat(F.lit('<TEI><body><div subtype="volume" n="2"><div subtype="part" n="'), F.col("work_id"), F.lit('" corresp="c"></div><div subtype="part" n="7"><p>'), _escaped("a"), F.lit('</p></div></div><div subtype="volume" n="3"><p>Last</p></div></body></TEI>'))
+    graph = xml_to_graph(w.select("work_id", xml.alias("xml")), "work_id", "xml", replace(XML_PROFILE, ignored_attributes=("corresp",)))
+    return graph.units.where(~F.col("otype").startswith("_")).select("work_id", "otype", "value", "from_slot", "to_slot")
+
+
 def _bodies(text: str, where: str = "") -> str:
     """CTEs from lines to sl, the slots of files with their row's values."""
     own = "row_id, file_name, line_at, chapter, section, line"
@@ -169,6 +194,11 @@ ORACLES = {
     "UNION ALL SELECT file_name, unnest(['pre', 'post', 'orig', 'main', 'plain']), 'valueType', 'str' FROM (SELECT DISTINCT file_name FROM sl) UNION ALL SELECT file_name, '_book', 'description', value FROM u WHERE otype = '_book' "
     "UNION ALL SELECT DISTINCT file_name, 'section', 'description', 'structure feature of the 2nd level' FROM sl",
     "q_convert_otext": _ROWS + " SELECT DISTINCT file_name, t.key, t.value FROM sl, (VALUES ('fmt:text-orig-orig', '{pre}{orig}{post}'), ('fmt:text-orig-main', '{main} '), ('fmt:text-orig-plain', '{plain} '), ('sectionTypes', 'chapter,section,line'), ('sectionFeatures', 'chapter,section,line'), ('structureTypes', '_book,chapter,section,line,_sentence,_phrase'), ('structureFeatures', '_book,chapter,section,line,_sentence,_phrase')) t(key, value)",
+    "q_recovered_xml": _XML + f", ch AS (SELECT *, (lag(chapter) OVER w IS DISTINCT FROM chapter)::INT AS a, (lag(chapter) OVER w IS DISTINCT FROM chapter OR lag(section) OVER w IS DISTINCT FROM section)::INT AS b FROM lines WINDOW w AS (PARTITION BY file_name ORDER BY line_at)), "
+    f"n AS (SELECT file_name, (count(*) + 2 + sum(a) + sum(b) + 2 + count(*) FILTER (row_id % 7 = 0))::BIGINT AS opened, md5(file_name || '.|ANN OF THE ROUEN|one|two|' || string_agg({_XML_TEXT} || CASE WHEN row_id % 7 = 0 THEN '|a remark' ELSE '' END, '|' ORDER BY line_at)) AS texts FROM ch GROUP BY 1) SELECT file_name, opened, opened AS closed, texts FROM n",
+    "q_corrections": _XML + ", ch AS (SELECT *, lag(chapter) OVER w IS DISTINCT FROM chapter AS a, lag(chapter) OVER w IS DISTINCT FROM chapter OR lag(section) OVER w IS DISTINCT FROM section AS b FROM lines WINDOW w AS (PARTITION BY file_name ORDER BY line_at)), k AS (SELECT file_name, 'capitulum' AS kind, chapter AS n FROM ch WHERE a UNION ALL SELECT file_name, 'section', section FROM ch WHERE b) SELECT file_name, kind, CASE n WHEN '1' THEN 'I' ELSE n END AS n, count(*) AS divisions FROM k GROUP BY 1, 2, 3",
+    "q_xml_fillers": f"WITH aw AS (SELECT work_id, translate(max(author), '<>&', '()+') AS a FROM works GROUP BY 1), " + sql_runs(f"{_C}[{_L}]*", "aw", "work_id", "a") + ", c AS (SELECT work_id, count(word) AS n FROM cut GROUP BY 1 HAVING count(word) > 0) "
+    "SELECT work_id, t.otype, coalesce(t.value, work_id) AS value, t.a + CASE WHEN t.x = 1 THEN n ELSE 0 END AS from_slot, t.z + CASE WHEN t.y = 1 THEN n ELSE 0 END AS to_slot FROM c, (VALUES ('volume', '2', 1, 0, 1, 1), ('part', NULL, 1, 0, 1, 0), ('corresp', 'c', 1, 0, 1, 0), ('part', '7', 2, 0, 1, 1), ('p', '1', 2, 0, 1, 1), ('volume', '3', 2, 1, 2, 1), ('part', '0', 2, 1, 2, 1), ('p', '2', 2, 1, 2, 1)) t(otype, value, a, x, z, y)",
     "q_xml_roles": _XML + ", fl AS (SELECT DISTINCT file_name FROM lines) SELECT file_name, 'div' AS tag, 'subtype,n' AS keys, 'n' AS value_key, 'subtype' AS name_keys, true AS is_section FROM fl UNION ALL SELECT DISTINCT file_name, 'pb', 'n', 'n', '', false FROM lines WHERE row_id % 10 = 0",
     "q_attribute_values": _XML + " SELECT file_name, 'div' AS tag, 'subtype,n' AS keys, 'subtype' AS attr, 2 AS n_values FROM lines GROUP BY 1 UNION ALL SELECT file_name, 'div', 'subtype,n', 'n', count(DISTINCT v) FROM (SELECT file_name, unnest([chapter, section]) AS v FROM lines) GROUP BY 1 UNION ALL SELECT file_name, 'pb', 'n', 'n', count(*) FROM lines WHERE row_id % 10 = 0 GROUP BY 1",
     "q_xml_convert_slots": _XML + " SELECT file_name, slot, pre, post, orig, main, plain FROM sl",

@@ -249,6 +249,11 @@ def q_bibliography(spark: SparkSession, d: str) -> DataFrame:
     return B.parse_bibliography(w.select("work_id", F.posexplode(lines).alias("line_no", "line")).withColumnRenamed("work_id", "file"), "file", "line_no", "line")
 
 
+def q_records(spark: SparkSession, d: str) -> DataFrame:
+    records = B.as_records(q_bibliography(spark, d))
+    return records.select("work_id", F.col("fields")["author"].alias("author"), F.size("fields").alias("n_fields"))
+
+
 def q_titles(spark: SparkSession, d: str) -> DataFrame:
     titles = table(spark, d, "works").groupBy("work_id").agg(F.max(F.struct("loaded_at", "title"))["title"].alias("title"))
     return B.with_titles(table(spark, d, "documents").select("doc_id", "work_id"), "work_id", titles).select("doc_id", "title")
@@ -406,6 +411,7 @@ ORACLES = {
     "q_title_list": f"WITH w AS (SELECT work_id, max(title) AS a, max(place) AS b FROM works GROUP BY 1), o AS (SELECT work_id, coalesce(regexp_replace(trim(a, ' '), '\\s+', ' ', 'g'), '-') AS a, coalesce(regexp_replace(trim(b, ' '), '\\s+', ' ', 'g'), '-') AS b FROM w) SELECT work_id, regexp_extract(trim(a, ' '), '^([^,]*)', 1) AS title, trim(a, ' ') || ' ' || trim(b, ' ') AS title_full FROM o",
     "q_tidy_fields": "WITH w AS (SELECT work_id, max(author) AS a, max(place) AS p, max(citation_scheme) AS s FROM works GROUP BY 1), cap AS (SELECT *, array_to_string(list_transform(string_split(lower(a), ' '), lambda x: upper(left(x, 1)) || substr(x, 2)), ' ') AS ca, array_to_string(list_transform(string_split(lower(p), ' '), lambda x: upper(left(x, 1)) || substr(x, 2)), ' ') AS cp FROM w) SELECT work_id, 'author' AS field, ca AS value FROM cap UNION ALL SELECT work_id, 'place', cp FROM cap UNION ALL SELECT work_id, 'citation_scheme', lower(upper(s)) FROM cap UNION ALL SELECT work_id, 'pages', upper(p) FROM cap",
     "q_authors": "WITH w AS (SELECT DISTINCT author FROM works WHERE author IS NOT NULL) SELECT author, array_to_string(list_transform(string_split(upper(author) || ' OF THE WEST', ' '), lambda x: CASE WHEN lower(x) IN ('of', 'the') THEN lower(x) ELSE upper(left(x, 1)) || lower(substr(x, 2)) END), ' ') AS cased FROM w",
+    "q_records": _WORKS + " SELECT work_id, " + _ONE("author") + " AS author, 4 AS n_fields FROM w",
     "q_titles": "WITH t AS (SELECT work_id, arg_max(title, loaded_at) AS title FROM works GROUP BY 1) SELECT doc_id, coalesce(title, 'not provided') AS title FROM documents LEFT JOIN t USING (work_id)",
     "q_word_counts": "WITH w AS (SELECT DISTINCT work_id, lang, replace(tlg_wordcount, ',', '') AS c FROM works), n AS (SELECT lang, CASE WHEN regexp_full_match(c, '[0-9]{1,18}') THEN c::BIGINT END AS n FROM w) SELECT lang, count(n) AS works, sum(n)::BIGINT AS words, max(n) AS largest FROM n GROUP BY lang",
     "q_missing_meta": _WORKS + ", m AS (" + " UNION ALL ".join(f"SELECT work_id, '{c}' AS field, {c} AS v FROM w" for c in ("author", "title", "citation_scheme", "place", "geography", "publication_year")) + ") SELECT work_id, field FROM m WHERE v IS NULL OR trim(v, ' ') = ''",
