@@ -2,25 +2,52 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quillspark.session import checkpoint_dir
+
 
-def number_sections(rows: DataFrame, id_col: str, order_col: str, levels: list[str], text_col: str | None = None) -> DataFrame:
+def number_sections(rows: DataFrame, id_col: str, order_col: str, levels: list[str], text_col: str | None = None, block: Column | None = None) -> DataFrame:
     """``rows`` with ``<level>_node`` for each level: it restarts when its value or that of a level above differs from the row before.
 
-    Rows whose text is null or empty break nothing and have null numbers.
+    Rows whose text is null or empty break nothing and have null numbers. A
+    document's rows are one window, unless ``block`` (which must not fall along
+    the order, as a line number by thousands) cuts it: then windows span one
+    block of one document, and what goes on from block to block, its last values
+    and its counts, is carried over a table of one row for each block.
     """
     full = rows.where(F.col(text_col) != "") if text_col else rows
-    by_doc = Window.partitionBy(id_col).orderBy(order_col)
-    run = by_doc.rowsBetween(Window.unboundedPreceding, 0)
-    out = full
-    for k, level in enumerate(levels):
-        prefix = F.struct(*[F.col(c) for c in levels[: k + 1]])
-        first = F.row_number().over(by_doc) == 1
-        out = out.withColumn(f"__{level}", (first | ~prefix.eqNullSafe(F.lag(prefix).over(by_doc))).cast("int"))
-    for level in levels:
-        out = out.withColumn(f"{level}_node", F.sum(f"__{level}").over(run)).drop(f"__{level}")
+    keys = [id_col] if block is None else [id_col, "block__"]
+    if block is not None:
+        full = full.withColumn("block__", block)
+    own = Window.partitionBy(*keys).orderBy(order_col)
+    run = own.rowsBetween(Window.unboundedPreceding, 0)
+    values = F.struct(*[F.col(c) for c in levels])
+
+    def changes(now: Column, before: Column) -> list[Column]:
+        """Of each level, 1 where it or one above differs; all of them where there is nothing before."""
+        same = [now[c].eqNullSafe(before[c]) for c in levels]
+        return [(before.isNull() | ~functools.reduce(Column.__and__, same[: k + 1])).cast("int") for k in range(len(levels))]
+
+    out = full.withColumn("now__", values).withColumn("before__", F.lag("now__").over(own)).withColumn("nth__", F.row_number().over(own))
+    inner = F.lit(True) if block is None else F.col("nth__") > 1
+    out = out.select("*", *[F.when(inner, c).otherwise(0).alias(f"__{level}") for level, c in zip(levels, changes(F.col("now__"), F.col("before__")), strict=True)])
+    out = out.select("*", *[F.sum(f"__{level}").over(run).alias(f"{level}_node") for level in levels])
+    if block is not None:
+        checkpoint_dir(rows.sparkSession)
+        out = out.checkpoint()  # read for the blocks' ends and for the rows
+        ends = out.groupBy(*keys).agg(F.min_by("now__", order_col).alias("first__"), F.max_by("now__", order_col).alias("last__"), *[F.sum(f"__{level}").alias(f"n_{level}") for level in levels])
+        by_block = Window.partitionBy(id_col).orderBy("block__")
+        ends = ends.withColumn("carried__", F.lag("last__").over(by_block))
+        ends = ends.select("*", *[c.alias(f"f_{level}") for level, c in zip(levels, changes(F.col("first__"), F.col("carried__")), strict=True)])
+        so_far = by_block.rowsBetween(Window.unboundedPreceding, -1)
+        ends = ends.select(*keys, *[(F.coalesce(F.sum(F.col(f"n_{level}") + F.col(f"f_{level}")).over(so_far), F.lit(0)) + F.col(f"f_{level}")).alias(f"o_{level}") for level in levels])
+        out = out.join(ends.withColumnsRenamed({k: f"{k}_e" for k in keys}), functools.reduce(Column.__and__, [F.col(k).eqNullSafe(F.col(f"{k}_e")) for k in keys]))
+        out = out.withColumns({f"{level}_node": F.col(f"{level}_node") + F.col(f"o_{level}") for level in levels})
+    out = out.select(*rows.columns, *[f"{level}_node" for level in levels])
     if not text_col:
         return out
     rest = rows.where(F.coalesce(F.col(text_col) == "", F.lit(True)))

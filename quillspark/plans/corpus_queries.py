@@ -32,7 +32,8 @@ LEVELS = ["chapter", "section", "line"]
 
 
 def q_sections(spark: SparkSession, d: str) -> DataFrame:
-    rows = S.number_sections(_lines(spark, d), "file_name", "line_at", LEVELS, "text")
+    thousands = F.floor(F.col("line_at") / 1_000_000_000_000)  # of lines, so that no long file is one task's work
+    rows = S.number_sections(_lines(spark, d), "file_name", "line_at", LEVELS, "text", thousands)
     return rows.select("row_id", *[f"{x}_node" for x in LEVELS])
 
 

@@ -1,5 +1,7 @@
 """Sections, graph, XML, bibliography, witnesses: worked cases."""
 
+import random
+
 from pyspark.sql import functions as F
 
 from quillspark.operators import bibliography as B
@@ -30,6 +32,16 @@ def test_sections_and_units(spark):
     assert rows(nodes.select("node", "otype", "seq", "from_slot", "to_slot"), "node")[:3] == [(6, "_book", 1, 1, 5), (7, "_phrase", 1, 1, 2), (8, "_phrase", 2, 3, 3)]
 
 
+def test_sections_in_blocks(spark):
+    """Documents cut in blocks, one with two thirds of all rows: the same numbers as over whole documents."""
+    rnd = random.Random(4)
+    data = [(0 if k % 3 else k % 7, k, rnd.choice(["1", "2", None]), rnd.choice(["a", "b"]), rnd.choice(["x", "", None, "y"])) for k in range(600)]
+    df = spark.createDataFrame(data, "doc int, n int, chapter string, section string, text string")
+    whole = S.number_sections(df, "doc", "n", ["chapter", "section"], "text")
+    cut = S.number_sections(df, "doc", "n", ["chapter", "section"], "text", F.floor(F.col("n") / 37))
+    assert cut.columns == whole.columns and rows(cut, "n") == rows(whole, "n")
+
+
 def test_carry_heads_backfill_verses(spark):
     lines = spark.createDataFrame([(1, 1, "ab-"), (1, 2, "cd-"), (1, 3, "ef"), (1, 4, "gh-")], "doc int, n int, t string")
     assert rows(S.carry_lines(lines, "doc", "n", "t").select("n", "text"), "n") == [(1, "abcdef"), (4, "gh-")]
