@@ -179,12 +179,12 @@ def sql_runs(letter: str, source: str = "documents", keys: str = "doc_id, lang",
         f"r1{names} AS (SELECT {keys}, len(l) AS n, unnest(l) AS run, unnest(range(1, len(l) + 1)) AS k FROM r0{names}), "
         f"r2{names} AS (SELECT *, regexp_matches(run, '^(?:{letter})') AS is_word, k > 1 AND k < n AND NOT ({_JOINS}) AS cuts FROM r1{names}), "
         f"r3{names} AS (SELECT *, 1 + coalesce(sum((cuts AND NOT is_word)::INT) OVER (PARTITION BY {ids} ORDER BY k), 0) AS no FROM r2{names}), "
-        f"words{names} AS (SELECT {keys}, no, string_agg(run, '' ORDER BY k) FILTER (is_word) AS word, "
+        f"words{names} AS (SELECT {keys}, no, string_agg(run, '' ORDER BY k) FILTER (is_word) AS word, string_agg(run, '' ORDER BY k) FILTER (is_word OR (k > 1 AND k < n AND NOT cuts)) AS core, "
         f"coalesce(max(CASE WHEN NOT is_word AND k = 1 THEN run END), '') AS first, coalesce(max(CASE WHEN NOT is_word AND k = n AND k > 1 THEN run END), '') AS last, "
         f"coalesce(max(CASE WHEN NOT is_word AND cuts THEN substr(run, length({_BEHIND}) + 1) END), '') AS cut_pre, "
         f"coalesce(max(CASE WHEN NOT is_word AND cuts THEN CASE WHEN regexp_matches(run, '{_Z}') THEN {_BEHIND} ELSE run END END), '') AS cut_post, "
         f"coalesce(bool_and(regexp_matches(run, '{_Z}')) FILTER (NOT is_word AND cuts), true) AS parted FROM r3{names} GROUP BY {keys}, no), "
-        f"cut{names} AS (SELECT {keys}, no, word, first, last, CASE WHEN parted THEN cut_pre ELSE '' END AS cut_pre, lead(cut_post, 1, '') OVER (PARTITION BY {ids} ORDER BY no) AS cut_post FROM words{names})"
+        f"cut{names} AS (SELECT {keys}, no, word, core, first, last, CASE WHEN parted THEN cut_pre ELSE '' END AS cut_pre, lead(cut_post, 1, '') OVER (PARTITION BY {ids} ORDER BY no) AS cut_post FROM words{names})"
     )
 
 
@@ -196,10 +196,10 @@ def _not(letter: str) -> str:
 _WORDS = "WITH " + sql_runs(f"[{_L}]+")
 TOKENS = _WORDS + (
     f", lead AS (SELECT doc_id, lang, regexp_extract_all(first, '(?s).[^{_Z}]*{_Z}') AS l, first FROM cut WHERE no = 1), "
-    f"parts AS (SELECT doc_id, lang, 0 AS g, unnest(l) AS pre, unnest(range(1, len(l) + 1)) AS nth, '' AS word, '' AS post FROM lead "
-    f"UNION ALL SELECT doc_id, lang, 2, substr(first, length(array_to_string(l, '')) + 1), 0, '', '' FROM lead SEMI JOIN (SELECT doc_id FROM cut GROUP BY 1 HAVING count(word) = 0) USING (doc_id) WHERE length(array_to_string(l, '')) < length(first) "
-    f"UNION ALL SELECT doc_id, lang, 1, CASE WHEN no = 1 THEN regexp_replace(first, '(?s)^(.[^{_Z}]*{_Z})+', '') ELSE cut_pre END, no, word, CASE WHEN last = '' THEN cut_post WHEN regexp_matches(last, '{_Z}') THEN regexp_extract(last, '(?s)^(.*{_Z})', 1) ELSE last END FROM cut WHERE word IS NOT NULL "
-    f"UNION ALL SELECT doc_id, lang, 2, regexp_replace(last, '(?s)^.*{_Z}', ''), no, '', '' FROM cut WHERE regexp_matches(last, '(?s){_Z}[^{_Z}]+\\z')), "
+    f"parts AS (SELECT doc_id, lang, 0 AS g, unnest(l) AS pre, unnest(range(1, len(l) + 1)) AS nth, '' AS word, '' AS post, '' AS core FROM lead "
+    f"UNION ALL SELECT doc_id, lang, 2, substr(first, length(array_to_string(l, '')) + 1), 0, '', '', '' FROM lead SEMI JOIN (SELECT doc_id FROM cut GROUP BY 1 HAVING count(word) = 0) USING (doc_id) WHERE length(array_to_string(l, '')) < length(first) "
+    f"UNION ALL SELECT doc_id, lang, 1, CASE WHEN no = 1 THEN regexp_replace(first, '(?s)^(.[^{_Z}]*{_Z})+', '') ELSE cut_pre END, no, word, CASE WHEN last = '' THEN cut_post WHEN regexp_matches(last, '{_Z}') THEN regexp_extract(last, '(?s)^(.*{_Z})', 1) ELSE last END, core FROM cut WHERE word IS NOT NULL "
+    f"UNION ALL SELECT doc_id, lang, 2, regexp_replace(last, '(?s)^.*{_Z}', ''), no, '', '', '' FROM cut WHERE regexp_matches(last, '(?s){_Z}[^{_Z}]+\\z')), "
     "tokens AS (SELECT doc_id, lang, row_number() OVER (PARTITION BY doc_id ORDER BY g, nth) AS token_no, trim(pre, chr(10)) AS pre, word, trim(post, chr(10)) AS post FROM parts)"
 )
 SLOTS = "WITH " + sql_runs(f"{_C}[{_L}]*") + (
@@ -241,6 +241,10 @@ ORACLES = {
     f"pl AS (SELECT DISTINCT plain FROM slots WHERE plain <> ''), mv AS (SELECT plain FROM pl WHERE plain LIKE '%ν' AND left(plain, -1) IN (SELECT plain FROM pl)), m AS (SELECT orig, part, plain, replace(regexp_replace(replace(CASE WHEN plain IN (SELECT plain FROM mv) THEN left(w, -1) ELSE w END, 'ϲ', 'σ'), 'σ\\z', 'ς'), '¯', 'ν') AS w FROM q), sa(key, value) AS (VALUES {_VALUES(ABBREVIATED)}) "
     "SELECT orig AS word, string_agg(CASE WHEN plain IN ('ουχ', 'ουκ') THEN left(w, -1) WHEN plain = 'εξ' THEN left(w, -1) || 'κ' ELSE coalesce(value, w) END, ' ' ORDER BY part) AS parts FROM m LEFT JOIN sa ON w = key GROUP BY orig",
     "q_normal_forms": "SELECT form_id, nfc_normalize(orig) AS composed FROM wordforms",
+    "q_case_lines": TOKENS + f", j AS (SELECT doc_id, string_agg(trim(pre || core || post, ' '), ' ' ORDER BY g, nth) AS t FROM parts GROUP BY 1), "
+    f"b AS (SELECT doc_id, lower(regexp_replace(replace(array_to_string(list_transform(regexp_extract_all(t, '{_C}+|[^{_C[1:]}+'), lambda x: CASE WHEN regexp_matches(x, '^{_C}') THEN strip_accents(x) ELSE x END), ''), 'Σ', 'σ'), '\\p{{M}}', '', 'g')) AS m FROM j) "
+    # letters that become several as capitals
+    "SELECT d.doc_id, CASE WHEN text IS NOT NULL THEN md5(coalesce(m, '')) END AS minuscule, CASE WHEN text IS NOT NULL THEN coalesce(length(m) + length(regexp_replace(m, '[^ßև\uFB00\uFB01\uFB02\uFB05\uFB06ŉ\uFB03\uFB04]', '', 'g')) + length(regexp_replace(m, '[^\uFB03\uFB04]', '', 'g')), 0) END AS n_majuscule FROM documents d LEFT JOIN b USING (doc_id)",
     "q_movable": "WITH w AS (SELECT DISTINCT plain FROM slots WHERE plain <> '') SELECT plain FROM w WHERE (plain LIKE '%ν' OR plain LIKE '%s') AND left(plain, -1) IN (SELECT plain FROM w)",
     "q_nomina": f"WITH lex(key, value) AS (VALUES {_VALUES(ABBREVIATED)}) SELECT DISTINCT plain, coalesce(value, plain) AS full FROM slots LEFT JOIN lex ON plain = key WHERE plain <> ''",
     "q_lemma_cascade": "WITH lex AS (SELECT lang, form, array_to_string(list_sort(list_distinct(flatten(list(lemma)))), ',') AS found FROM lemmata GROUP BY 1, 2) SELECT form_id, coalesce(a.found, c.found, b.found, '*' || plain) AS lemma FROM wordforms w LEFT JOIN lex a ON w.lang = a.lang AND lower(w.orig) = a.form LEFT JOIN lex b ON w.lang = b.lang AND w.plain = b.form LEFT JOIN lex c ON w.lang = c.lang AND c.form = lower(regexp_replace(replace(strip_accents(w.orig), 'Σ', 'σ'), '[^\\p{L}]', '', 'g'))",
@@ -251,4 +255,3 @@ ORACLES = {
     "q_joined_lines": "WITH j AS (SELECT doc_id, regexp_replace(regexp_replace(text, '-[ \\t]*\\r?\\n\\s*', '-', 'g'), '\\r?\\n', ' ', 'g') AS t FROM documents) SELECT doc_id, md5(t) AS joined, length(t) AS n FROM j",
     "q_letters": "WITH g AS (SELECT form_id, plain, regexp_replace(translate(lower(plain), 'ϲ', 'σ'), 'σ\\z', 'ς') AS r FROM wordforms), h AS (SELECT *, regexp_replace(r, '(\\x{304}|\\x{af})\\z', 'ν') AS q, translate(plain, 'αβγδεζηθικλμνξοπρσςτυφχψω', 'abgdezhqiklmncoprsstufxyw') AS latin FROM g) SELECT form_id, CASE WHEN q IN ('ουχ', 'ουκ') THEN 'ου' WHEN q = 'εξ' THEN 'εκ' ELSE q END AS repaired, latin, regexp_replace(regexp_replace(translate(lower(latin), 'abgdezhqiklmncoprstufxyw', 'αβγδεζηθικλμνξοπρστυφχψω'), 'σ([^\\p{L}])', 'ς\\1', 'g'), 'σ\\z', 'ς') AS greek FROM h",
 }
-# q_case_lines: accents go from cased letters only, which SQL can't say shortly; it is tested against brute force.
