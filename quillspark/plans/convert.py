@@ -94,7 +94,7 @@ class Graph:
 
 
 def _kept(segments: DataFrame) -> DataFrame:
-    """Counted segments in a checkpoint: texts are cut once, while slots and every kind of node read them."""
+    """Events or counted segments in a checkpoint: texts are cut once, while slots and every kind of node read them."""
     checkpoint_dir(segments.sparkSession)
     return segments.checkpoint()
 
@@ -227,7 +227,7 @@ def xml_to_graph(docs: DataFrame, id_col: str, xml_col: str, profile: Profile =
     meta = E.header_fields(events, ID, profile.header_blocks).select(ID, F.col("field").alias("key"), "value")
     if titles is None:
         titles = meta.where("key = 'title'").select(F.col(ID).alias(id_col), F.col("value").alias("title"))
-    body = E.body_events(events, ID)
+    body = _kept(E.body_events(events, ID))
     if roles is None:
         roles = E.attribute_roles(body, ID, profile.section_tags, profile.section_keys, profile.ignored_attributes, profile.non_section_keys, profile.non_section_values)
     named = E.named_events(body, ID, roles, profile.ignored_attributes)
@@ -249,7 +249,9 @@ def xml_to_graph(docs: DataFrame, id_col: str, xml_col: str, profile: Profile =
     counted = S.counted(carried, ID, ["pos"], "body", profile.contractions, profile.cased, profile.tokenizer)
     # a section that ends, or is followed by one of its level or above, before any word
     edge = F.when(F.col("level").isNotNull() | F.col("closes__").isNotNull(), F.struct(F.col("level"), F.col("before").alias("at")))
-    following = F.first(edge, ignorenulls=True).over(by_doc.rowsBetween(1, Window.unboundedFollowing))
+    # the next one in order is the last one before in reverse order, which a window finds in one pass
+    back = Window.partitionBy(ID).orderBy(F.desc("pos")).rowsBetween(Window.unboundedPreceding, -1)
+    following = F.last(edge, ignorenulls=True).over(back)
     total = F.sum("n").over(Window.partitionBy(ID))
     empty = F.col("level").isNotNull() & (F.coalesce(following["at"], total) == F.col("before")) & ~F.coalesce(following["level"] > F.col("level"), F.lit(False))
     filler = F.array(F.struct(F.lit("").alias("pre"), F.lit("").alias("word"), F.lit("").alias("post"), F.lit("").alias("whole"), F.lit(0).alias("part")))
@@ -276,7 +278,7 @@ def _section_spans(counted: DataFrame) -> DataFrame:
     state = F.last(mark, ignorenulls=True).over(run.rowsBetween(*_SO_FAR))
     # only the last node of value 0 before an opening is numbered by it
     sign = F.when(own, F.struct(F.col("value").alias("v"))).when(F.col("n") > 0, F.struct(F.lit(None).cast("string").alias("v")))
-    later = F.first(sign, ignorenulls=True).over(run.rowsBetween(1, Window.unboundedFollowing))["v"]
+    later = F.last(sign, ignorenulls=True).over(Window.partitionBy(ID, "k").orderBy(F.desc("pos")).rowsBetween(Window.unboundedPreceding, -1))["v"]
     told = long.select(ID, "otype", "n", "before", F.coalesce(state["at"], F.lit(-1)).alias("seq"), F.coalesce(state["open"], F.lit(False)).alias("open"), state["v"].alias("v"), later.alias("later")).where("n > 0")
     guessed = F.when(F.max("later").rlike(r"^[0-9]{1,18}\z"), (F.max("later").cast("long") - 1).cast("string")).otherwise("0")
     value = F.when(F.bool_and("open"), F.coalesce(F.max("v"), F.lit(""))).otherwise(guessed)
@@ -287,8 +289,8 @@ def _section_spans(counted: DataFrame) -> DataFrame:
 def _element_spans(counted: DataFrame, profile: Profile) -> DataFrame:
     """Nodes of tags that are neither sections nor aside, and of their feature attributes."""
     opens, alone = F.col("code").isin("openTag", "openAttrTag"), F.col("code").isin("openCloseTag", "closedAttrTag")
-    element = Window.partitionBy(ID, "depth").orderBy("pos")
-    after = F.first(F.when(F.col("code") == "closeTag", F.col("before")), ignorenulls=True).over(element.rowsBetween(1, Window.unboundedFollowing))
+    back = Window.partitionBy(ID, "depth").orderBy(F.desc("pos")).rowsBetween(Window.unboundedPreceding, -1)
+    after = F.last(F.when(F.col("code") == "closeTag", F.col("before")), ignorenulls=True).over(back)
     tagged = counted.withColumn("until__", F.when(opens, F.coalesce(after, F.col("total")))).where(opens | alone)
     tagged = tagged.withColumn("until__", F.when(alone, F.coalesce(F.lead("before").over(Window.partitionBy(ID, "name", alone).orderBy("pos")), F.col("total"))).otherwise(F.col("until__")))
     tagged = tagged.withColumn("number__", F.row_number().over(Window.partitionBy(ID, "tag", F.col("attrs").isNull()).orderBy("pos")))
