@@ -83,18 +83,20 @@ def counted(segments: DataFrame, id_col: str, order: list[str], body_col: str, c
     the start of a document before its first word.
     """
     body = F.coalesce(F.col(body_col), F.lit(""))
-    apart = orphans(body, cased)
-    out = segments.withColumn("apart__", apart).withColumn("words", resolved(tokenizer(F.substring(body, F.length("apart__") + 1, F.length(body)), cased), contractions, cased))
     by_doc = Window.partitionBy(id_col).orderBy(*order)
-    out = out.withColumn("n", F.size("words")).withColumn("island__", F.coalesce(F.sum((F.col("n") > 0).cast("int")).over(by_doc.rowsBetween(*_ALL_BEFORE)), F.lit(0)))
+    # bodies with a word before each; what stands apart is joined once for each such number, and put behind that word's body
+    has = body.rlike(r"[\p{Lu}\p{Ll}\p{Lt}]" if cased else r"\p{L}")
+    out = segments.withColumn("apart__", orphans(body, cased)).withColumn("island__", F.coalesce(F.sum(has.cast("int")).over(by_doc.rowsBetween(*_ALL_BEFORE)), F.lit(0)))
+    part = F.array_sort(F.collect_list(F.struct(*order, F.col("apart__").alias("t__"))))
+    loose = out.where("apart__ <> ''").groupBy(F.col(id_col).alias("id__"), F.col("island__").alias("no__")).agg(F.array_join(F.transform(part, lambda x: x["t__"]), "").alias("loose__"))
+    out = out.withColumn("words", resolved(tokenizer(F.substring(body, F.length("apart__") + 1, F.length(body)), cased), contractions, cased)).withColumn("n", F.size("words"))
     out = out.withColumn("before", F.coalesce(F.sum("n").over(by_doc.rowsBetween(*_ALL_BEFORE)), F.lit(0)))
-    whole = Window.partitionBy(id_col, "island__").orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    out = out.withColumn("loose__", F.array_join(F.collect_list(F.when(F.col("apart__") != "", F.col("apart__"))).over(whole), ""))
-    out = out.withColumn("behind__", F.coalesce(F.lead("loose__").over(by_doc), F.lit("")))
-    first = F.when(F.col("island__") == 0, F.col("loose__")).otherwise("")
+    behind, first = loose.withColumnRenamed("loose__", "behind__"), loose.where("no__ = 0").select(F.col("id__").alias("id2__"), F.col("loose__").alias("first__"))
+    out = out.join(behind, F.col(id_col).eqNullSafe(F.col("id__")) & (F.col("n") > 0) & (F.col("island__") + 1 == F.col("no__")), "left")
+    out = out.join(first, F.col(id_col).eqNullSafe(F.col("id2__")) & (F.col("n") > 0) & (F.col("island__") == 0), "left")
     moved = F.transform(
         "words",
-        lambda w, k: w.withField("pre", F.when(k == 0, F.concat(first, w["pre"])).otherwise(w["pre"])).withField("post", F.when(k == F.col("n") - 1, F.concat(w["post"], F.col("behind__"))).otherwise(w["post"])),
+        lambda w, k: w.withField("pre", F.when(k == 0, F.concat(F.coalesce("first__", F.lit("")), w["pre"])).otherwise(w["pre"])).withField("post", F.when(k == F.col("n") - 1, F.concat(w["post"], F.coalesce("behind__", F.lit("")))).otherwise(w["post"])),
     )
-    touched = (F.col("n") > 0) & ((F.col("behind__") != "") | ((F.col("island__") == 0) & (F.col("loose__") != "")))
-    return out.withColumn("words", F.when(touched, moved).otherwise(F.col("words"))).drop("apart__", "island__", "loose__", "behind__")
+    touched = F.col("behind__").isNotNull() | F.col("first__").isNotNull()
+    return out.withColumn("words", F.when(touched, moved).otherwise(F.col("words"))).drop("apart__", "island__", "id__", "no__", "behind__", "id2__", "first__")

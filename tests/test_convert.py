@@ -42,6 +42,15 @@ def test_rows(spark):
     assert rows_to_graph(df.limit(0), "doc", "n", ["words"], "text").units.count() == 0
 
 
+def test_long_stretches_without_a_word(spark):
+    """Two documents of 20,000 lines without a cased letter but for the third one's: all of them go behind its word, or nowhere."""
+    df = spark.range(40_000).selectExpr("id % 2 AS doc", "id AS n", "CASE WHEN id = 4 THEN 'word' ELSE '字字。' END AS text")
+    slots = rows_to_graph(df, "doc", "n", [], "text").slots.collect()
+    assert [(r["doc"], r["slot"], r["orig"], len(r["pre"]), len(r["post"])) for r in slots] == [(0, 1, "word", 8, 1 + 4 * 19_997)]
+    every = rows_to_graph(df, "doc", "n", [], "text", replace(GENERIC, cased=False)).slots
+    assert every.count() == 40_000
+
+
 def test_xml(spark):
     docs = spark.createDataFrame([("x", XML), ("y", "<TEI>none</TEI>"), ("z", None)], "doc string, xml string")
     g = xml_to_graph(docs, "doc", "xml", replace(PROFILE, non_text_tags=("note", "head")))
