@@ -288,7 +288,8 @@ def look_alike_pairs(columns: list[tuple[str, DataFrame, str, str]], block_rows:
 
     A class of more than ``block_rows`` rows is cut into blocks by id, and each
     two blocks meet in a group of their own, so that no task has more than two
-    blocks of a class at once, whatever its size; all pairs come out.
+    blocks of a class at once, whatever its size; all pairs come out. A row with a
+    null id is in no pair; a row that comes twice is in each of its pairs twice.
     """
     told = _in_classes(_digested(columns)).withColumn("blocks", F.ceil(F.col("n") / block_rows).cast("int")).withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
     spread_out = told.select(*_FORM, "id", "raw_hi", "raw_lo", "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("with"))

@@ -70,3 +70,6 @@ def test_big_classes_in_blocks(spark):
         assert len(got) == len(set(got)) and set(got) == want
     classes = L.look_alike_classes([("text", df, "id", "text")]).collect()
     assert {r["id"] for r in classes} == {x for p in want for x in p} and len({r["class_id"] for r in classes}) == 1 and {r["class_rows"] for r in classes} == {len(classes)}
+    odd = spark.createDataFrame([(1, "a b", "x"), (1, "a b", "x"), (2, "a  b", "x"), (None, "a\u00a0b", "x"), (3, None, "x")], "id long, text string, form_hi string")
+    assert sorted((r["id_a"], r["id_b"]) for r in L.look_alike_pairs([("text", odd, "id", "text")]).collect()) == [(1, 2), (1, 2)]
+    assert sorted((r["id"] or 0) for r in L.look_alike_classes([("text", odd, "id", "text")]).collect()) == [0, 1, 1, 2]
