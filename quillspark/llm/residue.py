@@ -2,9 +2,10 @@
 
 Sentences with any word of a notice are masked (numbers, request ids, names)
 and mined for message templates by a prefix tree: the number of tokens, then
-the first tokens, then the most similar template of that leaf; a leaf of very
-many messages is split by more of its tokens. Messages that speak of names or
-manuscripts have leaves of their own. Each template is classified once, by what
+the first tokens, then the most similar template of that leaf. A leaf of very
+many messages is dealt out by more of its tokens, which changes no template:
+pieces in which messages may be similar are mined as one. Messages that speak of
+names or manuscripts have leaves of their own. Each template is classified once, by what
 its messages show together: the kinds of words of a notice in several
 languages, how much of the message these make up, the wordings of a list, the
 names it holds, in how many documents the template stands and in how many
@@ -23,16 +24,18 @@ from collections.abc import Iterator
 
 import ahocorasick
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillspark.llm.lookalike import canonical_forms
 from quillspark.session import checkpoint_dir, spread
 
 DEPTH = 2
-#: Depths at which a leaf of more than ``LEAF_ROWS`` distinct messages is split again.
+#: Depths at which a leaf of more than ``LEAF_ROWS`` distinct messages is split again; no result depends on it.
 DEEPER = (4, 8, 16)
 LEAF_ROWS = 2_000
+#: Messages that may differ in more tokens than this are looked up by single blocks of tokens, others by two blocks at once.
+PAIRED = 6
 SIMILAR = 0.7
 #: Marks that make a template residue alone, and in at least ``SUPPORT`` documents.
 ALONE, REPEATED, SUPPORT = 3.5, 2.5, 3
@@ -289,24 +292,35 @@ def _scan_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 
 
 class PrefixTree:
-    """Templates of one leaf or of many: token count, first ``DEPTH`` tokens, then similarity."""
+    """Templates of one leaf or of many: token count, first ``DEPTH`` tokens, then similarity.
+
+    A wild card is like no token, so a message is as similar as that to every
+    message of the template that takes it. Tokens are dealt to one block more
+    than similar messages may differ in, so these have a block in common, by
+    which templates are looked up; those left out have less than ``SIMILAR``.
+    """
 
     def __init__(self) -> None:
-        self.leaves: dict[tuple, list[list[str]]] = {}
+        self.leaves: dict[tuple, tuple[list[list[str]], dict[int, list[int]]]] = {}
 
     def add(self, message: str) -> list[str]:
         """The template that takes the message; it may yet lose more of its tokens to wild cards."""
         tokens = message.split(" ")
-        leaf = self.leaves.setdefault((SPEAKS.search(message) is not None, len(tokens), *tokens[:DEPTH]), [])
+        leaf, places = self.leaves.setdefault((SPEAKS.search(message) is not None, len(tokens), *tokens[:DEPTH]), ([], {}))
+        many = int(len(tokens) * (1 - SIMILAR) + 1e-6) + 1
+        blocks = [hash((k, *tokens[DEPTH + k :: many])) for k in range(many)]
+        own = [None if t == WILD else t for t in tokens]
         best, most = None, 0.0
-        for template in leaf:
-            share = sum(map(operator.eq, template, tokens)) / len(tokens)
+        for at in sorted({at for block in blocks for at in places.get(block, ())}):
+            share = sum(map(operator.eq, leaf[at], own)) / len(own)
             if share > most:
-                best, most = template, share
+                best, most = leaf[at], share
         if best is None or most < SIMILAR:
+            for block in blocks:
+                places.setdefault(block, []).append(len(leaf))
             leaf.append(tokens)
             return tokens
-        best[:] = [a if a == b else WILD for a, b in zip(best, tokens, strict=True)]
+        best[:] = [a if a == b else WILD for a, b in zip(best, own, strict=True)]
         return best
 
 
@@ -347,23 +361,49 @@ def _mine(table: pa.Table) -> pa.Table:
 
 def _scanned(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     src = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).where(F.length("text") > 0)
-    return spread(src, "id").mapInArrow(_scan_batches, "id long, message string, alone boolean")
+    checkpoint_dir(df.sparkSession)
+    return spread(src, "id").mapInArrow(_scan_batches, "id long, message string, alone boolean").checkpoint()  # few rows; read several times, while scanning is costly
+
+
+def _prefix(n: int) -> Column:
+    """A message's token count and first ``n`` tokens."""
+    tokens = F.split("message", " ")
+    return F.concat_ws(" ", F.size(tokens).cast("string"), F.slice(tokens, 1, n))
 
 
 def _leaves(messages: DataFrame) -> DataFrame:
     """Distinct messages with their leaf: token count and first ``DEPTH`` tokens, more of them where that leaf has more than ``LEAF_ROWS`` messages."""
-    tokens = F.split("message", " ")
-    prefix = lambda n: F.concat_ws(" ", F.size(tokens).cast("string"), F.slice(tokens, 1, n))
-    out = messages.withColumn("leaf", prefix(DEPTH))
+    out = messages.withColumn("leaf", _prefix(DEPTH))
     for depth in DEEPER:
         full = out.groupBy("leaf").agg(F.count("*").alias("n__")).where(F.col("n__") > LEAF_ROWS)
-        out = out.join(full, "leaf", "left").withColumn("leaf", F.when(F.col("n__").isNull(), F.col("leaf")).otherwise(prefix(depth))).drop("n__")
+        out = out.join(full, "leaf", "left").withColumn("leaf", F.when(F.col("n__").isNull(), F.col("leaf")).otherwise(_prefix(depth))).drop("n__")
     return out
 
 
+def _joined(leaves: DataFrame) -> DataFrame:
+    """The pieces of a split leaf, those in one again that may have similar messages in others of them.
+
+    A template only takes messages similar to all it has, so the pieces left
+    apart have the templates that they would have in the whole leaf. Similar
+    messages have a block of tokens in common where there is one block more than
+    they may differ in, and two blocks where there are two more.
+    """
+    unlike = F.floor(F.size("tokens") * (1 - SIMILAR) + 1e-6).cast("int")
+    paired = unlike <= PAIRED
+    many = unlike + F.when(paired, 2).otherwise(1)
+    block = lambda k: F.xxhash64("root", k, F.filter("tokens", lambda _, i: (i >= DEPTH) & (i % F.col("many") == k)))
+    pairs = F.flatten(F.transform("blocks", lambda b, i: F.transform(F.slice("blocks", i + 2, F.col("many")), lambda c: F.xxhash64(b, c))))
+    pieces = leaves.select("leaf", _prefix(DEPTH).alias("root"), F.split("message", " ").alias("tokens")).where("leaf <> root")
+    blocks = pieces.select("*", many.alias("many"), paired.alias("paired")).select("leaf", "many", "paired", F.transform(F.sequence(F.lit(0), F.col("many") - 1), block).alias("blocks"))
+    keys = blocks.select(F.xxhash64("leaf").alias("piece"), F.explode(F.when(F.col("paired"), pairs).otherwise(F.col("blocks"))).alias("key"))
+    same = Window.partitionBy("key")
+    linked = keys.select("piece", (F.min("piece").over(same) < F.max("piece").over(same)).alias("linked")).where("linked").select("piece").distinct()
+    return leaves.join(linked, F.xxhash64("leaf") == F.col("piece"), "left").withColumn("leaf", F.when(F.col("piece").isNull(), F.col("leaf")).otherwise(_prefix(DEPTH))).drop("piece")
+
+
 def _templates(scanned: DataFrame) -> DataFrame:
     messages = scanned.where(F.col("message").isNotNull()).groupBy("message").agg(F.count("*").alias("seen"), F.count_if("alone").alias("alone"))
-    return _leaves(messages).groupBy("leaf").applyInArrow(_mine, "message string, template string, documents long, residue boolean")
+    return _joined(_leaves(messages)).groupBy("leaf").applyInArrow(_mine, "message string, template string, documents long, residue boolean")
 
 
 def message_templates(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -374,8 +414,6 @@ def message_templates(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
 def residue_ids(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """Ids, each once, of the rows whose text has an unfilled slot or a message under a residue template; null and empty texts have none."""
     scanned = _scanned(df, id_col, text_col)
-    checkpoint_dir(scanned.sparkSession)
-    scanned = scanned.checkpoint()  # few rows; read three times below, while scanning is costly
     bad = _templates(scanned).where("residue").select("message")
     by_message = scanned.where(F.col("message").isNotNull()).join(bad, "message", "left_semi").select("id")
     slots = scanned.where(F.col("message").isNull()).select("id")

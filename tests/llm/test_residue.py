@@ -1,5 +1,6 @@
 """Residue against content that speaks of it, and the template tree."""
 
+import random
 from re import _parser as re_parser
 
 import pyarrow as pa
@@ -136,3 +137,52 @@ def test_full_leaves_are_split_by_more_tokens(spark, monkeypatch):
 
 def test_wrapped_slots():
     assert has_slot("By {{ author of\nthe work }} in") and has_slot("See [your " + "long " * 30 + "name]") and not has_slot("a {{ b\n\nc }} d")
+
+
+def test_no_result_depends_on_how_many_messages_a_leaf_has(spark, monkeypatch):
+    """Weak messages that differ in the tokens by which full leaves are split, some of them with tokens like a wild card."""
+    weak = [f"This view {w} the old chant is not available at the moment" for w in ("inside", "under", "behind", "<*>")]
+    weak += [f"This view beyond {w} {v} chant is not available at the moment" for w, v in (("a", "dim"), ("some", "<*>"), ("each", "far"))]
+    rare = [f"This view {a} stone {b} was not available to strangers in {c}" for a, b, c in (("from", "tower", "winter"), ("over", "wall", "spring"))]
+    content = " The monk wrote of it to his brother in the valley, who came to see the walls and the well."
+    df = spark.createDataFrame([(k, t + "." + content) for k, t in enumerate([*weak, *rare])], "doc_id long, text string")
+    told = []
+    for rows in (1_000, 3):
+        monkeypatch.setattr(R, "LEAF_ROWS", rows)
+        told.append((sorted(r["doc_id"] for r in residue_ids(df, "doc_id", "text").collect()), sorted(map(tuple, message_templates(df, "doc_id", "text").collect()))))
+    assert told[0] == told[1] and told[0][0] == list(range(len(weak)))
+
+
+def made(n, seed):
+    """Messages of all lengths up to 24 tokens in few leaves, many of them similar, in the order of mining."""
+    r = random.Random(seed)
+    out = set()
+    for _ in range(n // 4):
+        own = ["page", r.choice("ab"), *(r.choice(["u", "v", "w", "x", "y", "z", R.WILD]) + r.choice(["", "", "1", "2"]) for _ in range(r.randint(0, 22)))]
+        for _ in range(4):
+            out.add(" ".join(t if k < 2 or r.random() > 0.15 else r.choice("uvwxyz") for k, t in enumerate(own)))
+    return sorted(out)
+
+
+def test_tree_against_every_template():
+    tree, leaves = PrefixTree(), {}
+    for message in made(4_000, 1):
+        tokens = message.split(" ")
+        leaf = leaves.setdefault((len(tokens), *tokens[:2]), [])
+        shares = [sum(a == b != R.WILD for a, b in zip(t, tokens, strict=True)) / len(tokens) for t in leaf]
+        best = leaf[shares.index(max(shares))] if shares and max(shares) >= R.SIMILAR else None
+        if best is None:
+            leaf.append(best := tokens)
+        else:
+            best[:] = [a if a == b else R.WILD for a, b in zip(best, tokens, strict=True)]
+        assert tree.add(message) == best
+
+
+def test_pieces_of_leaves_against_whole_leaves(spark, monkeypatch):
+    rows = [(m, 1 + k % 3, k % 2) for k, m in enumerate(made(3_000, 2))]
+    messages = spark.createDataFrame(rows, "message string, seen long, alone long")
+    mined = lambda leaves: sorted(map(tuple, leaves.groupBy("leaf").applyInArrow(R._mine, "message string, template string, documents long, residue boolean").collect()))
+    want = mined(messages.withColumn("leaf", R._prefix(R.DEPTH)))
+    monkeypatch.setattr(R, "LEAF_ROWS", 10)
+    assert mined(R._joined(R._leaves(messages))) == want and mined(R._leaves(messages)) != want
+    assert R._joined(R._leaves(messages)).select("leaf").distinct().count() > messages.select(R._prefix(R.DEPTH)).distinct().count()
